@@ -166,15 +166,15 @@ def fit(docs: DataFrame, *, per_language: int = PER_LANGUAGE, id_col: str = "doc
     return m
 
 
-def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per row of docs: id (or the columns of keep), lang_pred, lang_score.
+def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """One row per row of docs: id (or the columns of keep), lang_pred, lang_score; prefix goes before these two names.
 
     Null texts and texts without a letter are `und` with score 0. Whole texts are read; equal texts get equal answers.
     The model travels with the tasks: a row of DIMS numbers for each machine.
     """
     keep = keep or [id_col]
     columns = list(dict.fromkeys([*keep, text_col]))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, lang_score double"
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", {prefix}lang_pred string, {prefix}lang_score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_steps(batches, text_col):
@@ -185,6 +185,6 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
                 found, scores[known] = model.predict(np.array([xs[i] for i in known]))
                 for i, lang in zip(known, found, strict=True):
                     langs[i] = lang
-            yield pa.RecordBatch.from_arrays([*(col(part, c) for c in keep), pa.array(langs, pa.string()), pa.array(scores)], [*keep, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*(col(part, c) for c in keep), pa.array(langs, pa.string()), pa.array(scores)], [*keep, f"{prefix}lang_pred", f"{prefix}lang_score"])
 
     return docs.select(*columns).mapInArrow(run, schema)

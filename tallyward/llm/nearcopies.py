@@ -303,8 +303,9 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", parameters: Parameters | None = None) -> DataFrame:
     """The rows of docs, with all their columns, that are the first of their class; one row of each class."""
-    kept = near_copies(docs, id_col=id_col, text_col=text_col, parameters=parameters).filter("kept").select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", text_key(text_col))
-    found = keyed.join(kept, (keyed["_key"] == kept["_key"]) & keyed[id_col].eqNullSafe(kept["_id"]), "left_semi")
-    w = Window.partitionBy("_key", id_col).orderBy(F.lit(1))
-    return found.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").select(*docs.columns)
+    id_, key, mine, nth = (f"__near_copies_{c}" for c in ("id", "key", "mine", "nth"))  # docs may have any columns
+    kept = near_copies(docs, id_col=id_col, text_col=text_col, parameters=parameters).filter("kept").select(F.col(id_col).alias(id_), F.col("text_key").alias(key)).distinct()
+    keyed = docs.withColumn(mine, text_key(text_col))
+    found = keyed.join(kept, (keyed[mine] == kept[key]) & keyed[id_col].eqNullSafe(kept[id_]), "left_semi")
+    w = Window.partitionBy(mine, id_col).orderBy(F.lit(1))
+    return found.withColumn(nth, F.row_number().over(w)).filter(F.col(nth) == 1).select(*docs.columns)

@@ -33,20 +33,20 @@ def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
-def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     """From the labels outside the held-out fold; the texts are looked up by id."""
-    labels = with_crc_part(table(spark, sf_dir, "labels"), "doc_id", 4, "fold").filter("fold <> 2")
-    return toxicity.fit(table(spark, sf_dir, "documents"), labels)
+    return toxicity.fit(docs, with_crc_part(labels, "doc_id", 4, "fold").filter("fold <> 2"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
     fold = with_crc_part(scored, "doc_id", 4, "fold")
     return fold.select("doc_id", (F.col("fold") == 2).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= TOXIC_FROM).cast("int").alias("predicted"), "p_value", "passages")
 
 
 def language_model(docs: DataFrame) -> language.Model:
-    return language.fit(with_crc_part(docs, "doc_id", 5, "fold").filter("fold <> 0"))
+    return language.fit(with_crc_part(docs.select("doc_id", "text", "lang"), "doc_id", 5, "fold").filter("fold <> 0"))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,11 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: SQL for the one operator that SQL can express at its size. The others hold tokenizers, learned models and hashing; tests/llm compares them with brute force.
 ORACLES: dict[str, str] = {
     "op8_exact_top_k": """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * c.e[i])) AS BIGINT) AS score
-      FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5
+WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5
 """,
 }

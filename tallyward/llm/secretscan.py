@@ -120,7 +120,7 @@ def found_in(text: str, path: str) -> list[tuple[int, int, list[float], int | No
 def findings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """id, start, end (in characters), digest (of the value), features, rule (what a strict rule says, null for nothing), a row a candidate.
 
-    Null texts have no candidate, a null path counts as empty; repeated rows have their findings each; other columns are not read.
+    Null texts have no candidate, a null or absent path counts as empty; repeated rows have their findings each; other columns are not read.
     """
     import hashlib
 
@@ -130,7 +130,7 @@ def findings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_steps(batches, text_col):
             got, own = [], []
-            for i, (text, path) in enumerate(zip(texts, col(part, path_col).to_pylist(), strict=True)):
+            for i, (text, path) in enumerate(zip(texts, col(part, "path").to_pylist(), strict=True)):
                 for a, b, x, rule in found_in(text, path or ""):
                     got.append((a, b, hashlib.sha256(text[a:b].encode()).hexdigest(), x, rule))
                     own.append(i)
@@ -138,7 +138,8 @@ def findings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()), pa.int32()]
             yield pa.RecordBatch.from_arrays([col(part, id_col).take(pa.array(own, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [id_col, "start", "end", "digest", "features", "rule"])
 
-    return docs.select(id_col, text_col, F.col(path_col).cast("string").alias(path_col)).mapInArrow(run, schema)
+    path = F.col(path_col) if path_col in docs.columns else F.lit("")
+    return docs.select(id_col, text_col, path.cast("string").alias("path")).mapInArrow(run, schema)
 
 
 def fit(labelled: DataFrame, *, most: int = MOST) -> Forest | None:
@@ -194,7 +195,8 @@ def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_steps(batches, text_col):
             new = [t.as_py() for t in col(part, text_col)]
-            for i, (text, path) in enumerate(zip(texts, col(part, path_col).to_pylist(), strict=True)):
+            paths = col(part, path_col).to_pylist() if path_col in part.schema.names else [""] * len(texts)
+            for i, (text, path) in enumerate(zip(texts, paths, strict=True)):
                 if got := found_in(text, str(path or "")):
                     p = probabilities(forest, [x for _, _, x, _ in got], [r for *_, r in got])
                     out, at = [], 0

@@ -246,16 +246,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_toxic: int = MOST_TOXIC, mos
     return model
 
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per row of docs: id (or the columns of keep), toxicity, p_value, passages (start and end in characters, sum).
+def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """One row per row of docs: id (or the columns of keep), toxicity, p_value, passages (start and end in characters, sum); prefix goes before these three names.
 
     Null and empty texts have no words and get the score of that; equal texts get equal scores. Passages are the maximal
     segments that are significant in a text of that length. The model travels with the tasks; it holds significant features alone.
     """
     keep = keep or [id_col]
     columns = list(dict.fromkeys([*keep, text_col]))
-    span = "passages array<struct<start:int,end:int,sum:double>>"
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", toxicity double, p_value double, {span}"
+    span = f"{prefix}passages array<struct<start:int,end:int,sum:double>>"
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", {prefix}toxicity double, {prefix}p_value double, {span}"
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("sum", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,6 +271,6 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 sure = np.exp(-model.surprise(np.array([s for *_, s in segments]), np.full(len(segments), words[i]))) < SIGNIFICANT
                 passages[i] = [{"start": spots[a][0], "end": spots[b - 1][1], "sum": s} for (a, b, s), ok in zip(segments, sure, strict=True) if ok]
             out = [pa.array(model.score(most, words)), pa.array(p), pa.array(passages, kind)]
-            yield pa.RecordBatch.from_arrays([*(col(part, c) for c in keep), *out], [*keep, "toxicity", "p_value", "passages"])
+            yield pa.RecordBatch.from_arrays([*(col(part, c) for c in keep), *out], [*keep, *(f"{prefix}{c}" for c in ("toxicity", "p_value", "passages"))])
 
     return docs.select(*columns).mapInArrow(run, schema)
