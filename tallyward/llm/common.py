@@ -62,14 +62,14 @@ def steps(texts: list[str | None], most: int = STEP_CHARS) -> Iterator[tuple[int
         yield at, len(texts)
 
 
-def text_steps(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def text_steps(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = STEP_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with their texts (null: empty), of bounded size."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
             texts = [t or "" for t in column.slice(at, 1000).to_pylist()]
-            for a, b in steps(texts):
+            for a, b in steps(texts, most):
                 yield part.slice(a, b - a), texts[a:b]
 
 

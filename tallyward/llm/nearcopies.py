@@ -31,7 +31,8 @@ from pyspark.sql.window import Window
 from tallyward.llm.common import col, hash64, mixed, stored, text_steps
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 4
-KEPT_WORDS = 800_000
+#: Hashed words that a task keeps, and characters whose signatures it makes at once.
+KEPT_WORDS, STEP = 300_000, 500_000
 #: A list of candidate rows is broadcast up to so many (16 bytes each), and joined by shuffle beyond.
 BROADCAST_ROWS = 300_000
 #: Ratio of neighbouring size classes.
@@ -158,7 +159,7 @@ def signed(docs: DataFrame, *, size: int = SHINGLE, bands: int = BANDS, rows: in
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_steps(batches, text_col):
+        for part, texts in text_steps(batches, text_col, STEP):
             if len(_words) > KEPT_WORDS:
                 _words.clear()
             sets = [shingles(t, size) for t in texts]
@@ -222,16 +223,17 @@ def shingle_sets(docs: DataFrame, rows: DataFrame, *, size: int, id_col: str, te
     """(node, hashes) of the nodes of rows, each from the document that rows (node, id, text_key) names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_steps(batches, text_col):
+        for part, texts in text_steps(batches, text_col, STEP):
             if len(_words) > KEPT_WORDS:
                 _words.clear()
             sets = [shingles(t, size).view(np.int64) for t in texts]
             yield pa.RecordBatch.from_arrays([col(part, "node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
 
     few = rows.count() <= BROADCAST_ROWS
-    wanted = rows.select("node", F.col(id_col).alias("_id"), "text_key")
-    found = docs.select(id_col, text_col, text_key(text_col).alias("text_key")).join(F.broadcast(wanted) if few else wanted, ["text_key"])
-    return found.filter(F.col(id_col).eqNullSafe(F.col("_id"))).select("node", text_col).mapInArrow(run, "node binary, hashes array<long>").dropDuplicates(["node"])
+    wanted = rows.select("node", F.col(id_col).alias("_id"), F.col("text_key").alias("_key"))
+    keyed = docs.select(id_col, text_col, text_key(text_col).alias("text_key"))
+    found = keyed.join(F.broadcast(wanted) if few else wanted, (F.col("text_key") == F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_id")))
+    return found.select("node", text_col).mapInArrow(run, "node binary, hashes array<long>").dropDuplicates(["node"])
 
 
 @dataclass
