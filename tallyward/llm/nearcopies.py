@@ -8,8 +8,9 @@
    members and never all pairs. Links of 0.8 or more give components.
 3. What this leaves open are pairs in a bucket of which one is outside the pivot's
    component. A shingle that no other such node has can't be shared, and that bounds how
-   similar the pair can be: o = min(|x| - alone(x), |y| - alone(y)), similarity <= o / (|x| + |y| - o).
-   Only pairs within the bound are joined (by bucket and size class) and compared exactly.
+   similar the pair can be: it shares at most o, the sum over classes of hash of the lesser
+   number of other shingles, so similarity <= o / (|x| + |y| - o). Only pairs within the bound
+   are joined (by bucket and size class) and compared exactly.
 
 So every pair that shares a band and is similar enough links its documents' classes, and
 with 32 bands of 4 values a pair of similarity 0.8 shares none with probability 5e-8.
@@ -37,6 +38,8 @@ KEPT_WORDS, STEP = 300_000, 500_000
 BROADCAST_ROWS = 300_000
 #: Ratio of neighbouring size classes.
 SIZE_STEP = 1.02
+#: Classes of hash by which shared shingles are bounded.
+BINS = 64
 _OUTER = re.compile(r"^\W+|\W+$")
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -219,6 +222,18 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, similarity double")
 
 
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """size, common (shingles that another node has too) and the common ones counted by BINS classes of hash, from hashes and the low bits of those alone."""
+    for batch in batches:
+        sizes, common, bins = [], [], []
+        for h, alone in zip(col(batch, "hashes"), col(batch, "alone"), strict=True):
+            h, alone = h.values.to_numpy(), alone.values.to_numpy() if alone.is_valid else np.zeros(0, np.int64)
+            sizes.append(len(h))
+            common.append(len(h) - len(alone))
+            bins.append((np.bincount(h & (BINS - 1), minlength=BINS) - np.bincount(alone & (BINS - 1), minlength=BINS)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([col(batch, "node"), pa.array(sizes, pa.float64()), pa.array(common, pa.float64()), pa.array(bins, pa.list_(pa.int32()))], ["node", "size", "common", "bins"])
+
+
 def shingle_sets(docs: DataFrame, rows: DataFrame, *, size: int, id_col: str, text_col: str) -> DataFrame:
     """(node, hashes) of the nodes of rows, each from the document that rows (node, id, text_key) names."""
 
@@ -268,16 +283,21 @@ def links(docs: DataFrame, signs: DataFrame, p: Parameters, *, id_col: str, text
     open_keys = stored(rooted.filter("outside").select("key").distinct(), "open")
     rooted = stored(rooted.join(open_keys, "key").filter("node <> pivot"), "open-members")
     kept = sets.join(rooted.select("node").distinct(), "node", "left_semi")
-    alone = kept.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.first("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    sizes = kept.select("node", F.size("hashes").cast("double").alias("size")).join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+    # 31 bits of a hash: shingles that fall together count as shared, which loosens the bound and keeps it true
+    low = F.col("h").bitwiseAND(0x7FFFFFFF).cast("int").alias("h")
+    alone = kept.select("node", F.explode("hashes").alias("h")).select("node", low).groupBy("h").agg(F.count("*").alias("n"), F.first("node").alias("node")).filter("n = 1")
+    alone = alone.groupBy("node").agg(F.collect_list("h").alias("alone"))
+    sizes = kept.join(alone, "node", "left").mapInArrow(_profiles, "node binary, size double, common double, bins array<int>")
     # o >= s / (1 + s) * (|x| + |y|) must hold for a link, and o is at most the common shingles of either
     least_share = p.similarity / (1 + p.similarity) - 1e-9
     sizes = sizes.withColumn("cap", F.col("common") / least_share - F.col("size")).filter(F.col("cap") >= F.col("size") * p.similarity - 1e-6)
     open_ = rooted.select("key", "node", "root", "outside").join(stored(sizes, "sizes"), "node")
     step = lambda x: F.floor(F.log(x) / float(np.log(SIZE_STEP))).cast("long")
-    xs = open_.filter("outside").select("key", F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("size").alias("x_size"), F.col("cap").alias("x_cap"), F.explode(F.sequence(step(F.col("size") * p.similarity) - 1, step(F.greatest(F.col("cap"), F.lit(1.0))) + 1)).alias("class"))
-    ys = open_.select("key", F.col("node").alias("y"), F.col("root").alias("y_root"), F.col("size").alias("y_size"), F.col("cap").alias("y_cap"), step(F.col("size")).alias("class"))
+    xs = open_.filter("outside").select("key", F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("size").alias("x_size"), F.col("cap").alias("x_cap"), F.col("bins").alias("x_bins"), F.explode(F.sequence(step(F.col("size") * p.similarity) - 1, step(F.greatest(F.col("cap"), F.lit(1.0))) + 1)).alias("class"))
+    ys = open_.select("key", F.col("node").alias("y"), F.col("root").alias("y_root"), F.col("size").alias("y_size"), F.col("cap").alias("y_cap"), F.col("bins").alias("y_bins"), step(F.col("size")).alias("class"))
     fits = (F.col("x_root") != F.col("y_root")) & (F.col("y_size") <= F.col("x_cap")) & (F.col("x_size") <= F.col("y_cap"))
+    shared_most = F.aggregate(F.zip_with("x_bins", "y_bins", lambda m, k: F.least(m, k)), F.lit(0), lambda n, k: n + k)
+    fits = fits & (shared_most >= least_share * (F.col("x_size") + F.col("y_size")) - 1e-6)
     rest = xs.join(ys, ["key", "class"]).filter(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     second = stored(similarities(stored(rest, "rest"), sets).filter(near), "linked")
     return components(first.union(second)) if second.limit(1).count() else roots
