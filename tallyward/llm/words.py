@@ -21,7 +21,7 @@ _OTHER = re.compile("[^\t\n\r -~À-ÖØ-öø-ſ]")
 _QUICK = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _CUT = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
 #: Characters of one text that are cut into words at once, and distinct words that a task keeps.
-SEGMENT, KEPT_WORDS = 1_000_000, 1_000_000
+SEGMENT, KEPT_WORDS = 1_000_000, 600_000
 
 
 def added_tokens(path: str) -> dict[str, int]:
