@@ -88,21 +88,26 @@ def queue_inefficiency(series: DataFrame, *, queue: str = "log_id", time: str =
     return wide.groupBy(queue).agg((F.coalesce(F.sum(F.when(F.col("exhausted"), F.col("_width"))), F.lit(0)) / F.max(time)).alias("inefficiency"))
 
 
-def bench_by_method(bench: DataFrame, value: str = "total_duration") -> DataFrame:
-    return bench.groupBy("method").agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.percentile(value, 0.05).alias("q05")).orderBy("min")
+def quantile(value: str, share: float, accuracy: int | None = None) -> Column:
+    """Exact, which holds a group's distinct values in one task; with an accuracy, approximate in bounded memory, for groups that are large."""
+    return F.percentile(value, share) if accuracy is None else F.percentile_approx(value, share, accuracy)
 
 
-def bench_by_params(bench: DataFrame, params: list[str], value: str = "total_duration") -> DataFrame:
+def bench_by_method(bench: DataFrame, value: str = "total_duration", accuracy: int | None = None) -> DataFrame:
+    return bench.groupBy("method").agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), quantile(value, 0.05, accuracy).alias("q05")).orderBy("min")
+
+
+def bench_by_params(bench: DataFrame, params: list[str], value: str = "total_duration", accuracy: int | None = None) -> DataFrame:
     """Statistics for each value of each parameter of a method, all in one pass by grouping sets: method, param, value (null in no group of its own)."""
     sets = [[F.col("method"), F.col(p)] for p in params]
-    stats = [F.avg(value).alias("mean"), F.median(value).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"), F.percentile(value, 0.05).alias("q05")]
+    stats = [F.avg(value).alias("mean"), quantile(value, 0.5, accuracy).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"), quantile(value, 0.05, accuracy).alias("q05")]
     grouped = bench.groupingSets(sets, "method", *params).agg(*stats, *(F.grouping(p).alias(f"_{p}") for p in params))
     which = F.coalesce(*(F.when(F.col(f"_{p}") == 0, p) for p in params))
     return grouped.select("method", which.alias("param"), F.coalesce(*(F.when(F.col(f"_{p}") == 0, F.col(p)) for p in params)).alias("value"), "mean", "median", "min", "max", "q05")
 
 
-def bench_cases(bench: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return bench.groupBy(*keys).agg(F.median(value).alias("median"), F.avg(value).alias("mean"), F.percentile(value, 0.95).alias("q95")).orderBy("median")
+def bench_cases(bench: DataFrame, keys: list[str], value: str, accuracy: int | None = None) -> DataFrame:
+    return bench.groupBy(*keys).agg(quantile(value, 0.5, accuracy).alias("median"), F.avg(value).alias("mean"), quantile(value, 0.95, accuracy).alias("q95")).orderBy("median")
 
 
 def case_order(cases: DataFrame, scenario: str, operation: str) -> DataFrame:
