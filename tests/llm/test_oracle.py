@@ -1,0 +1,22 @@
+"""The queries that SQL can express against DuckDB, on the smallest tables."""
+
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from tallyward.llm.queries import ORACLES, QUERIES
+
+DATA = Path("/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query(spark, name):
+    con = duckdb.connect()
+    for p in DATA.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    cursor = con.execute(ORACLES[name])
+    names = [d[0] for d in cursor.description]
+    df = QUERIES[name](spark, str(DATA))
+    assert sorted(df.columns) == sorted(names)
+    assert sorted(map(tuple, df.select(*names).collect()), key=str) == sorted(cursor.fetchall(), key=str)
