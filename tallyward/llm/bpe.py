@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyward.llm.common import col, text_steps, tokenizer_path
+from tallyward.llm.common import col, small_batches, text_steps, tokenizer_path
 from tallyward.llm.words import WordEncoder, added_tokens, held_encoder
 
 _NONE = np.iinfo(np.int64).max
@@ -122,7 +122,7 @@ def encode(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id",
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([col(part, id_col), pa.array(np.diff(at)), lists], [id_col, "n_tokens", "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None, *, id_col: str = "doc_id") -> DataFrame:
@@ -156,4 +156,4 @@ def round_trip(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_i
             digests = [[hashlib.sha256(x).hexdigest() for x in each], [hashlib.sha256(merges.decode(x).encode()).hexdigest() for x in each]]
             yield pa.RecordBatch.from_arrays([col(part, id_col), pa.array(np.diff(at)), *(pa.array(x, pa.string()) for x in digests)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, schema)

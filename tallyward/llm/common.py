@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,29 @@ def with_crc_part(df: DataFrame, key: str, modulus: int, name: str) -> DataFrame
     return df.withColumn(name, F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus)
 
 
+_owner: tuple[str, Callable[[], object]] | None = None
+
+
+def claim(owner: str, clear: Callable[[], object] = lambda: None) -> None:
+    """Called in a task: a Python worker that Spark uses again keeps the caches of one operator at a time; clear drops the caller's."""
+    global _owner
+    if _owner and _owner[0] != owner:
+        _owner[1]()
+    _owner = (owner, clear)
+
+
+#: Rows of text that go to a Python worker at once.
+BATCH_ROWS = 2_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session sends Python workers BATCH_ROWS rows at once at most, as rows of text are large (a lower setting stays)."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def steps(texts: list[str | None], most: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` characters in total, one text at least."""
     at, held = 0, 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import col, text_steps
+from tallyward.llm.common import claim, col, small_batches, text_steps
 
 #: Language codes by family. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -177,6 +177,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", {prefix}lang_pred string, {prefix}lang_score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language")
         for part, texts in text_steps(batches, text_col):
             xs = [features(t) for t in texts]
             known = [i for i, x in enumerate(xs) if x is not None]
@@ -187,4 +188,4 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
                     langs[i] = lang
             yield pa.RecordBatch.from_arrays([*(col(part, c) for c in keep), pa.array(langs, pa.string()), pa.array(scores)], [*keep, f"{prefix}lang_pred", f"{prefix}lang_score"])
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return small_batches(docs.select(*columns)).mapInArrow(run, schema)

@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyward.llm.common import col, hash64, mixed, stored, text_steps
+from tallyward.llm.common import claim, col, hash64, mixed, small_batches, stored, text_steps
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 4
 #: Hashed words that a task keeps, and characters whose signatures it makes at once.
-KEPT_WORDS, STEP = 300_000, 500_000
+KEPT_WORDS, STEP = 200_000, 500_000
 #: A list of candidate rows is broadcast up to so many (16 bytes each), and joined by shuffle beyond.
 BROADCAST_ROWS = 300_000
 #: Ratio of neighbouring size classes.
@@ -162,6 +162,7 @@ def signed(docs: DataFrame, *, size: int = SHINGLE, bands: int = BANDS, rows: in
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near copies", _words.clear)
         for part, texts in text_steps(batches, text_col, STEP):
             if len(_words) > KEPT_WORDS:
                 _words.clear()
@@ -177,7 +178,7 @@ def signed(docs: DataFrame, *, size: int = SHINGLE, bands: int = BANDS, rows: in
             yield pa.RecordBatch.from_arrays([col(part, id_col), col(part, "text_key"), *out], [id_col, "text_key", "node", "shingles", "bands"])
 
     rows_ = docs.select(id_col, text_col, text_key(text_col).alias("text_key"))
-    return rows_.mapInArrow(run, f"{id_col} {kind}, text_key long, node binary, shingles long, bands array<long>")
+    return small_batches(rows_).mapInArrow(run, f"{id_col} {kind}, text_key long, node binary, shingles long, bands array<long>")
 
 
 def text_key(text_col: str = "text") -> Column:
@@ -238,6 +239,7 @@ def shingle_sets(docs: DataFrame, rows: DataFrame, *, size: int, id_col: str, te
     """(node, hashes) of the nodes of rows, each from the document that rows (node, id, text_key) names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near copies", _words.clear)
         for part, texts in text_steps(batches, text_col, STEP):
             if len(_words) > KEPT_WORDS:
                 _words.clear()

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import col, stored, text_steps, tokenizer_path
+from tallyward.llm.common import col, small_batches, stored, text_steps, tokenizer_path
 from tallyward.llm.words import held_encoder
 
 WINDOW, END_ID = 2048, 1
@@ -44,7 +44,7 @@ def tokens(docs: DataFrame, path: str | None = None, *, end_id: int = END_ID, id
             )
             place, before = place + len(n), before + int(ends[-1])
 
-    return stored(docs.select(id_col, text_col).mapInArrow(run, schema), "packing-ids")
+    return stored(small_batches(docs.select(id_col, text_col)).mapInArrow(run, schema), "packing-ids")
 
 
 def offsets(ids: DataFrame) -> dict[int, int]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import col, stored, text_steps
+from tallyward.llm.common import claim, col, small_batches, stored, text_steps
 from tallyward.llm.forest import Forest, fit_forest
 
 MOST, LEAST_LENGTH, SURE = 3_000, 16, 0.5
@@ -139,7 +139,7 @@ def findings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([col(part, id_col).take(pa.array(own, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [id_col, "start", "end", "digest", "features", "rule"])
 
     path = F.col(path_col) if path_col in docs.columns else F.lit("")
-    return docs.select(id_col, text_col, path.cast("string").alias("path")).mapInArrow(run, schema)
+    return small_batches(docs.select(id_col, text_col, path.cast("string").alias("path"))).mapInArrow(run, schema)
 
 
 def fit(labelled: DataFrame, *, most: int = MOST) -> Forest | None:
@@ -193,6 +193,7 @@ def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     forest = fit(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("secrets")
         for part, texts in text_steps(batches, text_col):
             new = [t.as_py() for t in col(part, text_col)]
             paths = col(part, path_col).to_pylist() if path_col in part.schema.names else [""] * len(texts)
@@ -213,4 +214,4 @@ def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 columns[names.index(length_col)] = pa.array(k, part.schema.field(length_col).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import col, text_steps, tokenizer_path, work_dir
+from tallyward.llm.common import col, small_batches, text_steps, tokenizer_path, work_dir
 from tallyward.llm.words import held_encoder
 
 MAGIC, HEAD, END_ID = b"TALLYEF1", struct.Struct("<8s9Q"), 2
@@ -150,7 +150,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, *, end_id:
         files.move(draft, name)
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, len(keys), len(ids))], ["shard", "documents", "ids"])
 
-    dealt = docs.select(id_col, text_col).repartitionByRange(F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first(), text_col)
+    dealt = small_batches(docs.select(id_col, text_col)).repartitionByRange(F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first(), text_col)
     return sorted(tuple(r) for r in dealt.mapInArrow(run, "shard long, documents long, ids long").collect())
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import col, hash64, mixed, text_steps
+from tallyward.llm.common import claim, col, hash64, mixed, small_batches, text_steps
 
 MOST_TOXIC, MOST_CLEAN = 6_000, 12_000
 #: Prefixes that a rare word falls back to; documents' worth of the prior; least z value and log-odds; cost of other words.
@@ -259,6 +259,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("sum", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         held = Scores(model)
         for part, texts in text_steps(batches, text_col):
             got = [np.fromiter(map(held.__getitem__, words), float, len(words)) for words in map(str.split, texts)]
@@ -273,4 +274,4 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             out = [pa.array(model.score(most, words)), pa.array(p), pa.array(passages, kind)]
             yield pa.RecordBatch.from_arrays([*(col(part, c) for c in keep), *out], [*keep, *(f"{prefix}{c}" for c in ("toxicity", "p_value", "passages"))])
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return small_batches(docs.select(*columns)).mapInArrow(run, schema)

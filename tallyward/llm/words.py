@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import regex
 
-from tallyward.llm.common import gather
+from tallyward.llm.common import claim, gather
 
 #: White space by Unicode's property, as the tokenizers library takes \s (Python's \s also holds four separators of ASCII).
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -130,6 +130,7 @@ _held: dict[tuple[str, str], WordEncoder] = {}
 
 def held_encoder(path: str, kind: str = "library") -> WordEncoder:
     """This worker's encoder, which later tasks of the same worker use again."""
+    claim("words", _held.clear)
     if (kind, path) not in _held:
         from tallyward.llm.bpe import numpy_encoder
 
