@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -55,9 +57,20 @@ _owner: tuple[str, Callable[[], object]] | None = None
 def claim(owner: str, clear: Callable[[], object] = lambda: None) -> None:
     """Called in a task: a Python worker that Spark uses again keeps the caches of one operator at a time; clear drops the caller's."""
     global _owner
-    if _owner and _owner[0] != owner:
+    if _owner and _owner[0] == owner:
+        return
+    if _owner:
         _owner[1]()
     _owner = (owner, clear)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: idle workers would keep what their largest batch took."""
+    if pa.default_memory_pool().backend_name != "system":
+        pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(AttributeError, OSError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 #: Rows of text that go to a Python worker at once.

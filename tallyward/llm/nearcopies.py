@@ -33,7 +33,7 @@ from tallyward.llm.common import claim, col, hash64, mixed, small_batches, store
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 4
 #: Hashed words that a task keeps, and characters whose signatures it makes at once.
-KEPT_WORDS, STEP = 200_000, 500_000
+KEPT_WORDS, STEP = 200_000, 200_000
 #: A list of candidate rows is broadcast up to so many (16 bytes each), and joined by shuffle beyond.
 BROADCAST_ROWS = 300_000
 #: Ratio of neighbouring size classes.
@@ -56,6 +56,13 @@ class _Words(dict):
 _words = _Words()
 
 
+def _tidy() -> None:
+    """Bounds the kept words. A function of the module, as functions that travel to a worker bring copies of the globals they name."""
+    claim("near copies", _words.clear)
+    if len(_words) > KEPT_WORDS:
+        _words.clear()
+
+
 def word_hashes(text: str) -> np.ndarray:
     chunks = text.split()
     h = np.fromiter(map(_words.__getitem__, chunks), np.uint64, len(chunks))
@@ -162,10 +169,8 @@ def signed(docs: DataFrame, *, size: int = SHINGLE, bands: int = BANDS, rows: in
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("near copies", _words.clear)
         for part, texts in text_steps(batches, text_col, STEP):
-            if len(_words) > KEPT_WORDS:
-                _words.clear()
+            _tidy()
             sets = [shingles(t, size) for t in texts]
             full = [i for i, s in enumerate(sets) if len(s)]
             keys: list[np.ndarray | None] = [None] * len(sets)
@@ -239,10 +244,8 @@ def shingle_sets(docs: DataFrame, rows: DataFrame, *, size: int, id_col: str, te
     """(node, hashes) of the nodes of rows, each from the document that rows (node, id, text_key) names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("near copies", _words.clear)
         for part, texts in text_steps(batches, text_col, STEP):
-            if len(_words) > KEPT_WORDS:
-                _words.clear()
+            _tidy()
             sets = [shingles(t, size).view(np.int64) for t in texts]
             yield pa.RecordBatch.from_arrays([col(part, "node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
 
