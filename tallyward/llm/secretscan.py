@@ -5,8 +5,9 @@ assignments and blocks of private keys. The forest looks at length, character
 transitions and classes, the coverage by the document's own vocabulary, the path
 (source) and the neighbouring words. It learns from labelled findings; where none are given, the
 findings that a strict rule decides either way are the labels, and what the rules
-say is no feature of the forest. It is fitted on a bounded sample: MOST findings of
-each label, those whose hash is smallest; every finding is then judged by it.
+say is no feature of the forest. It is fitted on a bounded sample: about MOST
+findings of each label, drawn by the value's hash, a value in COPIES places at most;
+every finding is then judged by it.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyward.llm.common import claim, col, small_batches, stored, text_steps
 from tallyward.llm.forest import Forest, fit_forest
 
-MOST, LEAST_LENGTH, SURE = 3_000, 16, 0.5
+#: UNDECIDED is the probability, where there is no forest, of findings that the rules leave open: nothing speaks for a secret.
+MOST, COPIES, LEAST_LENGTH, SURE, UNDECIDED = 3_000, 3, 16, 0.5, 0.25
 MASK = "<SECRET>"
 #: Names that announce a secret; formats that issuers fixed; marks of values that stand for a secret; marks of paths that hold examples.
 NAMES = "password passwd pwd secret token apikey api_key api-key access_key secret_key private_key auth bearer credential key"
@@ -142,24 +145,30 @@ def findings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return small_batches(docs.select(id_col, text_col, path.cast("string").alias("path"))).mapInArrow(run, schema)
 
 
+def sampled(labelled: DataFrame, *, most: int = MOST) -> DataFrame:
+    """(digest, features, label) of about `most` findings of each label, whole digests drawn by hash; null labels teach nothing.
+
+    Equal values in many rows (copies) would fill the sample: a value and label counts in COPIES places with differing
+    features at most, and the share to draw follows from what is left then.
+    """
+    w = Window.partitionBy("digest", "label").orderBy(F.xxhash64("features"), "features")
+    known = labelled.filter(F.col("label").isNotNull()).select("digest", "features", "label").distinct()
+    few = stored(known.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= COPIES).drop("nth"), "few-copies")
+    n = {r[0]: r[1] for r in few.groupBy("label").count().collect()}
+    draw = (F.xxhash64("digest", F.lit("secrets")) % (1 << 30) + (1 << 30)) / float(1 << 31)
+    share = F.when(F.col("label") == 1, min(1.0, most / n.get(1, 1))).otherwise(min(1.0, most / n.get(0, 1)))
+    return few.filter(draw <= share)
+
+
 def fit(labelled: DataFrame, *, most: int = MOST) -> Forest | None:
     """A forest from labelled findings (digest, features, label 1 or 0; null labels teach nothing); None without findings of both labels."""
-    known = labelled.filter(F.col("label").isNotNull())
-    n = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
-    if not n.get(0) or not n.get(1):
-        return None
-    draw = (F.xxhash64("digest", F.lit("secrets")) % (1 << 30) + (1 << 30)) / float(1 << 31)
-    share = F.when(F.col("label") == 1, min(1.0, most / n[1])).otherwise(min(1.0, most / n[0]))
-    got = known.filter(draw <= share).select("digest", "features", "label").distinct().toPandas().sort_values(["digest", "label"])
-    x, y = np.array(got["features"].tolist(), float), got["label"].to_numpy(int)
-    # equal values in many rows (copies) would fill the sample: each value and label counts in few places
-    few = got.groupby(["digest", "label"]).cumcount().to_numpy() < 3
-    x, y = x[few], y[few]
+    got = sorted((r.digest, r.label, list(r.features)) for r in sampled(labelled, most=most).collect())  # the order fixes the forest
+    x, y = np.array([f for _, _, f in got], float), np.array([k for _, k, _ in got], int)
     return fit_forest(x, y) if 0 < y.sum() < len(y) else None
 
 
 def judged(found: DataFrame, forest: Forest | None, *, sure: float = SURE) -> DataFrame:
-    """The findings with probability and secret (probability of `sure` or more). Without a forest the rules decide, undecided ones are 0.5."""
+    """The findings with probability and secret (probability of `sure` or more). Without a forest the rules decide, undecided ones are UNDECIDED and no secrets."""
     names = [c for c in found.columns if c != "features"]
     kinds = ", ".join(f"{c} {found.schema[c].dataType.simpleString()}" for c in names)
 
@@ -173,7 +182,7 @@ def judged(found: DataFrame, forest: Forest | None, *, sure: float = SURE) -> Da
 
 def probabilities(forest: Forest | None, features: list[list[float]], rules: list[int | None]) -> np.ndarray:
     if forest is None:
-        return np.array([0.5 if r is None else r for r in rules], float)
+        return np.array([UNDECIDED if r is None else r for r in rules], float)
     return forest.predict(np.array(features, float).reshape(len(features), len(FEATURES)))
 
 

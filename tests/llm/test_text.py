@@ -253,3 +253,18 @@ def test_forest():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(int)
     f = forest.fit_forest(x[:400], y[:400], trees=60)
     assert ((f.predict(x[400:]) > 0.5) == y[400:]).mean() > 0.9
+
+
+def test_secret_sample_of_hot_values(spark):
+    """Copies of few values, in equal and in differing contexts: the sample holds some of each label, and three of a value at most."""
+    many = len(secretscan.FEATURES)
+    hot = spark.range(8000).selectExpr("concat('v', id % 8) AS digest", f"array_repeat(double(IF(id % 8 < 4, id % 8, id)), {many}) AS features", "int(id % 2) AS label")
+    assert secretscan.fit(hot, most=20) is not None
+    got = Counter((r.digest, r.label) for r in secretscan.sampled(hot, most=20).collect())
+    assert {k for _, k in got} == {0, 1} and max(got.values()) == 3 and len(got) == 8
+
+
+def test_undecided_findings_without_a_forest(spark):
+    docs = spark.createDataFrame([(1, "see Zx81QmP04vTk72Lw there", "web"), (2, "password=9f8e7d6c5b4a39281706f5e4d3c2b1a0 it is", "web")], "doc_id long, text string, source string")
+    assert {(r.doc_id, r.rule, r.secret) for r in secretscan.scan(docs).collect()} == {(1, None, False), (2, 1, True)}
+    assert sorted(r.text for r in secretscan.redacted(docs).collect()) == ["password=<SECRET> it is", "see Zx81QmP04vTk72Lw there"]
