@@ -1,7 +1,8 @@
 """Secret scans: broad candidates, and a random forest that removes the false ones.
 
 Candidates are long runs of characters with digits or mixed case, values of
-assignments and blocks of private keys. The forest looks at length, character
+assignments (anywhere in a text, with quotes and blanks or without) and blocks of private
+keys. The forest looks at length, character
 transitions and classes, the coverage by the document's own vocabulary, the path
 (source) and the neighbouring words. It learns from labelled findings; where none are given, the
 findings that a strict rule decides either way are the labels, and what the rules
@@ -12,6 +13,7 @@ every finding is then judged by it.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -27,7 +29,7 @@ from tallyward.llm.common import claim, col, small_batches, stored, text_steps
 from tallyward.llm.forest import Forest, fit_forest
 
 #: UNDECIDED is the probability, where there is no forest, of findings that the rules leave open: nothing speaks for a secret.
-MOST, COPIES, LEAST_LENGTH, SURE, UNDECIDED = 3_000, 3, 16, 0.5, 0.25
+MOST, COPIES, LEAST_LENGTH, LEAST_ASSIGNED, SURE, UNDECIDED = 3_000, 3, 16, 8, 0.5, 0.25
 MASK = "<SECRET>"
 #: Names that announce a secret; formats that issuers fixed; marks of values that stand for a secret; marks of paths that hold examples.
 NAMES = "password passwd pwd secret token apikey api_key api-key access_key secret_key private_key auth bearer credential key"
@@ -36,12 +38,21 @@ STANDINS = "example changeme placeholder xxxx your_ dummy 123456789"
 EXAMPLES = "test example sample demo doc fixture"
 
 _NAMES = frozenset(NAMES.split())
+#: Names that announce a secret as the last part of a longer one too (db_password; not primary_key).
+_LAST_PARTS = frozenset("password passwd pwd secret token apikey".split())
 _FORMATS = re.compile(FORMATS)
 _STANDIN = re.compile("|".join(map(re.escape, STANDINS.split())), re.I)
 _EXAMPLE = re.compile("|".join(EXAMPLES.split()), re.I)
 _RUN = re.compile(r"(?<!\S)\S{%d,}" % LEAST_LENGTH)
 _BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.DOTALL)
-_ASSIGNED = re.compile(r"([\w.\-]+)(?:=|:)[\"']?(?=[^\s/=])")
+_QUOTES = ('"', "'", "`")
+#: A name, perhaps quoted, and a sign of assignment, blanks round it. Nothing is tried twice, so long runs take linear time.
+_ASSIGNED = re.compile(r"(?<![\w.\-])([\w.\-]++)[\"'`]?[^\S\r\n]*+(?::=|=>|==?|:)[^\S\r\n]*+")
+_QUOTED = re.compile(r"""\"(?:\\.|[^\"\\\r\n])*+\"|'(?:\\.|[^'\\\r\n])*+'|`[^`\r\n]*+`""")
+#: A value without quotes: up to a blank, a closing quote or the next name that is assigned.
+_BARE = re.compile(r"""(?:[^\s,;&"'`]|[,;&](?!["'{\[]*[\w.\-]++["']?[=:])|["'`](?=\w))++""")
+_BEFORE, _AFTER = "([{<", "\"'`)]}>,;:."
+_PART = re.compile(r"[_\-]")
 _OUTER = "\"'`()[]{}<>,;.!?:"
 #: A run without the punctuation around it.
 _CORE = re.compile(r"[^\W_](?:.*[\w=/+])?|[-_+/].*[\w=/+]")
@@ -51,26 +62,76 @@ _PLAIN = re.compile(r"[\d\s().+\-/:]+")
 FEATURES = ("length", "digits", "upper", "symbols", "transitions", "entropy", "distinct", "hex", "coverage", "address", "named", "assigned", "quoted", "example_path", "word_before", "word_after")
 
 
+def announces(name: str) -> bool:
+    """Whether a name in lower case, or the last part of it, announces a secret."""
+    last = name.split(".")[-1]
+    return last in _NAMES or _PART.split(last)[-1] in _LAST_PARTS
+
+
+def _mixed(value: str) -> bool:
+    return any(c.isdigit() for c in value) or (value != value.lower() and value[1:] != value[1:].lower() and value != value.upper())
+
+
+def assignments(text: str) -> Iterator[tuple[int, int, str, bool]]:
+    """(start, end, name in lower case, quoted) of the values of LEAST_ASSIGNED characters or more that are assigned to a name anywhere in a text; they can overlap.
+
+    Names that announce no secret count where the value has digits or mixed case, or where name and value are one long run, and not as parameters of a URL.
+    """
+    reach = secret_reach = 0  # a value in one that counts as much is none of its own, so long chains of names take linear time
+    for m in _ASSIGNED.finditer(text):
+        name, at = m[1].lstrip("-.").lower(), m.end()
+        secret = announces(name)
+        if not name or m.start() < (secret_reach if secret else max(reach, secret_reach)) or text.startswith("//" if secret else ("/", "="), at):
+            continue
+        if not secret and (name[0].isdigit() or _in_url(text, m.start())):
+            continue
+        quoted = text.startswith(_QUOTES, at)
+        if quoted and (q := _QUOTED.match(text, at)):
+            a, b = q.start() + 1, q.end() - 1
+            if not secret and any(c.isspace() for c in text[a:b]):
+                continue
+        elif v := _BARE.match(text, at + quoted):
+            a, b = v.end() - len(v[0].lstrip(_BEFORE)), v.start() + len(v[0].rstrip(_AFTER))
+        else:
+            continue
+        if b - a < LEAST_ASSIGNED:
+            continue
+        if secret or _mixed(text[a:b]) or (b - m.start(1) >= LEAST_LENGTH and not any(c.isspace() for c in m[0])):
+            reach, secret_reach = (reach, b) if secret else (b, secret_reach)
+            yield a, b, name, quoted
+
+
+def _in_url(text: str, at: int) -> bool:
+    before = text[max(0, at - 2_000) : at]
+    return bool(before) and not before[-1].isspace() and "://" in before.rsplit(None, 1)[-1]
+
+
 def candidates(text: str) -> Iterator[tuple[int, int, str, bool]]:
     """(start, end, assigned name in lower case or '', quoted) of the candidates of a text, in order, without overlap."""
     blocks = [m.span() for m in _BLOCK.finditer(text)] if "-----BEGIN" in text else []
-    for a, b in blocks:
-        yield a, b, "private_key", False
+    taken = [(a, b, "private_key", False) for a, b in blocks]
+    # of values that overlap (user:password=...) those whose name announces a secret count, then the first
+    ends, starts = [b for _, b in blocks], [a for a, _ in blocks]
+    for found in sorted(assignments(text), key=lambda f: (not announces(f[2]), f[0])):
+        i = bisect.bisect_right(starts, found[0])
+        if (i == 0 or ends[i - 1] <= found[0]) and (i == len(starts) or found[1] <= starts[i]):
+            starts.insert(i, found[0])
+            ends.insert(i, found[1])
+            taken.append(found)
+    taken.sort()
+    out, k = list(taken), 0
     for m in _RUN.finditer(text):
-        run, start = m[0], m.start()
-        if any(a <= start < b for a, b in blocks):
-            continue
-        name = ""
-        if (n := _ASSIGNED.match(run)) and len(run) - n.end() >= 8:
-            name, start = n[1].lower(), start + n.end()
-        body = text[start : m.end()]
-        if not (core := _CORE.search(body)):
-            continue
-        inner, a = core[0], start + core.start()
-        if not (name or len(inner) >= LEAST_LENGTH):
-            continue
-        if name or any(c.isdigit() for c in inner) or (inner != inner.lower() and inner[1:] != inner[1:].lower() and inner != inner.upper()):
-            yield a, a + len(inner), name, text[a - 1 : a] in ("'", '"')
+        at, end = m.span()
+        while at < end:
+            while k < len(taken) and taken[k][1] <= at:
+                k += 1
+            stop = min(end, taken[k][0]) if k < len(taken) else end
+            if stop - at >= LEAST_LENGTH and (core := _CORE.search(text[at:stop])):
+                a, inner = at + core.start(), core[0]
+                if len(inner) >= LEAST_LENGTH and _mixed(inner):
+                    out.append((a, a + len(inner), "", text[a - 1 : a] in ("'", '"')))
+            at = max(stop, taken[k][1]) if k < len(taken) else end
+    yield from sorted(out)
 
 
 def _kind(c: str) -> int:
@@ -90,7 +151,7 @@ def describe(text: str, path: str, a: int, b: int, name: str, quoted: bool, voca
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
     before, after = text[max(0, a - 60) : a].rstrip("\"'`").split(), text[b : b + 40].split()
     near = [w.strip(_OUTER + "=").lower() for w in before[-3:]]
-    named = name.split(".")[-1] in _NAMES or any(w in _NAMES for w in near)
+    named = announces(name) or any(w in _NAMES for w in near)
     assigned = bool(name) or (bool(before) and before[-1] in ("=", ":", ":=", "=>"))
     address = "@" in value or "://" in value
     word = lambda ws, i: float(bool(ws) and ws[i].strip(_OUTER).isalpha())

@@ -268,3 +268,29 @@ def test_undecided_findings_without_a_forest(spark):
     docs = spark.createDataFrame([(1, "see Zx81QmP04vTk72Lw there", "web"), (2, "password=9f8e7d6c5b4a39281706f5e4d3c2b1a0 it is", "web")], "doc_id long, text string, source string")
     assert {(r.doc_id, r.rule, r.secret) for r in secretscan.scan(docs).collect()} == {(1, None, False), (2, 1, True)}
     assert sorted(r.text for r in secretscan.redacted(docs).collect()) == ["password=<SECRET> it is", "see Zx81QmP04vTk72Lw there"]
+
+
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ('password = "Tr0ub4dor&3"', "Tr0ub4dor&3"),
+        ("api_key: abcd1234efgh", "abcd1234efgh"),
+        ("pwd=S3cretPw9", "S3cretPw9"),
+        ('{"token": "abc123def456"}', "abc123def456"),
+        ('{"password":"hunter2x9k"}', "hunter2x9k"),
+        ("Server=db;User=me;Password=x7Gh2kLm9;Database=y", "x7Gh2kLm9"),
+        ("user:password=x7Gh2kLm9 there", "x7Gh2kLm9"),
+        ("DB_PASSWORD='two words 4 me!'", "two words 4 me!"),
+    ],
+)
+def test_assigned_values_are_candidates(text, value):
+    for around in (text, f"some words before {text} and after"):
+        named = [(around[a:b], rule) for a, b, _, rule in secretscan.found_in(around, "web") if around[a:b] == value]
+        assert named == [(value, 1)]
+        spans = [(a, b) for a, b, _, _ in secretscan.candidates(around)]
+        assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+
+
+def test_prose_has_no_assigned_candidates():
+    assert not list(secretscan.candidates("Note: everything here is plain. At 12:30:45 we said: nothing whatsoever, or title: chapters"))
+    assert len(list(secretscan.candidates("a=" * 100_000))) < 100_000
