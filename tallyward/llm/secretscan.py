@@ -3,8 +3,7 @@
 Candidates are long runs of characters with digits or mixed case, values of
 assignments (anywhere in a text, with quotes and blanks or without) and blocks of private
 keys. The forest looks at length, character
-transitions and classes, the coverage by the document's own vocabulary, the path
-(source) and the neighbouring words. It learns from labelled findings; where none are given, the
+transitions and classes, runs of letters, the path (source) and the neighbouring words. It learns from labelled findings; where none are given, the
 findings that a strict rule decides either way are the labels, and what the rules
 say is no feature of the forest. It is fitted on a bounded sample: about MOST
 findings of each label, drawn by the value's hash, a value in COPIES places at most;
@@ -51,6 +50,12 @@ _ASSIGNED = re.compile(r"(?<![\w.\-])([\w.\-]++)[\"'`]?[^\S\r\n]*+(?::=|=>|==?|:
 _QUOTED = re.compile(r"""\"(?:\\.|[^\"\\\r\n])*+\"|'(?:\\.|[^'\\\r\n])*+'|`[^`\r\n]*+`""")
 #: A value without quotes: up to a blank, a closing quote or the next name that is assigned.
 _BARE = re.compile(r"""(?:[^\s,;&"'`]|[,;&](?!["'{\[]*[\w.\-]++["']?[=:])|["'`](?=\w))++""")
+#: The password of a URL's user information. Passwords may hold @; the last one of the authority ends them.
+_USERINFO = re.compile(r"(?<=://)[^\s/?#:@\"'<>]*+:([^\s/?#\"'<>]+)@")
+_USERINFO_NAME = "userinfo:password"
+_CREDENTIALS = re.compile(r"://[^\s/?#]*@")
+_PARAMETER = re.compile(r"[?&;#]([\w.\-]++)=(?=[^&;#])")
+_EMAIL = re.compile(r"(?:mailto:)?[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)*\.[^\W\d_]{2,}")
 _BEFORE, _AFTER = "([{<", "\"'`)]}>,;:."
 _PART = re.compile(r"[_\-]")
 _OUTER = "\"'`()[]{}<>,;.!?:"
@@ -59,11 +64,14 @@ _CORE = re.compile(r"[^\W_](?:.*[\w=/+])?|[-_+/].*[\w=/+]")
 _LETTERS = re.compile(r"[^\W\d_]{3,}")
 _PLAIN = re.compile(r"[\d\s().+\-/:]+")
 
-FEATURES = ("length", "digits", "upper", "symbols", "transitions", "entropy", "distinct", "hex", "coverage", "address", "named", "assigned", "quoted", "example_path", "word_before", "word_after")
+#: None of these is what a strict rule asks for (names, assignment, digits, entropy, coverage, addresses).
+FEATURES = ("length", "upper", "symbols", "transitions", "distinct", "longest_letters", "quoted", "example_path", "word_before", "word_after")
 
 
 def announces(name: str) -> bool:
     """Whether a name in lower case, or the last part of it, announces a secret."""
+    if name == _USERINFO_NAME:
+        return True
     last = name.split(".")[-1]
     return last in _NAMES or _PART.split(last)[-1] in _LAST_PARTS
 
@@ -112,7 +120,8 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, bool]]:
     taken = [(a, b, "private_key", False) for a, b in blocks]
     # of values that overlap (user:password=...) those whose name announces a secret count, then the first
     ends, starts = [b for _, b in blocks], [a for a, _ in blocks]
-    for found in sorted(assignments(text), key=lambda f: (not announces(f[2]), f[0])):
+    urls = ((*m.span(1), _USERINFO_NAME, False) for m in _USERINFO.finditer(text)) if "://" in text else ()
+    for found in sorted([*urls, *assignments(text)], key=lambda f: (f[2] != _USERINFO_NAME, not announces(f[2]), f[0])):
         i = bisect.bisect_right(starts, found[0])
         if (i == 0 or ends[i - 1] <= found[0]) and (i == len(starts) or found[1] <= starts[i]):
             starts.insert(i, found[0])
@@ -138,8 +147,17 @@ def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.isalpha() else 3
 
 
+def _plain_url(value: str) -> bool:
+    """A URL without user information and secret-named parameters."""
+    return "://" in value and not _CREDENTIALS.search(value) and not any(announces(m[1].lower()) for m in _PARAMETER.finditer(value))
+
+
 def describe(text: str, path: str, a: int, b: int, name: str, quoted: bool, vocabulary: set[str]) -> tuple[list[float], int | None]:
-    """The features of a candidate, and what a strict rule says of it (1, 0 or nothing)."""
+    """The features of a candidate, and what a strict rule says of it (1, 0 or nothing).
+
+    Of addresses, only plain e-mail addresses and URLs without user information are false; passwords in URLs and values of
+    secret-named parameters are candidates of their own.
+    """
     value, n = text[a:b], b - a
     kinds = [_kind(c) for c in value]
     share = Counter(kinds)
@@ -153,15 +171,19 @@ def describe(text: str, path: str, a: int, b: int, name: str, quoted: bool, voca
     near = [w.strip(_OUTER + "=").lower() for w in before[-3:]]
     named = announces(name) or any(w in _NAMES for w in near)
     assigned = bool(name) or (bool(before) and before[-1] in ("=", ":", ":=", "=>"))
-    address = "@" in value or "://" in value
     word = lambda ws, i: float(bool(ws) and ws[i].strip(_OUTER).isalpha())
     x = [
-        min(n, 200), share[0] / n, share[1] / n, share[3] / n, sum(p != q for p, q in zip(kinds, kinds[1:], strict=False)) / n, entropy, len(counts) / n,
-        sum(c in "0123456789abcdefABCDEF" for c in value) / n, coverage, float(address), float(named), float(assigned), float(quoted), float(bool(_EXAMPLE.search(path))), word(before, -1), word(after, 0),
+        min(n, 200), share[1] / n, share[3] / n, sum(p != q for p, q in zip(kinds, kinds[1:], strict=False)) / n, len(counts) / n,
+        max(map(len, _LETTERS.findall(value)), default=0) / n, float(quoted), float(bool(_EXAMPLE.search(path))), word(before, -1), word(after, 0),
     ]
     if value.startswith("-----BEGIN") or (_FORMATS.fullmatch(value) and not _STANDIN.search(value)):
         return x, 1
-    if address or _PLAIN.fullmatch(value) or _STANDIN.search(value) or coverage > 0.5:
+    if _EMAIL.fullmatch(value) or _plain_url(value) or _PLAIN.fullmatch(value) or _STANDIN.search(value):
+        # an assigned password may look like an address: nothing is said of it
+        return x, None if announces(name) and not _STANDIN.search(value) and not _PLAIN.fullmatch(value) else 0
+    if name == _USERINFO_NAME:
+        return x, 1
+    if coverage > 0.5:
         return x, 0
     if named and assigned and share[0] and share[0] < n and entropy > 2.5:
         return x, 1

@@ -294,3 +294,26 @@ def test_assigned_values_are_candidates(text, value):
 def test_prose_has_no_assigned_candidates():
     assert not list(secretscan.candidates("Note: everything here is plain. At 12:30:45 we said: nothing whatsoever, or title: chapters"))
     assert len(list(secretscan.candidates("a=" * 100_000))) < 100_000
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("postgres://user:x7Gh2kLm9@host.example.org/db", {"x7Gh2kLm9": 1}),
+        ("postgres://user:pw@host.example.org/database", {"pw": 1}),
+        ("https://site.org/path?page=2&token=x7Gh2kLm9&lang=en", {"x7Gh2kLm9": 1}),
+        ("https://site.org/path?page=2&token=x7G", {"https://site.org/path?page=2&token=x7G": None}),
+        ("password=x7Gh2@kLm9", {"x7Gh2@kLm9": 1}),
+        ("see https://site.org/path2/page17/index", {"https://site.org/path2/page17/index": 0}),
+        ("mail someone.else42@mail.site.org", {"someone.else42@mail.site.org": 0}),
+    ],
+)
+def test_credentials_in_addresses_are_no_false_labels(text, found):
+    got = {text[a:b]: rule for a, b, _, rule in secretscan.found_in(text, "web")}
+    assert {v: got.get(v) for v in found} == found
+    assert not {v for v, r in got.items() if r == 1} - set(found)
+
+
+def test_rules_tests_are_no_features():
+    assert not {"digits", "entropy", "coverage", "address", "named", "assigned"} & set(secretscan.FEATURES)
+    assert all(len(x) == len(secretscan.FEATURES) for _, _, x, _ in secretscan.found_in("password = Tr0ub4dor&3", ""))
