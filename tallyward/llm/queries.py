@@ -78,9 +78,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op4_near_copies": r"""
 WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS text, [x FOR x IN [regexp_replace(y, '^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$', '', 'g') FOR y IN regexp_split_to_array(lower(coalesce(text, '')), '\s+')] IF x <> ''] AS ws FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN ['=' || text] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE [array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)] END) AS h FROM w),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN ['=' || text] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE [array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)] END) AS h FROM w),
+s AS (SELECT doc_id, h, count(*) AS c FROM e GROUP BY doc_id, h),
+n AS (SELECT doc_id, sum(c) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.c, b.c)) AS o FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE o >= 0.8 * (x.n + y.n - o)),
 r AS (SELECT doc_id AS node, doc_id AS root FROM n UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
 c AS (SELECT node AS doc_id, min(root) AS class_id FROM r GROUP BY node)

@@ -15,7 +15,7 @@ DATA = "/root/testdata/sf0.01"
 
 def brute_classes(texts, similarity=0.8):
     """doc position -> set of positions in its class."""
-    sets = [set(shingles(t or "").tolist()) for t in texts]
+    sets = [Counter(dict(zip(*(x.tolist() for x in shingles(t or "")), strict=True))) for t in texts]
     parent = list(range(len(texts)))
 
     def find(a):
@@ -26,7 +26,7 @@ def brute_classes(texts, similarity=0.8):
     for i, s in enumerate(sets):
         for j in range(i):
             same = (texts[i] or "") == (texts[j] or "")
-            if same or (s and sets[j] and len(s & sets[j]) / len(s | sets[j]) >= similarity):
+            if same or (s and sets[j] and (s & sets[j]).total() / (s | sets[j]).total() >= similarity):
                 parent[find(i)] = find(j)
     groups = defaultdict(set)
     for i in range(len(texts)):
