@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +14,14 @@ from tallyward.llm.common import col
 
 
 def usable(vectors: DataFrame, *, id_col: str, vec_col: str, not_zero: bool) -> DataFrame:
-    """(id, values as little-endian doubles) of the vectors without null or non-finite components, not null and, if asked, not zero.
+    """(uid, id, values as little-endian doubles) of the vectors without null or non-finite components, not null and, if asked, not zero.
 
-    Null ids take no part. Of rows that share an id, the least vector (by its bytes) counts, once. Empty vectors are zero.
+    Null ids take no part. Every other row does: uid tells apart those that share an id. It is drawn as the rows are read,
+    so the result must be stored before it is used twice. Empty vectors are zero.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, out = [], []
             for i, x in zip(col(batch, "id").to_pylist(), col(batch, "v"), strict=True):
@@ -28,10 +31,11 @@ def usable(vectors: DataFrame, *, id_col: str, vec_col: str, not_zero: bool) ->
                 if np.isfinite(v).all() and (v.any() or not not_zero):
                     ids.append(i)
                     out.append(v.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(ids))), pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["uid", "id", "v"])
+            uid += len(ids)
 
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
-    return rows.mapInArrow(run, "id long, v binary").groupBy("id").agg(F.min("v").alias("v"))
+    return rows.mapInArrow(run, "uid long, id long, v binary")
 
 
 def matrix(blobs: list[bytes], width: int | None = None) -> np.ndarray:
@@ -57,10 +61,10 @@ def keyed_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int,
             yield int(key[a]), int(side[a]), batch.slice(a, b - a)
 
 
-def met(queries: DataFrame, rows: DataFrame, partitions: int) -> DataFrame:
-    """Both sides (key and like columns) dealt by key, a key's queries before its rows."""
-    both = queries.withColumn("side", F.lit(0)).unionByName(rows.withColumn("side", F.lit(1)), allowMissingColumns=True)
-    return both.repartition(partitions, "key").sortWithinPartitions("key", "side", "id")
+def met(first: DataFrame, second: DataFrame, partitions: int) -> DataFrame:
+    """Both sides (key, uid and like columns) dealt by key, the first side of a key before the second."""
+    both = first.withColumn("side", F.lit(0)).unionByName(second.withColumn("side", F.lit(1)), allowMissingColumns=True)
+    return both.repartition(partitions, "key").sortWithinPartitions("key", "side", "uid")
 
 
 def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

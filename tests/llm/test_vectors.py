@@ -20,21 +20,55 @@ def rows():
 
 
 def usable(rows, zero):
-    seen = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and (zero or any(v)):
-            seen[i] = np.array([*v, *[0.0] * (12 - len(v))], np.float32).astype(float)
-    return seen
+    """(id, vector) of every row that takes part."""
+    return [(i, np.array([*v, *[0.0] * (12 - len(v))], np.float32).astype(float)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and (zero or any(v))]
+
+
+def brute(known, every, k, score):
+    """Query id -> the sorted answers of the rows of that id."""
+    out = {}
+    for at, (q, x) in enumerate(known):
+        if q % every == 0:
+            found = sorted((score(x, v), i) for j, (i, v) in enumerate(known) if j != at)[:k]
+            out.setdefault(q, []).append(found)
+    return {q: sorted(v) for q, v in out.items()}
+
+
+def answers(got, sign=1):
+    """The like of brute() from a result; rows that share an id are told apart by their ranks."""
+    out = {}
+    for q, g in got.groupby("query_id"):
+        times = (g["rank"] == 1).sum()
+        assert all((g["rank"] == r).sum() == times for r in g["rank"].unique())
+        out[q] = [[(sign * s, i) for s, i in zip(part["score"], part["vec_id"], strict=True)] for part in ([g.sort_values("rank")] if times == 1 else [])] or times
+    return out
 
 
 def test_exact_top_k(spark, rows, monkeypatch):
     monkeypatch.setattr(topk, "ROW_BLOCK", 100)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 5)
-    known = {i: np.floor(256 * v).astype(int) for i, v in usable(rows, True).items()}
-    want = {q: sorted((-int(known[q] @ v), i) for i, v in known.items() if i != q)[:5] for q in known if q % 50 == 0}
-    got = topk.top_k(vectors(spark, rows)).toPandas().sort_values(["query_id", "rank"])
-    assert {q: [(-s, i) for s, i in zip(g["score"], g["vec_id"], strict=True)] for q, g in got.groupby("query_id")} == want
-    assert all(g["rank"].tolist() == [1, 2, 3, 4, 5] for _, g in got.groupby("query_id"))
+    known = [(i, np.floor(256 * v).astype(int)) for i, v in usable(rows, True)]
+    want = brute(known, 50, 5, lambda x, v: -int(x @ v))
+    got = answers(topk.top_k(vectors(spark, rows)).toPandas(), -1)
+    assert got.keys() == want.keys() and got[0] == 2  # id 0 stands in two rows
+    assert {q: v for q, v in got.items() if q} == {q: v for q, v in want.items() if q}
+
+
+def test_cutoff_leaves_most_entries_unresolved():
+    rng = np.random.default_rng(5)
+    q, r = np.floor(256 * rng.normal(size=(20, 64))), np.floor(256 * rng.normal(size=(3000, 64)))
+    partial = topk._partials(q, r, 4)
+    full, resolved = q @ r.T, 0
+    for i in range(20):
+        tops = np.unique(np.concatenate([np.argsort(-p[i])[:6] for p in partial]))
+        cut = np.sort(full[i, tops])[-5]
+        at = topk.entries([p[i] for p in partial], cut)
+        assert set(np.flatnonzero(full[i] >= cut)) <= set(at.tolist())
+        resolved += len(at)
+    assert resolved < 0.6 * full.size
+    r[::2] /= 50  # short rows can't reach the cutoff
+    assert set(topk.long_enough(q, [float(np.sort(x)[-5]) for x in q @ r.T], r).tolist()) <= set(range(1, 3000, 2))
+    assert len(topk.long_enough(q, [None] * 20, r)) == 3000
 
 
 def test_top_k_of_few_large_and_no_rows(spark):
@@ -51,28 +85,41 @@ def test_top_k_of_few_large_and_no_rows(spark):
 
 def test_multi_index_is_exact_when_all_is_met(spark, rows):
     known = usable(rows, False)
-    got = multiindex.nearest(vectors(spark, rows)).toPandas().sort_values(["query_id", "rank"])
-    for q, g in got.groupby("query_id"):
-        want = sorted((np.sqrt(((known[q] - v) ** 2).sum()), i) for i, v in known.items() if i != q)[:10]
-        assert g["vec_id"].tolist() == [i for _, i in want]
-        assert np.allclose(g["score"], [d for d, _ in want], rtol=1e-12)
-    assert set(got["query_id"]) == {q for q in known if q % 100 == 0}
+    want = brute(known, 100, 10, lambda x, v: np.sqrt(((x - v) ** 2).sum()))
+    got = answers(multiindex.nearest(vectors(spark, rows), wanted=len(known)).toPandas())
+    assert got.keys() == want.keys() and got[0] == 2
+    for q in want.keys() - {0}:
+        assert [i for _, i in got[q][0]] == [i for _, i in want[q][0]]
+        assert np.allclose([d for d, _ in got[q][0]], [d for d, _ in want[q][0]], rtol=1e-12)
     assert multiindex.nearest(vectors(spark, [])).count() == 0
     assert multiindex.nearest(vectors(spark, [(0, [0.0]), (1, [1.0])])).count() == 0
 
 
-def test_recall_and_share(spark, monkeypatch):
+def test_long_vectors_are_compared_whole(spark):
+    few = [(i, [float(i), 0.0]) for i in range(1, 200)] + [(0, [0.0, 0.0, 0.0, 5.0]), (1000, [0.0, 0.0, 0.0, 5.5])]
+    got = multiindex.nearest(vectors(spark, few)).filter("query_id = 0 AND rank <= 2").orderBy("rank").toPandas()
+    assert got[["vec_id", "score"]].values.tolist() == [[1000, 0.5], [1, np.sqrt(26)]]
+
+
+@pytest.mark.parametrize("kind", ["clusters", "given"])
+def test_recall(spark, kind, monkeypatch):
+    """At the registered parameters, against brute force; blocks are made small, so that there are many."""
     monkeypatch.setattr(multiindex, "BLOCK", 300)
-    rng = np.random.default_rng(1)
-    centres = rng.normal(size=(30, 16)) * 3
-    x = (centres[rng.integers(0, 30, 6000)] + rng.normal(size=(6000, 16))).astype(np.float32)
-    got = multiindex.nearest(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), least=50).toPandas()
+    if kind == "clusters":
+        rng = np.random.default_rng(1)
+        centres = rng.normal(size=(30, 16)) * 3
+        x = (centres[rng.integers(0, 30, 6000)] + rng.normal(size=(6000, 16))).astype(np.float32)
+        table = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    else:
+        table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+        x = np.array(table.orderBy("vec_id").toPandas()["embedding"].tolist())
+    got = multiindex.nearest(table).toPandas()
     x, hit = x.astype(float), 0
     for q, g in got.groupby("query_id"):
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
         d[q] = np.inf
         hit += len(set(g["vec_id"]) & set(np.argsort(d)[:10].tolist()))
-    assert hit / len(got) >= 0.9 and len(got) == 600
+    assert hit / len(got) >= 0.9 and len(got) == len(x) // 10
 
 
 def test_walk_takes_cells_in_order():
@@ -80,11 +127,14 @@ def test_walk_takes_cells_in_order():
     index = multiindex.Index(4, np.zeros((9, 2)), np.zeros((7, 2)))
     a, b = rng.random(9), rng.random(7)
     counts = rng.integers(0, 3, 63)
-    order = [c for c in np.argsort((a[:, None] + b).ravel()) if counts[c]]
-    assert index.walk(a, b, counts, 10**9) == order
-    for wanted in (1, 5, 20):
+    order = np.argsort((a[:, None] + b).ravel())
+    right = np.argsort(b)
+    for wanted in (1, 5, 20, 10**9):
         got = index.walk(a, b, counts, wanted)
-        assert got == order[: len(got)] and counts[got].sum() >= wanted > counts[got[:-1]].sum()
+        cells = {left * 7 + int(r) for left, n in got.items() for r in right[:n]}
+        assert cells == set(order[: len(cells)].tolist())
+        last = order[len(cells) - 1]
+        assert wanted > 10**6 or counts[list(cells)].sum() >= wanted > counts[list(cells)].sum() - counts[last]
 
 
 def test_best_breaks_ties_by_id():
