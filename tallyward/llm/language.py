@@ -7,7 +7,8 @@ letter pairs and triples of the whole text, in lower case, square roots of
 their counts, scaled to length one.
 
 The machines are fitted on a bounded sample of labelled rows: PER_LANGUAGE rows
-of each language, those whose hashed id is smallest. All else covers all rows.
+of each language, those whose hashed id is smallest, of the MOST_LANGUAGES languages
+with most rows. All else covers all rows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ FAMILIES = {
     "romance": "fr es it pt ro ca gl",
     "slavic": "ru uk be pl cs sk bg sr hr sl",
 }
-PER_LANGUAGE, DIMS, UNKNOWN = 600, 1 << 13, "und"
+PER_LANGUAGE, MOST_LANGUAGES, DIMS, UNKNOWN = 600, 200, 1 << 13, "und"
 _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
 
 
@@ -119,14 +120,11 @@ class Model:
         return out.tolist(), score
 
 
-def sample(docs: DataFrame, per_language: int, id_col: str, lang_col: str) -> DataFrame:
-    """About per_language rows of each language: those whose hashed id lies under the language's share."""
+def sample(docs: DataFrame, per_language: int, id_col: str, lang_col: str, most: int = MOST_LANGUAGES) -> DataFrame:
+    """About per_language rows of each of the most frequent languages: those whose hashed id lies under the language's share."""
     draw = (F.xxhash64(F.col(id_col).cast("string"), F.lit("language")) % (1 << 30) + (1 << 30)) / float(1 << 31)
-    counts = {r[0]: r[1] for r in docs.groupBy(lang_col).count().collect() if r[0] is not None}
-    keep = F.lit(False)
-    for lang, n in counts.items():
-        keep = keep | ((F.col(lang_col) == lang) & (draw <= min(1.0, per_language / n)))
-    return docs.filter(F.col(lang_col).isNotNull() & keep)
+    counts = docs.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_lang").limit(most)
+    return docs.join(F.broadcast(counts), F.col(lang_col) == F.col("_lang")).filter(draw <= per_language / F.col("_n")).drop("_lang", "_n")
 
 
 def fit(docs: DataFrame, *, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:

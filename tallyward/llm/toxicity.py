@@ -97,22 +97,36 @@ def greatest(scores: np.ndarray) -> float:
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, sum), in linear time: candidates with the sums before and at their end, merged as longer ones beat them."""
-    found: list[tuple[int, int, float, float]] = []
+    """All maximal scoring segments (start, end, sum), in linear time.
+
+    Candidates are kept with the sums before and at their end. Each also knows the last candidate before it with a lesser
+    sum before: those in between can't be the one that a later candidate looks for, so the search jumps over them.
+    """
+    starts: list[int] = []
+    ends: list[int] = []
+    left: list[float] = []
+    right: list[float] = []
+    lesser: list[int] = []
     plus = np.flatnonzero(scores > 0)
     sums = np.concatenate([[0.0], np.cumsum(scores)])
-    for i in plus.tolist():
-        new = (i, i + 1, float(sums[i]), float(sums[i + 1]))
+    for i, low, high in zip(plus.tolist(), sums[plus].tolist(), sums[plus + 1].tolist(), strict=True):
+        start, j = i, len(starts) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
+            while j >= 0 and left[j] >= low:
+                j = lesser[j]
+            if j < 0 or right[j] >= high:
                 break
-            new = (found[j][0], new[1], found[j][2], new[3])
-            del found[j:]
-    return [(a, b, right - left) for a, b, left, right in found]
+            # j and all behind it become one with the new one
+            start, low, k = starts[j], left[j], lesser[j]
+            for x in (starts, ends, left, right, lesser):
+                del x[j:]
+            j = k
+        starts.append(start)
+        ends.append(i + 1)
+        left.append(low)
+        right.append(high)
+        lesser.append(j)
+    return [(a, b, r - v) for a, b, v, r in zip(starts, ends, left, right, strict=True)]
 
 
 def _root(values: np.ndarray, weights: np.ndarray) -> float:

@@ -1,6 +1,7 @@
 """Near copies, secrets, toxicity and language against brute force, planted cases and held-out accuracy."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -137,6 +138,29 @@ def test_language_held_out(spark, documents):
     assert got["lang_score"].between(0, 1).all()
 
 
+def test_language_prediction_by_its_definition(spark, documents):
+    """Family, then the votes of its pairs, worked out margin by margin; features counted letter by letter."""
+    model = language.fit(documents.filter("doc_id % 5 <> 0"), per_language=40)
+    rows = documents.filter("doc_id % 50 = 0").collect()
+    got = {r.doc_id: r.lang_pred for r in language.predict(documents.filter("doc_id % 50 = 0"), model).collect()}
+    for r in rows:
+        x = language.features(r.text)
+        margin = [sum(float(w) * float(v) for w, v in zip(ws[np.flatnonzero(x)], x[np.flatnonzero(x)], strict=True)) + float(b) for ws, b in zip(model.weights, model.bias, strict=True)]
+        name = max(zip(margin, model.families, strict=False))[1]
+        own = [lang for lang in model.languages if language.family(lang) == name]
+        wins, sums = Counter(), Counter()
+        for (a, b), m in zip(model.pairs, margin[len(model.families) :], strict=True):
+            if a in own:
+                wins[a if m > 0 else b] += 1
+                sums[a] += m
+                sums[b] -= m
+        assert got[r.doc_id] == max(own, key=lambda lang: (wins[lang], sums[lang]))
+    words = "".join(c if c.isalpha() else " " for c in "Ab, ab.x".lower()).split()
+    grams = Counter(g for w in (" " + " ".join(words) + " ",) for n in (2, 3) for g in (w[i : i + n] for i in range(len(w) - n + 1)))
+    x = language.features("Ab, ab.x")
+    assert sorted(np.round(x[x > 0] ** 2 * grams.total()).astype(int).tolist()) == sorted(grams.values())  # no two grams fall together here
+
+
 def test_language_without_or_with_one_language(spark):
     docs = spark.createDataFrame([(1, "some words", "en", 1), (2, "more", None, 1)], "doc_id long, text string, lang string, lang_pred int")
     none = language.fit(docs.filter("lang = 'xx'"))
@@ -203,6 +227,57 @@ def test_maximal_segments():
         assert toxicity.greatest(np.array(x)) == pytest.approx(max([0, *(s for *_, s in want)]))
 
 
+def test_segments_take_linear_time():
+    """Toxic words between clean ones, so that no candidate beats another: eight times the text takes about eight times as long."""
+    seconds = []
+    for n in (4_000, 32_000):
+        x = np.tile(np.r_[2.0, np.full(11, -0.15)], n) - np.repeat(np.linspace(0, 1e-3, n), 12) * np.tile(np.r_[1.0, np.zeros(11)], n)
+        down = np.tile(np.r_[2.0, np.full(11, -0.5)], n)  # sums fall, and every candidate looks back
+        best = 1e9
+        for _ in range(3):
+            at = time.perf_counter()
+            toxicity.maximal_segments(x)
+            toxicity.maximal_segments(down)
+            best = min(best, time.perf_counter() - at)
+        seconds.append(best)
+    assert seconds[1] < 24 * seconds[0]
+
+
+def test_log_odds_and_law_by_their_definition(spark):
+    """The model's log-odds, slope and scale from their formulas, worked out document by document."""
+    rows = toxic_corpus(spark)
+    docs = {r.doc_id: r for r in rows.filter("doc_id < 400").collect()}
+    model = toxicity.fit(rows.filter("doc_id < 400"), rows.filter("doc_id < 400").select("doc_id", "toxic"))
+    kept = {i for t in (0, 1) for i in toxicity.unlike(*zip(*((i, toxicity.sketch(r.text)) for i, r in sorted(docs.items()) if r.toxic == t), strict=True))}
+    known = [r for i, r in docs.items() if i in kept]
+    n = Counter(r.toxic for r in known)
+
+    def odds(features):
+        seen = {0: Counter(), 1: Counter()}
+        for r in known:
+            seen[r.toxic].update(features(set(r.text.lower().split())))
+        out = {}
+        for f, y1 in seen[1].items():
+            y0 = seen[0][f]
+            a = toxicity.PRIOR * (y0 + y1) / (n[0] + n[1])
+            delta = np.log((y1 + a) / (n[1] + toxicity.PRIOR - y1 - a + 1)) - np.log((y0 + a) / (n[0] + toxicity.PRIOR - y0 - a + 1))
+            if y1 >= 3 and delta >= toxicity.LEAST_ODDS and delta / np.sqrt(1 / (y1 + a) + 1 / (y0 + a)) >= toxicity.LEAST_Z:
+                out[f] = delta
+        return out
+
+    words = odds(lambda ws: ws)
+    want = words | odds(lambda ws: {f for w in ws if w not in words for f in toxicity.prefixes(w)})
+    assert model.log_odds.keys() == want.keys() and all(model.log_odds[f] == pytest.approx(x) for f, x in want.items())
+    clean = [[model.word_score(w) for w in r.text.split()] for r in known if r.toxic == 0]
+    total = sum(map(len, clean)) + 1
+    plus = [x for c in clean for x in c if x > 0]
+    grown = (sum(np.exp(model.slope * x) for x in [*plus, max(1.0, *want.values())]) + (total - 1 - len(plus)) * np.exp(-model.slope * toxicity.COST)) / total
+    assert grown == pytest.approx(1, abs=1e-6)
+    assert model.scale == pytest.approx(len(clean) / sum(len(c) * np.exp(-model.slope * toxicity.greatest(np.array(c))) for c in clean))
+    for length, most in ((5, 0.5), (200, 3.0)):
+        assert model.surprise(np.array([most]), np.array([length]))[0] == pytest.approx(-np.log(1 - np.exp(-model.scale * length * np.exp(-model.slope * most))))
+
+
 def secret_docs(spark):
     rng = random.Random(2)
     hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
