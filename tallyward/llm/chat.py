@@ -1,7 +1,7 @@
 """Chat formatting in budgeted windows.
 
-A conversation's turns come to a task in order, as a stream. Prefix sums of their
-tokens choose the longest span of whole turns that fits a window's budget. Each
+Turns are tokenised where they lie. With their numbers of tokens they come to a task in
+order, a conversation after the other, as a stream. Prefix sums of the tokens choose the longest span of whole turns that fits a window's budget. Each
 later window repeats the system turn and a limited history (the last turns
 that fit HISTORY tokens), and its loss mask leaves repeated turns out, so every
 assistant text is a target once. A task holds the open window's turns, not the conversation.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import col, steps, stored, tokenizer_path
+from tallyward.llm.common import col, stored, text_steps, tokenizer_path
 from tallyward.llm.words import held_encoder
 
 BUDGET, HISTORY, FRAME_TOKENS = 2048, 256, 6
@@ -65,6 +65,7 @@ class Open:
     system: Turn | None = None
     history: list[Turn] = field(default_factory=list)
     turns: list[Turn] = field(default_factory=list)
+    held: int = 0
 
     def cut(self, last: bool, budget: int, history: int) -> Iterator[dict]:
         """The windows that are complete; with last, all."""
@@ -80,6 +81,7 @@ class Open:
                 return
             yield self.write(head + old, self.turns[:n])
             done, self.turns = self.turns[:n], self.turns[n:]
+            self.held -= int(total[n - 1])
             self.history, left = [], history
             for t in reversed(old + [t for t in done if t is not self.system]):
                 left -= t.tokens
@@ -99,6 +101,7 @@ class Open:
         return {"conv_id": self.conv, "window": self.window - 1, "text": "".join(out), "loss": spans, "repeated": len(repeated), "turns": len(new), "tokens": sum(t.tokens for t in repeated + new)}
 
 
+_TURN_COLUMNS = ("conv_id", "turn", "role", "text")
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -114,39 +117,44 @@ def format_windows(turns: DataFrame, path: str | None = None, *, budget: int = B
     kind = turns.schema["conv_id"].dataType.simpleString()
     schema = f"conv_id {kind}, window long, text string, loss array<struct<start:long,end:long>>, repeated long, turns long, tokens long"
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = held_encoder(path)
+        for part, texts in text_steps(batches):
+            _, at = encoder.encode([escape(t) for t in texts])
+            yield pa.RecordBatch.from_arrays([*(col(part, c) for c in _TURN_COLUMNS), pa.array(np.diff(at) + FRAME_TOKENS)], [*_TURN_COLUMNS, "tokens"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, open_ = held_encoder(path), None
+        open_, like = None, pa.int64()
 
-        def batch_of(rows: list[dict], like: pa.DataType) -> pa.RecordBatch:
+        def batch_of(rows: list[dict]) -> pa.RecordBatch:
             kinds = {"conv_id": like, "window": pa.int64(), "text": pa.string(), "loss": _SPANS, "repeated": pa.int64(), "turns": pa.int64(), "tokens": pa.int64()}
             return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in kinds.items()], list(kinds))
 
-        like = pa.int64()
         for batch in batches:
             like = col(batch, "conv_id").type
-            convs, roles, texts = (col(batch, c).to_pylist() for c in ("conv_id", "role", "text"))
-            roles, texts = [r or "" for r in roles], [t or "" for t in texts]
-            for a, b in steps(texts):
-                _, at = encoder.encode([escape(t) for t in texts[a:b]])
+            for part, texts in text_steps([batch]):
                 rows: list[dict] = []
-                for conv, role, text, n in zip(convs[a:b], roles[a:b], texts[a:b], np.diff(at).tolist(), strict=True):
+                for conv, role, text, n in zip(col(part, "conv_id").to_pylist(), col(part, "role").to_pylist(), texts, col(part, "tokens").to_pylist(), strict=True):
                     if open_ is None or open_.conv != conv:
                         if open_ is not None:
                             rows += open_.cut(True, budget, history)
                         open_ = Open(conv)
-                    turn = Turn(role, text, n + FRAME_TOKENS)
+                    turn = Turn(role or "", text, n)
                     if not open_.window and not open_.turns and role == "system":
                         open_.system = turn
                     open_.turns.append(turn)
-                    if sum(t.tokens for t in open_.turns) > budget:
+                    open_.held += n
+                    if open_.held > budget:
                         rows += open_.cut(False, budget, history)
                 if rows:
-                    yield batch_of(rows, like)
+                    yield batch_of(rows)
         if open_ is not None:
-            yield batch_of(list(open_.cut(True, budget, history)), like)
+            yield batch_of(list(open_.cut(True, budget, history)))
 
-    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")]
-    return turns.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions(*order).mapInArrow(run, schema)
+    kinds = ", ".join(f"{c} {turns.schema[c].dataType.simpleString()}" for c in _TURN_COLUMNS)
+    order = [F.col(c).asc_nulls_first() for c in _TURN_COLUMNS]
+    with_tokens = turns.select(*_TURN_COLUMNS).mapInArrow(counted, f"{kinds}, tokens long")
+    return with_tokens.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def read_windows(windows: DataFrame) -> DataFrame:
