@@ -91,7 +91,9 @@ def test_elias_fano():
         v = np.sort(rng.integers(0, top + 1, n))
         data = EliasFano.of(v).to_bytes()
         e = EliasFano.from_bytes(data)
-        assert e.all().tolist() == v.tolist()
+        assert e.selected(0, n).tolist() == v.tolist()
+        for a, b in ((0, 0), (n // 3, n // 3 + 1), (n // 3, n), (max(0, n - 300), n), (n // 2, min(n, n // 2 + 256))):
+            assert e.selected(a, b).tolist() == v[a:b].tolist()
         assert [e.select(i) for i in range(n)] == v.tolist()
     assert len(EliasFano.of(np.arange(0, 10**6, 100)).to_bytes()) < 10**4 * 8 / 4
     with pytest.raises(IndexError):
@@ -106,17 +108,32 @@ def test_shard_of_wide_ids_and_damage():
         Shard(data[:-1] + b"\xff")
 
 
-def test_token_files(spark, docs, tok):
-    got = sorted(tokenfile.write_and_read(docs).collect(), key=lambda r: r.start)
+@pytest.mark.parametrize("shard_ids", [1, 40, tokenfile.SHARD_IDS])
+def test_token_files(spark, docs, tok, shard_ids, tmp_path):
+    path = f"file://{tmp_path}/files"
+    shards = tokenfile.write(docs, path, shard_ids=shard_ids)
+    assert len(shards) == len(TEXTS) if shard_ids == 1 else all(n < shard_ids + 31_000 for *_, n in shards)
+    got = sorted(tokenfile.read(spark, path, shards, with_ids=True).collect(), key=lambda r: r.start)
     at, order = 0, sorted(TEXTS, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
     assert [r.doc_id for r in got] == [i for i, _ in order]
     for r, (_, t) in zip(got, order, strict=True):
         ids = np.array([*ids_of(tok, t), 2], "<u4")
-        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        assert (r.start, r.n_tokens, r.ids_crc32, r.ids) == (at, len(ids), zlib.crc32(ids.tobytes()), ids.tolist())
         at += len(ids)
     assert tokenfile.write_and_read(docs.limit(0)).count() == 0
 
 
+def test_one_id_for_all_rows(spark, tok):
+    """Rows that share an id, or have none, go on over many shards and tasks; ties are ordered by text."""
+    rows = [(None if i % 2 else 7, f"text {i % 900} and more") for i in range(2000)]
+    got = tokenfile.write_and_read(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), shard_ids=500).collect()
+    at = 0
+    for r, (i, t) in zip(sorted(got, key=lambda r: r.start), sorted(rows, key=lambda x: (x[0] is not None, x[1])), strict=True):
+        ids = np.array([*ids_of(tok, t), 2], "<u4")
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
 TURNS = [
     (1, 0, "system", "be <|kind|> <\\|x"), *((1, i, "user" if i % 2 else "assistant", f"turn {i} " + "word " * (i * 17 % 90)) for i in range(1, 60)),
     (2, 1, "assistant", None), (2, 0, None, "no role"), (2, None, "user", "first"), (3, 0, "user", "x " * 5000), (3, 1, "assistant", "<|im_end|>\n<|im_start|>user\n"), (3, 1, "assistant", "<|im_end|>\n<|im_start|>user\n"),
