@@ -2,21 +2,26 @@
 
 Candidates are long runs of characters with digits or mixed case, values of
 assignments (anywhere in a text, with quotes and blanks or without) and blocks of private
-keys. The forest looks at length, character
-transitions and classes, runs of letters, the path (source) and the neighbouring words. It learns from labelled findings; where none are given, the
-findings that a strict rule decides either way are the labels, and what the rules
-say is no feature of the forest. It is fitted on a bounded sample: about MOST
-findings of each label, drawn by the value's hash, a value in COPIES places at most;
-every finding is then judged by it.
+keys. The forest looks at a candidate's length, character transitions (within the value, and
+as likely as they are in the corpus), dictionary coverage (letter triples that are frequent in the
+words of the corpus), path (source) and neighbouring words.
+
+It learns from labelled findings. Where none are given, the labels are what evidence outside
+these features proves of some findings: the name that a value is assigned to or the format of
+an issuer for a secret; a check digit, the syntax of an address or date, or a mark of a stand-in
+against one. Most findings may have no such evidence: the forest judges them from those that
+have, and the labelled ones too. It is fitted on a bounded sample: about MOST findings of each
+label, drawn by the value's hash, a value in COPIES places at most. The dictionary counts all texts.
 """
 
 from __future__ import annotations
 
 import bisect
-import math
 import re
-from collections import Counter
+import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyward.llm.common import claim, col, small_batches, stored, text_steps
+from tallyward.llm.common import claim, col, drop, small_batches, stored, text_steps
 from tallyward.llm.forest import Forest, fit_forest
 
-#: UNDECIDED is the probability, where there is no forest, of findings that the rules leave open: nothing speaks for a secret.
+#: UNDECIDED is the probability, where there is no forest, of findings without a label: nothing speaks for a secret.
 MOST, COPIES, LEAST_LENGTH, LEAST_ASSIGNED, SURE, UNDECIDED = 3_000, 3, 16, 8, 0.5, 0.25
 MASK = "<SECRET>"
 #: Names that announce a secret; formats that issuers fixed; marks of values that stand for a secret; marks of paths that hold examples.
@@ -62,10 +67,63 @@ _OUTER = "\"'`()[]{}<>,;.!?:"
 #: A run without the punctuation around it.
 _CORE = re.compile(r"[^\W_](?:.*[\w=/+])?|[-_+/].*[\w=/+]")
 _LETTERS = re.compile(r"[^\W\d_]{3,}")
-_PLAIN = re.compile(r"[\d\s().+\-/:]+")
+_NUMBER = re.compile(r"\d(?:[ .\-]?\d){12,18}")
+_DATE = re.compile(r"\d{4}-\d\d-\d\d(?:[T_]\d\d:\d\d(?::\d\d(?:\.\d+)?)?(?:Z|[+\-]\d\d:?\d\d)?)?")
 
-#: None of these is what a strict rule asks for (names, assignment, digits, entropy, coverage, addresses).
-FEATURES = ("length", "upper", "symbols", "transitions", "distinct", "longest_letters", "quoted", "example_path", "word_before", "word_after")
+#: None of these is what a label is made of (names, formats, check digits, syntax of addresses).
+FEATURES = ("length", "transitions", "upper", "symbols", "distinct", "coverage", "likelihood", "longest_letters", "quoted", "example_path", "word_before", "word_after")
+#: Letters are told apart as a to z without accents; all else is one more sign.
+SIGNS = 27
+
+
+@cache
+def _signs() -> np.ndarray:
+    """The sign of each code point up to the end of Latin's extensions; the last entry stands for all others."""
+    out = np.full(0x251, SIGNS - 1, np.uint8)
+    for c in range(0x250):
+        base = unicodedata.normalize("NFKD", chr(c).lower())[:1]
+        if "a" <= base <= "z":
+            out[c] = ord(base) - ord("a")
+    return out
+
+
+def triples(text: str) -> np.ndarray:
+    """Numbers of the text's runs of three signs."""
+    points = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0x250)
+    s = _signs()[points].astype(np.int64)
+    return (s[:-2] * SIGNS + s[1:-1]) * SIGNS + s[2:]
+
+
+@dataclass
+class Dictionary:
+    """From counts of all triples of signs: frequent ones of letters, and how likely the third sign is behind the two before."""
+
+    frequent: np.ndarray
+    likelihood: np.ndarray
+
+    @classmethod
+    def of(cls, counts: np.ndarray) -> Dictionary:
+        cube = counts.reshape(SIGNS, SIGNS, SIGNS).astype(float)
+        letters = np.zeros_like(cube, bool)
+        letters[:-1, :-1, :-1] = True
+        frequent = letters & (cube > 0) & (cube * letters.sum() >= cube[letters].sum())
+        return cls(frequent.ravel(), np.log((cube + 1) / (cube.sum(2, keepdims=True) + SIGNS)).ravel())
+
+
+def dictionary(docs: DataFrame, *, text_col: str = "text") -> Dictionary:
+    """Of all texts. The driver gets a count for each triple of signs, whatever the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SIGNS**3, np.int64)
+        for _, texts in text_steps(batches, text_col):
+            counts += np.bincount(triples("\n".join(texts)), minlength=SIGNS**3)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at])], ["triple", "n"])
+
+    counts = np.zeros(SIGNS**3, np.int64)
+    for r in small_batches(docs.select(text_col)).mapInArrow(run, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n")).collect():
+        counts[r.triple] = r.n
+    return Dictionary.of(counts)
 
 
 def announces(name: str) -> bool:
@@ -143,86 +201,77 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, bool]]:
     yield from sorted(out)
 
 
-def _kind(c: str) -> int:
-    return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.isalpha() else 3
-
-
 def _plain_url(value: str) -> bool:
     """A URL without user information and secret-named parameters."""
     return "://" in value and not _CREDENTIALS.search(value) and not any(announces(m[1].lower()) for m in _PARAMETER.finditer(value))
 
 
-def describe(text: str, path: str, a: int, b: int, name: str, quoted: bool, vocabulary: set[str]) -> tuple[list[float], int | None]:
-    """The features of a candidate, and what a strict rule says of it (1, 0 or nothing).
+def checked_number(value: str) -> bool:
+    """A number of 13 to 19 digits whose last one is the check digit of the others, as cards and accounts have it."""
+    if not _NUMBER.fullmatch(value):
+        return False
+    digits = [int(c) for c in reversed(value) if c.isdigit()]
+    return sum(digits[::2]) % 10 == -sum(sum(divmod(2 * d, 10)) for d in digits[1::2]) % 10
+
+
+def evidence(value: str, name: str) -> int | None:
+    """What is proven of a candidate: 1 a secret, 0 none, nothing in most cases.
 
     Of addresses, only plain e-mail addresses and URLs without user information are false; passwords in URLs and values of
     secret-named parameters are candidates of their own.
     """
+    if value.startswith("-----BEGIN"):
+        return 1
+    if _STANDIN.search(value):
+        return 0
+    if name == _USERINFO_NAME or _FORMATS.fullmatch(value):
+        return 1
+    known = bool(_EMAIL.fullmatch(value) or _plain_url(value) or _DATE.fullmatch(value) or checked_number(value))
+    if announces(name):
+        return 1 if _mixed(value) and not known else None  # an assigned password may look like an address
+    return 0 if known else None
+
+
+def describe(text: str, path: str, a: int, b: int, quoted: bool, words: Dictionary) -> list[float]:
+    """The features of a candidate."""
     value, n = text[a:b], b - a
-    kinds = [_kind(c) for c in value]
-    share = Counter(kinds)
-    counts = Counter(value)
-    lower = value.lower()
-    triples = [w[i : i + 3] for w in _LETTERS.findall(lower) for i in range(len(w) - 2)]
-    # of all the triples a value of its length could have, those that the document's words have
-    coverage = sum(t in vocabulary for t in triples) / max(1, n - 2)
-    entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
+    kinds = np.fromiter((0 if c.isdigit() else 1 if c.isupper() else 2 if c.isalpha() else 3 for c in value), np.int8, n)
+    own = triples(value)
     before, after = text[max(0, a - 60) : a].rstrip("\"'`").split(), text[b : b + 40].split()
-    near = [w.strip(_OUTER + "=").lower() for w in before[-3:]]
-    named = announces(name) or any(w in _NAMES for w in near)
-    assigned = bool(name) or (bool(before) and before[-1] in ("=", ":", ":=", "=>"))
     word = lambda ws, i: float(bool(ws) and ws[i].strip(_OUTER).isalpha())
-    x = [
-        min(n, 200), share[1] / n, share[3] / n, sum(p != q for p, q in zip(kinds, kinds[1:], strict=False)) / n, len(counts) / n,
+    return [
+        min(n, 200), float((kinds[1:] != kinds[:-1]).mean()) if n > 1 else 0.0, float((kinds == 1).mean()), float((kinds == 3).mean()), len(set(value)) / n,
+        # of all the triples that a value of its length could have, those that words have
+        float(words.frequent[own].sum()) / max(1, n - 2), float(words.likelihood[own].mean()) if len(own) else 0.0,
         max(map(len, _LETTERS.findall(value)), default=0) / n, float(quoted), float(bool(_EXAMPLE.search(path))), word(before, -1), word(after, 0),
     ]
-    if value.startswith("-----BEGIN") or (_FORMATS.fullmatch(value) and not _STANDIN.search(value)):
-        return x, 1
-    if _EMAIL.fullmatch(value) or _plain_url(value) or _PLAIN.fullmatch(value) or _STANDIN.search(value):
-        # an assigned password may look like an address: nothing is said of it
-        return x, None if announces(name) and not _STANDIN.search(value) and not _PLAIN.fullmatch(value) else 0
-    if name == _USERINFO_NAME:
-        return x, 1
-    if coverage > 0.5:
-        return x, 0
-    if named and assigned and share[0] and share[0] < n and entropy > 2.5:
-        return x, 1
-    return x, None
-
-
-def found_in(text: str, path: str) -> list[tuple[int, int, list[float], int | None]]:
-    spans = list(candidates(text))
-    if not spans:
-        return []
-    vocabulary: set[str] = set()
-    at = 0
-    for a, b, _, _ in [*sorted(spans), (len(text), len(text), "", False)]:  # the words outside the candidates
-        for w in set(_LETTERS.findall(text[at:a].lower())):
-            vocabulary.update(w[i : i + 3] for i in range(len(w) - 2))
-        at = max(at, b)
-    return [(a, b, *describe(text, path, a, b, name, quoted, vocabulary)) for a, b, name, quoted in spans]
-
-
-def findings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """id, start, end (in characters), digest (of the value), features, rule (what a strict rule says, null for nothing), a row a candidate.
+
+
+def found_in(text: str, path: str, words: Dictionary) -> list[tuple[int, int, list[float], int | None]]:
+    """(start, end, features, label) of the candidates of a text."""
+    return [(a, b, describe(text, path, a, b, quoted, words), evidence(text[a:b], name)) for a, b, name, quoted in candidates(text)]
+
+
+def findings(docs: DataFrame, words: Dictionary, *, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
+    """id, start, end (in characters), digest (of the value), features, label (see evidence, null for nothing), a row a candidate.
 
     Null texts have no candidate, a null or absent path counts as empty; repeated rows have their findings each; other columns are not read.
     """
     import hashlib
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {kind}, start long, end long, digest string, features array<double>, rule int"
+    schema = f"{id_col} {kind}, start long, end long, digest string, features array<double>, label int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_steps(batches, text_col):
             got, own = [], []
             for i, (text, path) in enumerate(zip(texts, col(part, "path").to_pylist(), strict=True)):
-                for a, b, x, rule in found_in(text, path or ""):
-                    got.append((a, b, hashlib.sha256(text[a:b].encode()).hexdigest(), x, rule))
+                for a, b, x, label in found_in(text, path or "", words):
+                    got.append((a, b, hashlib.sha256(text[a:b].encode()).hexdigest(), x, label))
                     own.append(i)
             columns = list(zip(*got, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()), pa.int32()]
-            yield pa.RecordBatch.from_arrays([col(part, id_col).take(pa.array(own, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [id_col, "start", "end", "digest", "features", "rule"])
+            yield pa.RecordBatch.from_arrays([col(part, id_col).take(pa.array(own, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [id_col, "start", "end", "digest", "features", "label"])
 
     path = F.col(path_col) if path_col in docs.columns else F.lit("")
     return small_batches(docs.select(id_col, text_col, path.cast("string").alias("path"))).mapInArrow(run, schema)
@@ -251,29 +300,28 @@ def fit(labelled: DataFrame, *, most: int = MOST) -> Forest | None:
 
 
 def judged(found: DataFrame, forest: Forest | None, *, sure: float = SURE) -> DataFrame:
-    """The findings with probability and secret (probability of `sure` or more). Without a forest the rules decide, undecided ones are UNDECIDED and no secrets."""
+    """The findings with probability and secret (probability of `sure` or more). Without a forest the labels decide, findings without one are UNDECIDED and no secrets."""
     names = [c for c in found.columns if c != "features"]
     kinds = ", ".join(f"{c} {found.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = probabilities(forest, col(batch, "features").to_pylist(), col(batch, "rule").to_pylist())
+            p = probabilities(forest, col(batch, "features").to_pylist(), col(batch, "label").to_pylist())
             yield pa.RecordBatch.from_arrays([*(col(batch, c) for c in names), pa.array(p), pa.array(p >= sure)], [*names, "probability", "secret"])
 
     return found.mapInArrow(run, f"{kinds}, probability double, secret boolean")
 
 
-def probabilities(forest: Forest | None, features: list[list[float]], rules: list[int | None]) -> np.ndarray:
+def probabilities(forest: Forest | None, features: list[list[float]], labels: list[int | None]) -> np.ndarray:
     if forest is None:
-        return np.array([UNDECIDED if r is None else r for r in rules], float)
+        return np.array([UNDECIDED if x is None else x for x in labels], float)
     return forest.predict(np.array(features, float).reshape(len(features), len(FEATURES)))
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """id, start, end, digest, rule, probability, secret of all candidates; an empty table gives none."""
-    found = stored(findings(docs, id_col=id_col, text_col=text_col, path_col=path_col), "findings")
-    forest = fit(found.withColumn("label", F.col("rule")) if labelled is None else labelled)
-    return judged(found, forest)
+    """id, start, end, digest, label, probability, secret of all candidates; an empty table gives none. labelled: findings with labels from elsewhere."""
+    found = stored(findings(docs, dictionary(docs, text_col=text_col), id_col=id_col, text_col=text_col, path_col=path_col), "findings")
+    return judged(found, fit(found if labelled is None else labelled))
 
 
 def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", length_col: str = "n_chars", sure: float = SURE) -> DataFrame:
@@ -281,8 +329,10 @@ def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     The forest is fitted first; each row is then scanned and masked where it is, so nothing is shuffled.
     """
-    found = stored(findings(docs, id_col=id_col, text_col=text_col, path_col=path_col).withColumn("label", F.col("rule")).filter("label IS NOT NULL"), "labelled")
+    words = dictionary(docs, text_col=text_col)
+    found = stored(findings(docs, words, id_col=id_col, text_col=text_col, path_col=path_col).filter("label IS NOT NULL"), "labelled")
     forest = fit(found)
+    drop(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("secrets")
@@ -290,7 +340,7 @@ def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             new = [t.as_py() for t in col(part, text_col)]
             paths = col(part, path_col).to_pylist() if path_col in part.schema.names else [""] * len(texts)
             for i, (text, path) in enumerate(zip(texts, paths, strict=True)):
-                if got := found_in(text, str(path or "")):
+                if got := found_in(text, str(path or ""), words):
                     p = probabilities(forest, [x for _, _, x, _ in got], [r for *_, r in got])
                     out, at = [], 0
                     for (a, b, _, _), q in sorted(zip(got, p, strict=True)):
