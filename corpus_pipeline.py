@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward.llm import language, nearcopies, packing, secretscan, toxicity
-from tallyward.llm.common import stored, table
+from tallyward.llm.common import drop, stored, table
 from tallyward.llm.queries import TOXIC_FROM, language_model, toxicity_model
 
 #: Documents whose language is this uncertain go, as those without any do. Clean text of a few words scores above 0.5.
@@ -51,7 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
