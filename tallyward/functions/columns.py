@@ -6,16 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The names of run modes and run states; any other name means `invalid`.
-MODES = "default full incremental"
-STATES = "nil initialised snapshot medasync workqueue cleanup finished aborting-medasync aborting-snapshot aborted"
+MODES = ("default", "full", "incremental")
+STATES = ("nil", "initialised", "snapshot", "medasync", "workqueue", "cleanup", "finished", "aborting-medasync", "aborting-snapshot", "aborted")
 MOST_PATH_BYTES = 4096
 
 
-def percent_decode(c: Column) -> Column:
-    """Bytes of a text in which %XX stands for a byte; null where a % has no two hex digits behind it. A plus sign stays."""
+def percent_decode(c: Column, charset: str = "UTF-8") -> Column:
+    """Bytes of a text (in the given charset) in which %XX stands for a byte; null where a % has no two hex digits behind it. A plus sign stays."""
     parts = F.split(c, "%", -1)
-    piece = lambda p: F.when(p.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.unhex(F.substring(p, 1, 2)), F.encode(F.substring(p, 3, 1 << 30), "UTF-8")))
-    return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.encode(parts[0], "UTF-8"), lambda got, p: F.concat(got, piece(p)))
+    piece = lambda p: F.when(p.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.unhex(F.substring(p, 1, 2)), F.encode(F.substring(p, 3, 1 << 30), charset)))
+    return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.encode(parts[0], charset), lambda got, p: F.concat(got, piece(p)))
 
 
 def clean_path(path: Column, mount: str, snapshot_dir: str, snapshot: str) -> Column:
@@ -44,11 +44,11 @@ def sha1_hex(content: Column) -> Column:
 
 
 def parse_state(name: Column) -> Column:
-    return F.when(name.isin(*STATES.split()), name).otherwise("invalid")
+    return F.when(name.isin(*STATES), name).otherwise("invalid")
 
 
 def parse_mode(name: Column) -> Column:
-    return F.when(name.isin(*MODES.split()), name).otherwise("invalid")
+    return F.when(name.isin(*MODES), name).otherwise("invalid")
 
 
 def uniform_rand(*parts: Column | str) -> Column:

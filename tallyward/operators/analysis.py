@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql.window import Window
 
 LIFETIME, DEVIATION_ALPHA = 10.0, 0.1
 PAUSE_ABOVE, RESUME_BELOW = 10_000, 1_000
+#: Of the sketches that bound quantiles: ranks are off by a group's size over this at most.
+ACCURACY = 1_000
 
 
 def pair_snapshots(records: DataFrame, *, log: str = "log_id", order: tuple[str, ...] = ("ts", "event_id"), observed: Column, scheduled: Column) -> DataFrame:
@@ -88,26 +91,57 @@ def queue_inefficiency(series: DataFrame, *, queue: str = "log_id", time: str =
     return wide.groupBy(queue).agg((F.coalesce(F.sum(F.when(F.col("exhausted"), F.col("_width"))), F.lit(0)) / F.max(time)).alias("inefficiency"))
 
 
-def quantile(value: str, share: float, accuracy: int | None = None) -> Column:
-    """Exact, which holds a group's distinct values in one task; with an accuracy, approximate in bounded memory, for groups that are large."""
-    return F.percentile(value, share) if accuracy is None else F.percentile_approx(value, share, accuracy)
-
-
-def bench_by_method(bench: DataFrame, value: str = "total_duration", accuracy: int | None = None) -> DataFrame:
-    return bench.groupBy("method").agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), quantile(value, 0.05, accuracy).alias("q05")).orderBy("min")
-
-
-def bench_by_params(bench: DataFrame, params: list[str], value: str = "total_duration", accuracy: int | None = None) -> DataFrame:
-    """Statistics for each value of each parameter of a method, all in one pass by grouping sets: method, param, value (null in no group of its own)."""
-    sets = [[F.col("method"), F.col(p)] for p in params]
-    stats = [F.avg(value).alias("mean"), quantile(value, 0.5, accuracy).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"), quantile(value, 0.05, accuracy).alias("q05")]
-    grouped = bench.groupingSets(sets, "method", *params).agg(*stats, *(F.grouping(p).alias(f"_{p}") for p in params))
-    which = F.coalesce(*(F.when(F.col(f"_{p}") == 0, p) for p in params))
-    return grouped.select("method", which.alias("param"), F.coalesce(*(F.when(F.col(f"_{p}") == 0, F.col(p)) for p in params)).alias("value"), "mean", "median", "min", "max", "q05")
-
-
-def bench_cases(bench: DataFrame, keys: list[str], value: str, accuracy: int | None = None) -> DataFrame:
-    return bench.groupBy(*keys).agg(quantile(value, 0.5, accuracy).alias("median"), F.avg(value).alias("mean"), quantile(value, 0.95, accuracy).alias("q95")).orderBy("median")
+def with_quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], stats: list[Column], accuracy: int = ACCURACY) -> DataFrame:
+    """keys, stats and exact quantiles (linear between neighbours) of each group, however large, by names in shares.
+
+    A sketch of each group gives bounds on both sides of each quantile, sure by twice the sketch's error. Only the
+    values between the bounds are counted, each distinct value once, and ranked; the others are just counted below
+    them. So no task holds a group: it gets a sketch and about 4 / accuracy of the group's rows at most.
+    """
+    names, marks = list(shares), list(shares.values())
+    edges = [min(1.0, max(0.0, q + d / accuracy)) for d in (-2, 2) for q in marks]
+    few = F.col("_n") < 4 * accuracy  # so few that the slack might round to nothing: the whole group is ranked
+    sketched = rows.groupBy(*keys).agg(F.count(value).alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max"), F.percentile_approx(value, edges, accuracy).alias("_e"), *stats)
+    low = F.array(*(F.when(few, F.col("_min")).otherwise(F.col("_e")[i]) for i in range(len(marks))))
+    high = F.array(*(F.when(few, F.col("_max")).otherwise(F.col("_e")[len(marks) + i]) for i in range(len(marks))))
+    groups = sketched.select(*keys, "_n", low.alias("_low"), high.alias("_high"), *(F.col(c) for c in sketched.columns[len(keys) + 4 :]))
+    bounds = groups.select(*(F.col(k).alias(f"_key_{k}") for k in keys), "_low", "_high")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    bounded = rows.select(*keys, value).join(bounds, same).select(*keys, value, "_low", "_high")
+    tags = F.array(*(F.when(F.col(value) < F.col("_low")[i], -1 - i).when(F.col(value) <= F.col("_high")[i], i) for i in range(len(marks))))
+    tagged = bounded.select(*keys, value, F.explode(tags).alias("_tag")).filter("_tag IS NOT NULL")
+    at = F.when(F.col("_tag") < 0, -1 - F.col("_tag")).otherwise(F.col("_tag"))
+    # what lies below the bounds counts as one value, before all others
+    counted = tagged.groupBy(*keys, at.alias("_at"), F.when(F.col("_tag") >= 0, F.col(value)).alias("_value")).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_at").orderBy(F.col("_value").asc_nulls_first()))
+    ranked = counted.withColumn("_upto", upto).filter("_value IS NOT NULL").join(groups.select(*(F.col(k).alias(f"_key_{k}") for k in keys), "_n"), same)
+    rank = (F.col("_n") - 1) * F.lit(marks)[F.col("_at")]
+    first = lambda r: F.min(F.when(F.col("_upto") > r, F.col("_value")))
+    found = ranked.groupBy(*keys, "_at").agg(first(F.floor(rank)).alias("_a"), first(F.ceil(rank)).alias("_b"), F.first(rank - F.floor(rank)).alias("_f"))
+    wide = found.groupBy(*(F.col(k).alias(f"_key_{k}") for k in keys)).agg(*(F.max(F.when(F.col("_at") == i, F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"))).alias(n) for i, n in enumerate(names)))
+    return groups.join(wide, same, "left").select(*keys, *(F.col(c) for c in groups.columns[len(keys) + 3 :]), *names)
+
+
+def bench_by_method(bench: DataFrame, value: str = "total_duration") -> DataFrame:
+    stats = [F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean")]
+    return with_quantiles(bench, ["method"], value, {"q05": 0.05}, stats).orderBy("min")
+
+
+def bench_by_params(bench: DataFrame, params: list[str | tuple[str, ...]], value: str = "total_duration") -> DataFrame:
+    """Statistics for each value of each parameter, or combination of parameters, of a method: method, param, value, mean, median, min, max, q05.
+
+    The names of a combination, and its values (then text), are joined by commas; single parameters have the type of them all.
+    """
+    sets = [(p,) if isinstance(p, str) else p for p in params]
+    single = all(len(p) == 1 for p in sets)
+    of = lambda p: F.col(p[0]) if single else F.concat_ws(",", *(F.col(c).cast("string") for c in p))
+    long = bench.select("method", value, F.explode(F.array(*(F.struct(F.lit(",".join(p)).alias("param"), of(p).alias("value")) for p in sets))).alias("p"))
+    stats = [F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max")]
+    return with_quantiles(long.select("method", "p.param", "p.value", value), ["method", "param", "value"], value, {"median": 0.5, "q05": 0.05}, stats)
+
+
+def bench_cases(bench: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return with_quantiles(bench, keys, value, {"median": 0.5, "q95": 0.95}, [F.avg(value).alias("mean")]).orderBy("median")
 
 
 def case_order(cases: DataFrame, scenario: str, operation: str) -> DataFrame:

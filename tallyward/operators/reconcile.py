@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyward.functions.columns import uniform_rand
+
 
 def relative(path: Column, root: str) -> Column:
     """A path below root, with a leading slash; others as they are."""
@@ -97,25 +99,31 @@ def inject_changes(contents: DataFrame, changers: list[Changer], seed: str, new_
     """path, content, modification_time, effective, applied (array of place, method, id, corrupted) for contents (path, content binary, modification_time).
 
     Each changer applies to a file with its likelihood (draw <= likelihood, from seed, path and changer, so runs repeat), in
-    order. Corrupting ones keep the old time, others set new_time. effective says whether the bytes differ.
+    order. Corrupting ones keep the old time, others set new_time. effective says whether the bytes differ. Draws are native;
+    only files with a change go to Python. Null content is empty.
     """
-    schema = "path string, content binary, modification_time timestamp_ntz, effective boolean, applied array<struct<place:int,method:string,id:string,corrupted:boolean>>"
-    stamp = pd.Timestamp(new_time)
+    draws = [uniform_rand(seed, F.col("path"), F.lit(c.id)) <= c.likelihood for c in changers]
+    places = F.filter(F.array(*(F.when(d, i) for i, d in enumerate(draws))), lambda x: x.isNotNull())
+    # drawn once: a generator, below which the filters are not copied
+    drawn = contents.select("path", F.col("content").cast("binary").alias("content"), F.col("modification_time").cast("timestamp_ntz").alias("modification_time"), F.explode_outer(F.array(places)).alias("places"))
+    entry = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(c.method).alias("method"), F.lit(c.id).alias("id"), F.lit(c.corrupt).alias("corrupted")) for i, c in enumerate(changers)))
+    drawn = drawn.withColumn("honest", F.exists("places", lambda x: F.lit([not c.corrupt for c in changers])[x]))
+    schema = "path string, content binary, modification_time timestamp_ntz, places array<int>, honest boolean, effective boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for path, content, time in zip(batch["path"], batch["content"], batch["modification_time"], strict=True):
-                data, applied = bytes(content or b""), []
-                for place, c in enumerate(changers):
-                    if int(hashlib.md5(f"{seed}{path}{c.id}".encode()).hexdigest()[:8], 16) / 2**32 <= c.likelihood:
-                        data = changed_bytes(data, c, seed, path)
-                        time = time if c.corrupt else stamp
-                        applied.append({"place": place, "method": c.method, "id": c.id, "corrupted": c.corrupt})
-                out.append((path, data, time, data != bytes(content or b""), applied))
-            yield pd.DataFrame(out, columns=["path", "content", "modification_time", "effective", "applied"])
-
-    return contents.select("path", F.col("content").cast("binary").alias("content"), F.col("modification_time").cast("timestamp_ntz").alias("modification_time")).mapInPandas(run, schema)
+            for path, content, own in zip(batch["path"], batch["content"], batch["places"], strict=True):
+                old = data = bytes(content or b"")
+                for i in own:
+                    data = changed_bytes(data, changers[i], seed, path)
+                out.append((data, data != old))
+            yield batch.assign(content=[d for d, _ in out], effective=[e for _, e in out])
+
+    changed = drawn.filter(F.size("places") > 0).mapInPandas(run, schema)
+    rest = drawn.filter(F.size("places") == 0).select("*", F.lit(False).alias("effective")).withColumn("content", F.coalesce("content", F.lit(b"")))
+    time = F.when(F.col("honest"), F.lit(new_time).cast("timestamp_ntz")).otherwise(F.col("modification_time")).alias("modification_time")
+    return changed.unionByName(rest).select("path", "content", time, "effective", F.transform("places", lambda i: entry[i]).alias("applied"))
 
 
 def applied_changers(injected: DataFrame) -> DataFrame:

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The states in which a run has ended.
-ENDED = "finished aborted"
+ENDED = ("finished", "aborted")
 #: Most runs whose ids are broadcast.
 MOST_BROADCAST = 100_000
 
 
 def incomplete_runs(runs: DataFrame) -> DataFrame:
-    return runs.filter(~F.col("state").isin(*ENDED.split())).orderBy("id")
+    return runs.filter(~F.col("state").isin(*ENDED)).orderBy("id")
 
 
 def exists_incomplete(runs: DataFrame, before: int | None = None) -> bool:

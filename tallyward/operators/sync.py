@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.functions.columns import uniform_rand
+from tallyward.functions.columns import short_enough, uniform_rand
 
 FULL, INCREMENTAL = "full", "incremental"
 
@@ -98,8 +98,12 @@ def next_files_by_union(files: DataFrame, inventory: DataFrame, run: int, mode:
     return seen.unionByName(sync_update(files, inventory, run, mode)).unionByName(sync_insert(files, inventory, run, seed=seed, first_id=first_id))
 
 
-def sync_counts(synced: DataFrame) -> DataFrame:
-    return synced.groupBy("action").agg(F.count("*").alias("n"))
+def sync_counts(synced: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """action and n: rows updated, inserted, deleted and unchanged, and of the listing (with its cleaned paths) those listed and, for too long a path, skipped."""
+    actions = synced.select("action")
+    if listed is not None:
+        actions = actions.unionByName(listed.select(F.when(short_enough(F.col("path")), "listed").otherwise("skipped").alias("action")))
+    return actions.groupBy("action").agg(F.count("*").alias("n"))
 
 
 def files_to_be_read(files: DataFrame) -> DataFrame:

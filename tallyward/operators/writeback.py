@@ -7,7 +7,6 @@ from datetime import datetime
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,29 +26,38 @@ def pack_ends(sizes: np.ndarray, most_bytes: int = MOST_BYTES, most_files: int =
         at = end
 
 
-def build_packs(files: DataFrame, *, most_bytes: int = MOST_BYTES, most_files: int = MOST_FILES, partitions: int | None = None) -> DataFrame:
+def build_packs(files: DataFrame, *, buckets: int, most_bytes: int = MOST_BYTES, most_files: int = MOST_FILES) -> DataFrame:
     """id, path, file_size, pack_id, position of the files to be read, packed in the order of (rand, id).
 
-    Files are dealt out by ranges of rand and packed within each partition, so each partition may end with a short pack;
-    with one partition the packs are those of a single walk. A task keeps the open pack alone.
+    Files are dealt out by equal ranges of rand (buckets; a bucket is packed by one task, so their number follows the table)
+    and packed within each, so packs depend on the rows alone and each bucket may end with a short pack; with one bucket the
+    packs are those of a single walk. Ids ascend in the order of the walk. A task keeps the open pack alone.
     """
     ready = files.filter("to_be_read").select("rand", "id", "path", F.coalesce("file_size", F.lit(0)).alias("file_size"))
-    dealt = (ready.repartitionByRange(partitions, "rand") if partitions else ready.repartitionByRange("rand")).sortWithinPartitions("rand", "id")
+    bucket = F.least(F.floor(F.col("rand") * buckets), F.lit(buckets - 1)).cast("bigint")
+    dealt = ready.withColumn("bucket", bucket).repartitionByRange("bucket").sortWithinPartitions("bucket", "rand", "id")
     schema = f"id {files.schema['id'].dataType.simpleString()}, path {files.schema['path'].dataType.simpleString()}, file_size long, pack_id long, position long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack, carried = TaskContext.get().partitionId() << 32, None
+        bucket, pack, carried = -1, 0, None
+
+        def rest() -> Iterator[pd.DataFrame]:
+            if carried is not None and len(carried):
+                yield _packed(carried, np.zeros(len(carried), np.int64), np.zeros(1, np.int64), pack)
+
         for batch in batches:
-            rows = batch if carried is None else pd.concat([carried, batch], ignore_index=True)
-            ends = pack_ends(rows["file_size"].to_numpy(np.int64), most_bytes, most_files)
-            done = ends[-1] if ends else 0
-            if done:
-                starts = np.array([0, *ends[:-1]])
-                yield _packed(rows.iloc[:done], np.repeat(np.arange(len(ends)), np.diff([0, *ends])), starts, pack)
-                pack += len(ends)
-            carried = rows.iloc[done:].reset_index(drop=True)
-        if carried is not None and len(carried):
-            yield _packed(carried, np.zeros(len(carried), np.int64), np.zeros(1, np.int64), pack)
+            for b, own in batch.groupby("bucket", sort=False):
+                if b != bucket:
+                    yield from rest()
+                    bucket, pack, carried = b, int(b) << 32, None
+                rows = own if carried is None else pd.concat([carried, own])
+                ends = pack_ends(rows["file_size"].to_numpy(np.int64), most_bytes, most_files)
+                done = ends[-1] if ends else 0
+                if done:
+                    yield _packed(rows.iloc[:done], np.repeat(np.arange(len(ends)), np.diff([0, *ends])), np.array([0, *ends[:-1]]), pack)
+                    pack += len(ends)
+                carried = rows.iloc[done:]
+        yield from rest()
 
     return dealt.mapInPandas(run, schema)
 

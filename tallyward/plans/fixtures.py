@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MICROS = {"spark": "make_dt_interval(0, 0, 0, cast((k * 137) % 1000000 AS decimal(18, 6)) / 1000000)", "duckdb": "to_microseconds((k * 137) % 1000000)"}
 _RAND = {"spark": "cast(conv(substr(md5(path), 1, 8), 16, 10) AS double) / 4294967296.0", "duckdb": "(('0x' || substr(md5(path), 1, 8))::UBIGINT) / 4294967296.0"}
 #: Braces name what a view reads.
 VIEWS = {
@@ -18,9 +19,10 @@ VIEWS = {
     "results": """SELECT k + 1 AS id, k % 100 AS pack_id, k AS pos, CASE WHEN k % 97 = 0 THEN sha1(concat('x', path)) ELSE sha1(path) END AS checksum FROM {all_k} WHERE k % 11 <> 0
         UNION ALL SELECT k + 1, 1000 + k % 100, k, sha1(concat('late', path)) FROM {all_k} WHERE k % 11 <> 0 AND k % 50 = 1
         UNION ALL SELECT 10000000 + k, 2000, k, sha1(path) FROM {all_k} WHERE k % 5000 = 0""",
-    "runs": """SELECT cast(n_nationkey + 1 AS bigint) AS id, concat('run-', cast(n_nationkey + 1 AS string)) AS snapshot_name, CASE WHEN n_nationkey % 6 <> 5 THEN cast(n_nationkey + 100 AS bigint) END AS snapshot_id,
-        CASE WHEN n_nationkey % 2 = 0 THEN 'full' ELSE 'incremental' END AS sync_mode, CASE n_regionkey WHEN 0 THEN 'finished' WHEN 1 THEN 'aborted' WHEN 2 THEN 'workqueue' WHEN 3 THEN 'medasync' ELSE 'bogus' END AS state FROM {nation}""",
-    "warnings": """SELECT k + 1 AS id, k + 1 AS file_id, path, mtime AS modification_time, size AS file_size, sha1(path) AS expected_checksum, sha1(concat('x', path)) AS actual_checksum, k % 25 + 1 AS discovered, cast(1 AS bigint) AS last_read FROM {all_k} WHERE k % 97 = 0""",
+    # a run a customer, the newest is 25, so that runs grow with the tables and the newest have warnings
+    "runs": """SELECT cast(26 - c_custkey AS bigint) AS id, concat('run-', cast(26 - c_custkey AS string)) AS snapshot_name, CASE WHEN c_custkey % 6 <> 5 THEN cast(c_custkey + 100 AS bigint) END AS snapshot_id,
+        CASE WHEN c_custkey % 2 = 0 THEN 'full' ELSE 'incremental' END AS sync_mode, CASE c_nationkey % 5 WHEN 0 THEN 'finished' WHEN 1 THEN 'aborted' WHEN 2 THEN 'workqueue' WHEN 3 THEN 'medasync' ELSE 'bogus' END AS state FROM {customer}""",
+    "warnings": """SELECT k + 1 AS id, k + 1 AS file_id, path, mtime + <MICROS> AS modification_time, size AS file_size, sha1(path) AS expected_checksum, sha1(concat('x', path)) AS actual_checksum, k % 25 + 1 AS discovered, cast(1 AS bigint) AS last_read FROM {all_k} WHERE k % 97 = 0""",
     "probe_log": """SELECT cast(user_id % 20 AS bigint) AS log_id, ts, event_id, CASE event_type WHEN 'view' THEN 'Probed queue and calculated derivatives' WHEN 'click' THEN 'Calculated threshold' ELSE 'Calling schedule' END AS msg,
         cast(floor(value) AS bigint) AS queue_length, event_id % 40 AS enqueued FROM {events}""",
     "probes": "SELECT log_id, ts, event_id, queue_length, enqueued FROM {probe_log} WHERE msg = 'Probed queue and calculated derivatives'",
@@ -48,7 +50,7 @@ _NAME = re.compile(r"\{(\w+)\}")
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = VIEWS[name].replace("<RAND>", _RAND["spark"])
+    sql = VIEWS[name].replace("<RAND>", _RAND["spark"]).replace("<MICROS>", _MICROS["spark"])
     return spark.sql(sql, **{x: view(spark, sf_dir, x) for x in dict.fromkeys(_NAME.findall(sql))})
 
 
@@ -64,7 +66,7 @@ def with_views(body: str) -> str:
 
     for x in _NAME.findall(body):
         add(x)
-    plain = lambda s: _NAME.sub(r"\1", s.replace("<RAND>", _RAND["duckdb"]))
+    plain = lambda s: _NAME.sub(r"\1", s.replace("<RAND>", _RAND["duckdb"]).replace("<MICROS>", _MICROS["duckdb"]))
     ctes = ", ".join(f"{x} AS ({plain(VIEWS[x])})" for x in order)
     body = plain(body).strip()
     if ctes and body.upper().startswith("WITH "):

@@ -40,6 +40,12 @@ def query(sql: str | None = None, **names: str):
 # sources and sinks
 
 
+def _through_a_file(lines: DataFrame) -> DataFrame:
+    folder = work_folder(lines.sparkSession, "lines")
+    logs.write_lines(lines, folder)
+    return lines.sparkSession.read.text(folder).withColumnRenamed("value", "line")
+
+
 @query("SELECT CAST(1 AS BIGINT) AS inode, CAST(1 AS BIGINT) AS generation, CAST(7 AS BIGINT) AS snapshot_id, size AS file_size, mtime AS modification_time, concat('/mnt/fs/.snapshots/s1', path) AS path FROM {all_k} WHERE k % 13 <> 0")
 def src1_read_filelist(v):
     return filelist.read_filelist(v("lines").select("line"), strict=False).withColumn("path", F.decode("path", "UTF-8"))
@@ -54,20 +60,23 @@ def src2_filelist_errors(v):
 SELECT a.path, 'changed' AS event, f.corrupted, f.corrupted_only, CAST(row_number() OVER (PARTITION BY a.path ORDER BY a.place) - 1 AS INTEGER) AS place, a.method, a.id FROM {applied} a JOIN f ON a.path = f.path""")
 def src3_read_changelog(v):
     events = reconcile.fold_changers(v("applied")).select(F.to_json(F.struct(F.lit("changed").alias("event"), "path", "corrupted", "corrupted_only", "changers")).alias("line"))
-    return logs.applications(logs.parse_changelog(events))
+    folder = work_folder(events.sparkSession, "changelog")
+    logs.write_lines(events, folder)
+    return logs.applications(logs.read_changelog(events.sparkSession, folder))
 
 
-@query("""SELECT id, concat('{"id":', id, ',"file_id":', file_id, ',"path":"', path, '","modification_time":"', strftime(modification_time, '%Y-%m-%dT%H:%M:%SZ'), '","file_size":', file_size,
+@query(r"""SELECT concat('{"id":', id, ',"file_id":', file_id, ',"path":"', path, '","modification_time":"', regexp_replace(strftime(modification_time, '%Y-%m-%dT%H:%M:%S.%f'), '\.?0+$', ''), 'Z","file_size":', file_size,
  ',"expected_checksum":"', expected_checksum, '","actual_checksum":"', actual_checksum, '","discovered":', discovered, ',"last_read":', last_read, ',"created":"2026-01-01T00:00:00Z"}') AS line FROM {warnings}""")
 def src4_write_warnings_json(v):
     w = v("warnings").withColumns({c: F.unhex(c) for c in ("expected_checksum", "actual_checksum")})
-    return logs.warnings_as_json(w.withColumn("created", F.lit(CREATED).cast("timestamp_ntz")))
+    return _through_a_file(logs.warnings_as_json(w.withColumn("created", F.lit(CREATED).cast("timestamp_ntz"))))
 
 
-@query("""SELECT id, concat('{"id":', id, ',"snapshot_name":"', snapshot_name, '"', CASE WHEN snapshot_id IS NULL THEN '' ELSE concat(',"snapshot_id":', snapshot_id) END,
- CASE WHEN id % 2 = 0 THEN ',"run_at":"2026-01-01T00:00:00Z"' ELSE '' END, ',"sync_mode":"', sync_mode, '","state":"', state, '"}') AS line FROM {runs}""")
+@query(r"""SELECT concat('{"id":', id, ',"snapshot_name":"', snapshot_name, '"', CASE WHEN snapshot_id IS NULL THEN '' ELSE concat(',"snapshot_id":', snapshot_id) END,
+ CASE WHEN id % 2 = 0 THEN concat(',"run_at":"', regexp_replace(strftime(TIMESTAMP '2026-01-01' + to_microseconds(abs(id) * 1500), '%Y-%m-%dT%H:%M:%S.%f'), '\.?0+$', ''), 'Z"') ELSE '' END, ',"sync_mode":"', sync_mode, '","state":"', state, '"}') AS line FROM {runs}""")
 def src5_write_runs_json(v):
-    return logs.runs_as_json(v("runs").withColumn("run_at", F.when(F.col("id") % 2 == 0, F.lit(CREATED).cast("timestamp_ntz"))))
+    run_at = F.lit(CREATED).cast("timestamp_ntz") + F.make_dt_interval(secs=(F.abs("id") * 1500).cast("decimal(18,6)") / 1_000_000)
+    return _through_a_file(logs.runs_as_json(v("runs").withColumn("run_at", F.when(F.col("id") % 2 == 0, run_at))))
 
 
 @query("SELECT event_id, msg, CAST(queue_length AS VARCHAR) AS queue_length, CAST(enqueued AS VARCHAR) AS enqueued FROM {probe_log}")
@@ -76,17 +85,23 @@ def src6_read_logfmt(v):
     return got.select(F.col("fields")["event_id"].cast("bigint").alias("event_id"), *(F.col("fields")[c].alias(c) for c in ("msg", "queue_length", "enqueued")))
 
 
-@query("""SELECT concat_ws(',', CAST(CAST(floor(epoch(ts)) AS BIGINT) AS VARCHAR), strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), CAST(event_id AS VARCHAR), CAST(queue_length AS VARCHAR), CASE WHEN exhausted THEN 'true' ELSE 'false' END, CAST(enqueued AS VARCHAR), '5',
- CAST(consumption AS VARCHAR), '1.5', '0.25', '2', '0.125', CAST(threshold AS VARCHAR), 'maintaining', CAST(threshold AS VARCHAR)) AS line FROM {series}""")
+@query("""SELECT CAST(CAST(floor(epoch(ts)) AS BIGINT) AS VARCHAR) AS "time", strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS "timestamp", CAST(event_id AS VARCHAR) AS previous_queue_length, CASE WHEN queue_length <> 7 THEN CAST(queue_length AS VARCHAR) END AS queue_length,
+ CASE WHEN exhausted THEN 'true' ELSE 'false' END AS exhausted, CAST(enqueued AS VARCHAR) AS enqueued, '5' AS worker_num, CAST(consumption AS VARCHAR) AS consumption, '1.5' AS deviation, '0.25' AS consumption_alpha, '2' AS consumption_ewma, '0.125' AS deviation_alpha,
+ CAST(threshold AS VARCHAR) AS deviation_ewma, 'maintaining' AS phase, CAST(threshold AS VARCHAR) AS threshold FROM {series}""")
 def src7_write_snapshots_csv(v):
     number = {"deviation": 1.5, "consumption_alpha": 0.25, "consumption_ewma": 2.0, "deviation_alpha": 0.125}
     rows = v("series").withColumns({"time": F.col("ts"), "previous_queue_length": F.col("event_id"), "worker_num": F.lit(5), "phase": F.lit("maintaining"), "deviation_ewma": F.col("threshold").cast("double")} | {k: F.lit(x) for k, x in number.items()})
-    return logs.snapshots_as_csv(rows)
+    folder = work_folder(rows.sparkSession, "snapshots")
+    logs.write_snapshots_csv(rows.withColumn("queue_length", F.nullif("queue_length", F.lit(7))), folder)
+    return rows.sparkSession.read.csv(folder, header=True)
 
 
 @query("SELECT method, CAST(batch_size AS INTEGER) AS batch_size, transaction_size, concurrent, CASE WHEN concurrent THEN concurrency ELSE 0 END AS concurrency, total_duration FROM {bench}")
 def src8_read_bench_csv(v):
-    return logs.parse_bench_csv(v("bench").select(F.concat_ws(",", *(F.col(c).cast("string") for c in ("method", "batch_size", "transaction_size", "concurrent", "concurrency", "total_duration"))).alias("line")))
+    bench = v("bench").select("method", "batch_size", "transaction_size", "concurrent", "concurrency", "total_duration")
+    folder = work_folder(bench.sparkSession, "bench")
+    bench.write.csv(folder, header=True)
+    return logs.read_bench_csv(bench.sparkSession, folder)
 
 
 @query("SELECT id, CAST(strlen(content) AS BIGINT) AS bytes_read, sha1(content) AS checksum FROM {contents}")
@@ -94,14 +109,25 @@ def src9_checksum_contents(v):
     return contents.checksum_contents(v("contents"))
 
 
-@query("""SELECT id, snapshot_name, snapshot_id, sync_mode, CASE WHEN id = 3 THEN 'finished' ELSE state END AS state FROM {runs}
-UNION ALL SELECT id + 100, snapshot_name, snapshot_id, sync_mode, 'nil' FROM {runs} WHERE id <= 5""")
+@query()
+def src9_checksum_files(v):
+    """The checksums of real files, one for each source and language of the contents, and of one that isn't there, which is left out."""
+    texts = v("documents").select(F.coalesce("source", F.lit("none")).alias("source"), F.coalesce("lang", F.lit("none")).alias("lang"), F.regexp_replace("text", "[\r\n]", " ").alias("text"))
+    spark, folder = texts.sparkSession, work_folder(texts.sparkSession, "contents")
+    texts.repartition("source", "lang").sortWithinPartitions("source", "lang", "text").write.partitionBy("source", "lang").text(folder)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_extract("path", "source=.*/", 0).alias("id"), "path")
+    missing = spark.createDataFrame([("none", f"{folder}/none")], "id string, path string")
+    return contents.checksum_files(listed.union(missing), "string")
+
+
+@query("""SELECT id, path, file_size, CASE WHEN id % 9 = 1 THEN 5 ELSE last_seen END AS last_seen, to_be_read FROM {files_prev}
+UNION ALL SELECT id + 100000000, path, file_size, last_seen, false FROM {files_prev} WHERE to_be_read""")
 def src10_table_store(v):
-    all_runs = v("runs")
-    store = Store(all_runs.sparkSession, work_folder(all_runs.sparkSession, "store"))
-    store.write("runs", all_runs)
-    store.append("runs", all_runs.filter("id <= 5").withColumn("id", F.col("id") + 100).withColumn("state", F.lit("nil")))
-    return store.replace("runs", all_runs.filter("id = 3").withColumn("state", F.lit("finished")))
+    files = v("files_prev").select("id", "path", "file_size", "last_seen", "to_be_read")
+    store = Store(files.sparkSession, work_folder(files.sparkSession, "store"))
+    store.write("files", files, ["to_be_read"])
+    store.append("files", files.filter("to_be_read").withColumns({"id": F.col("id") + 100_000_000, "to_be_read": F.lit(False)}))
+    return store.replace("files", files.filter("id % 9 = 1").withColumn("last_seen", F.lit(5).cast("bigint")))
 
 
 # filters
@@ -273,9 +299,9 @@ def agg2_path_length_stats(v):
     return sync.path_length_stats(v("inventory")).withColumn("mean_length", F.round("mean_length", 6))
 
 
-@query(f"WITH u AS ({_FULL}), n AS ({_INSERTED}), d AS ({_REMOVED}) SELECT 'update' AS action, count(*) AS n FROM u UNION ALL SELECT 'insert', count(*) FROM n UNION ALL SELECT 'delete', count(*) FROM d")
+@query(f"WITH u AS ({_FULL}), n AS ({_INSERTED}), d AS ({_REMOVED}) SELECT 'update' AS action, count(*) AS n FROM u UNION ALL SELECT 'insert', count(*) FROM n UNION ALL SELECT 'delete', count(*) FROM d UNION ALL SELECT CASE WHEN strlen(path) <= 4096 THEN 'listed' ELSE 'skipped' END, count(*) FROM {{long_paths}} GROUP BY 1")
 def agg3_sync_counts(v):
-    return sync.sync_counts(sync.sync_files(v("files_prev"), v("inventory"), RUN))
+    return sync.sync_counts(sync.sync_files(v("files_prev"), v("inventory"), RUN), v("long_paths"))
 
 
 def _packs(v):
@@ -321,6 +347,15 @@ def agg9_bench_by_params(v):
     return _rounded(analysis.bench_by_params(v("bench"), ["batch_size", "transaction_size", "concurrency"]), "mean", "median", "q05")
 
 
+_PARAMS = "SELECT method, '{a},{b}' AS param, concat({a}, ',', {b}) AS value, round(avg(total_duration) + 0.0000021, 4) AS mean, round(median(total_duration) + 0.0000021, 4) AS median, min(total_duration) AS min, max(total_duration) AS max, round(quantile_cont(total_duration, 0.05) + 0.0000021, 4) AS q05 FROM {{bench}} GROUP BY method, {a}, {b}"
+_PAIRS = [("transaction_size", "concurrency"), ("batch_size", "concurrency")]
+
+
+@query(" UNION ALL ".join(_PARAMS.format(a=a, b=b) for a, b in _PAIRS))
+def agg9_bench_by_param_pairs(v):
+    return _rounded(analysis.bench_by_params(v("bench"), _PAIRS), "mean", "median", "q05")
+
+
 _CASES = "SELECT l_returnflag AS case, l_linestatus AS scenario, CASE WHEN l_linenumber % 2 = 0 THEN 'update' ELSE 'insert' END AS operation, l_extendedprice AS duration FROM {lineitem}"
 
 
@@ -366,9 +401,15 @@ def win1_later_results(v):
     return writeback.later_results(v("results"))
 
 
-@query()
+_CLOSED = "(s.held >= 5242880 OR s.position = 999)"
+
+
+@query(f"""WITH c AS (SELECT id, path, file_size, CAST(floor(rand * 16) AS BIGINT) AS bucket, row_number() OVER (PARTITION BY floor(rand * 16) ORDER BY rand, id) AS rn FROM {{files_prev}}),
+s AS (SELECT bucket, rn, id, path, file_size, CAST(0 AS BIGINT) AS pack, CAST(0 AS BIGINT) AS position, file_size AS held FROM c WHERE rn = 1 UNION ALL SELECT c.bucket, c.rn, c.id, c.path, c.file_size,
+ CASE WHEN {_CLOSED} THEN s.pack + 1 ELSE s.pack END, CASE WHEN {_CLOSED} THEN 0 ELSE s.position + 1 END, CASE WHEN {_CLOSED} THEN c.file_size ELSE s.held + c.file_size END FROM s JOIN c ON c.bucket = s.bucket AND c.rn = s.rn + 1)
+SELECT id, path, file_size, bucket * 4294967296 + pack AS pack_id, position FROM s""")
 def win2_build_packs(v):
-    return writeback.build_packs(v("files_prev").withColumn("to_be_read", F.lit(True)))
+    return writeback.build_packs(v("files_prev").withColumn("to_be_read", F.lit(True)), buckets=16)
 
 
 @query("SELECT method, batch_size, transaction_size, concurrent, concurrency, total_duration FROM (SELECT *, rank() OVER (PARTITION BY method ORDER BY total_duration) AS n FROM {bench}) WHERE n = 1")
@@ -539,31 +580,35 @@ def _result_stream(v) -> DataFrame:
 @query(_WRITTEN)
 def str1_stream_write_back(v):
     files = v("files_run2")
-    return stream_write_back(files.sparkSession, files, _result_stream(v), RUN)[0]
+    return stream_write_back(files.sparkSession, files, _result_stream(v), RUN, refuse=False)[0]
 
 
 @query(_MISMATCHES)
 def str1_stream_warnings(v):
     files = v("files_run2")
-    return stream_write_back(files.sparkSession, files, _result_stream(v), RUN)[1]
+    return stream_write_back(files.sparkSession, files, _result_stream(v), RUN, refuse=False)[1]
+
+
+@query(f"WITH r AS ({_FIRST}) SELECT r.* FROM r WHERE NOT EXISTS (SELECT 1 FROM {{files_run2}} f WHERE f.id = r.id)")
+def str1_stream_unknown(v):
+    files = v("files_run2")
+    return stream_write_back(files.sparkSession, files, _result_stream(v), RUN, refuse=False)[2].select("id", "pack_id", "pos", "checksum")
 
 
 @query("SELECT DISTINCT id FROM {results} WHERE id IN (SELECT id FROM {files_prev} WHERE to_be_read)")
 def str2_stream_late_results(v):
     files = v("files_prev")
-    spark, folder = files.sparkSession, work_folder(files.sparkSession, "late")
-    got = stream_late_results(_result_stream(v), files).select("id")
-    got.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
-    return spark.read.schema(got.schema).parquet(f"{folder}/out")
+    return stream_late_results(files.sparkSession, _result_stream(v), files).select("id")
 
 
 @query(f"{_EWMA} SELECT log_id, event_id, consumption, round(ewma, 6) AS consumption_ewma, round(spread, 6) AS deviation_ewma FROM s")
 def str3_stream_queue_ewma(v):
     probes = v("probes").select("log_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"), "queue_length", "enqueued")
     spark, folder = probes.sparkSession, work_folder(probes.sparkSession, "probes")
-    cut = probes.approxQuantile("seconds", [0.5], 0.05)[0]
-    # the second half arrives when the first has been taken, as batches must come in order
-    for part in (probes.filter(F.col("seconds") <= cut), probes.filter(F.col("seconds") > cut)):
+    cuts = probes.approxQuantile("seconds", [i / 6 for i in range(1, 6)], 0.01)
+    # a part arrives when the one before has been taken, as batches must come in order
+    for low, high in zip([float("-inf"), *cuts], [*cuts, float("inf")], strict=True):
+        part = probes.filter((F.col("seconds") > low) & (F.col("seconds") <= high))
         part.write.mode("append").parquet(f"{folder}/in")
         got = stream_queue_ewma(spark.readStream.schema(probes.schema).parquet(f"{folder}/in"))
         got.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()

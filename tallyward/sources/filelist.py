@@ -11,8 +11,11 @@ from tallyward.functions.columns import base_path, clean_path, percent_decode, s
 
 LINE = r"^(\d+) (\d+) (\d+)[\t\n\x0B\f\r ]+\|(\d+)\|([^|]*)\| -- ([\s\S]*)$"
 _TIME = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d+)?$"
-#: Longest number, time and name of a line, in characters.
+#: Longest number, time and name of a line, in bytes.
 MOST_NUMBER, MOST_TIME, MOST_NAME = 32, 64, 16384
+#: A text in which each byte is one character, so that lines need not be UTF-8, and lengths count bytes.
+_BYTES = "ISO-8859-1"
+_PARTS = "\x01".join(["", "$1", "$2", "$3", "$4", "$5", "$6"])
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -21,25 +24,27 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
-    """line and its fields, and problem: null for a good line, else format, length, number, time or path. Native expressions alone."""
-    part = lambda i: F.regexp_extract(line, LINE, i)
-    long = lambda i: part(i).try_cast("bigint")
-    parsed = lines.select(
-        "*",
-        long(1).alias("inode"), long(2).alias("generation"), long(3).alias("snapshot_id"), long(4).alias("file_size"),
-        F.when(part(5).rlike(_TIME), part(5).try_cast("timestamp_ntz")).alias("modification_time"),
-        percent_decode(part(6)).alias("path"),
+    """lines with the line's fields and problem: null for a good line, else format, length, number, time or path. Native expressions alone.
+
+    Lines are bytes: those that are not UTF-8 keep theirs in the path. A line is matched once: its parts become an array,
+    and the fields a row of a generator, below which neither projections nor filters on the fields are copied.
+    """
+    raw = F.decode(F.col(line).cast("binary"), _BYTES)
+    cut = lines.withColumn("_raw", raw).withColumn("_parts", F.split(F.regexp_replace("_raw", LINE, _PARTS), "\x01", 7))
+    part = lambda i: F.try_element_at("_parts", F.lit(i + 1))
+    fits = (F.size("_parts") == 7) & (part(0) == "") & ~F.col("_raw").startswith("\x01")
+    too_long = reduce(Column.__or__, [F.length(part(i)) > most for i, most in ((1, MOST_NUMBER), (2, MOST_NUMBER), (3, MOST_NUMBER), (4, MOST_NUMBER), (5, MOST_TIME), (6, MOST_NAME))])
+    early = F.when(F.coalesce(~fits, F.lit(True)), "format").when(too_long, "length")
+    names = ("inode", "generation", "snapshot_id", "file_size")
+    fields = F.struct(
+        early.alias("_early"), *(part(i + 1).try_cast("bigint").alias(n) for i, n in enumerate(names)),
+        F.when(part(5).rlike(_TIME), part(5).try_cast("timestamp_ntz")).alias("modification_time"), F.when(early.isNull(), percent_decode(part(6), _BYTES)).alias("path"),
     )
-    too_long = reduce(Column.__or__, [F.length(part(i)) > MOST_NUMBER for i in range(1, 5)]) | (F.length(part(5)) > MOST_TIME) | (F.length(part(6)) > MOST_NAME)
-    numbers = F.col("inode").isNull() | F.col("generation").isNull() | F.col("snapshot_id").isNull() | F.col("file_size").isNull()
-    problem = (
-        F.when(F.coalesce(~F.col(line).rlike(LINE), F.lit(True)), "format")
-        .when(too_long, "length")
-        .when(numbers, "number")
-        .when(F.col("modification_time").isNull(), "time")
-        .when(F.col("path").isNull(), "path")
-    )
-    return parsed.withColumn("problem", problem)
+    # outer, as an inner generator's array would be computed once more in an inferred filter
+    parsed = cut.select(*(F.col(c) for c in lines.columns), F.inline_outer(F.array(fields)))
+    numbers = reduce(Column.__or__, [F.col(n).isNull() for n in names])
+    problem = F.coalesce("_early", F.when(numbers, "number").when(F.col("modification_time").isNull(), "time").when(F.col("path").isNull(), "path"))
+    return parsed.withColumn("problem", problem).drop("_early")
 
 
 def read_filelist(lines: DataFrame, *, strict: bool = True) -> DataFrame:

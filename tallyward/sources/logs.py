@@ -11,27 +11,34 @@ BENCH = "method string, batch_size int, transaction_size int, concurrent boolean
 MOST_LINE = 65536
 _PAIR = r'([^\s="]+)=("(?:[^"\\]|\\.)*"|[^\s"]*)'
 #: Phases of the scheduler; messages that tell observation and scheduling records; fields of a snapshot in CSV order.
-PHASES = "uninitialised start-up maintaining"
+PHASES = ("uninitialised", "start-up", "maintaining")
 OBSERVED, SCHEDULED = "Probed queue and calculated derivatives", "Calculated threshold"
-SNAPSHOT = "time timestamp previous_queue_length queue_length exhausted enqueued worker_num consumption deviation consumption_alpha consumption_ewma deviation_alpha deviation_ewma phase threshold"
+SNAPSHOT = (
+    "time", "timestamp", "previous_queue_length", "queue_length", "exhausted", "enqueued", "worker_num", "consumption",
+    "deviation", "consumption_alpha", "consumption_ewma", "deviation_alpha", "deviation_ewma", "phase", "threshold",
+)
 
 
 def read_changelog(spark: SparkSession, path: str) -> DataFrame:
+    """The change events of files of JSON lines."""
     return spark.read.schema(CHANGES).json(path)
 
 
-def parse_changelog(lines: DataFrame, line: str = "line") -> DataFrame:
-    """The change events of a column of JSON lines."""
-    return lines.select(F.from_json(line, CHANGES).alias("e")).select("e.*")
-
-
 def applications(changes: DataFrame) -> DataFrame:
     """A row for each changer of an event, with its place; events without changers have none."""
     return changes.select("path", "event", "corrupted", "corrupted_only", F.posexplode("changers").alias("place", "c")).select("path", "event", "corrupted", "corrupted_only", "place", "c.method", "c.id")
 
 
-def rfc3339(c: Column) -> Column:
-    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+def rfc3339(c: Column, fraction: bool = True) -> Column:
+    """A time in UTC; with fraction, its microseconds without zeros at the end."""
+    if not fraction:
+        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.concat(F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.?0+$", ""), F.lit("Z"))
+
+
+def write_lines(rows: DataFrame, path: str, line: str = "line") -> None:
+    """Writes a text file of lines for each task below path."""
+    rows.select(line).write.text(path)
 
 
 def warnings_as_json(warnings: DataFrame) -> DataFrame:
@@ -64,7 +71,7 @@ def snapshot_typed(logs: DataFrame, fields: str = "fields") -> DataFrame:
     number = lambda k, kind: F.coalesce(get(k).try_cast(kind), F.lit(0).cast(kind))
     whole = ["previous_queue_length", "queue_length", "enqueued", "consumption", "threshold"]
     real = ["deviation", "consumption_alpha", "consumption_ewma", "deviation_alpha", "deviation_ewma"]
-    phase = F.when(get("phase").isNull(), "uninitialised").when(get("phase").isin(*PHASES.split()), get("phase")).otherwise("unknown")
+    phase = F.when(get("phase").isNull(), "uninitialised").when(get("phase").isin(*PHASES), get("phase")).otherwise("unknown")
     return logs.select(
         "*", get("time").try_cast("timestamp").alias("time"), *(number(k, "bigint").alias(k) for k in whole), *(number(k, "double").alias(k) for k in real),
         F.coalesce(get("worker_num").try_cast("bigint"), get("worker_count").try_cast("bigint"), F.lit(0).cast("bigint")).alias("worker_num"),
@@ -72,26 +79,27 @@ def snapshot_typed(logs: DataFrame, fields: str = "fields") -> DataFrame:
     )
 
 
-def snapshots_as_csv(snapshots: DataFrame) -> DataFrame:
-    """line: the fixed columns in order, the first as Unix seconds, the second in RFC 3339."""
+def snapshots_as_text(snapshots: DataFrame) -> DataFrame:
+    """The fixed columns in order as texts, the first as Unix seconds, the second in RFC 3339 (whole seconds); nulls stay in their column."""
 
     def text(c: str) -> Column:
         if c in ("time", "timestamp"):
-            return F.unix_timestamp(F.col("time").cast("timestamp")).cast("string") if c == "time" else rfc3339(F.col("time"))
+            return F.unix_timestamp(F.col("time").cast("timestamp")).cast("string") if c == "time" else rfc3339(F.col("time"), fraction=False)
         if snapshots.schema[c].dataType.typeName() == "double":  # whole numbers without a point
             whole = (F.col(c) == F.floor(c)) & (F.abs(c) < 1e15)
             return F.when(whole, F.col(c).cast("bigint").cast("string")).otherwise(F.col(c).cast("string"))
         return F.col(c).cast("string")
 
-    return snapshots.select(F.concat_ws(",", *map(text, SNAPSHOT.split())).alias("line"))
+    return snapshots.select(*(text(c).alias(c) for c in SNAPSHOT))
 
 
-def read_bench_csv(spark: SparkSession, path: str) -> DataFrame:
-    return without_idle_concurrency(spark.read.schema(BENCH).csv(path, header=True))
+def write_snapshots_csv(snapshots: DataFrame, path: str) -> None:
+    """CSV files below path, each with a header; a null is an empty field."""
+    snapshots_as_text(snapshots).write.csv(path, header=True, nullValue="")
 
 
-def parse_bench_csv(lines: DataFrame, line: str = "line") -> DataFrame:
-    return without_idle_concurrency(lines.select(F.from_csv(line, BENCH).alias("r")).select("r.*"))
+def read_bench_csv(spark: SparkSession, path: str) -> DataFrame:
+    return without_idle_concurrency(spark.read.schema(BENCH).csv(path, header=True))
 
 
 def without_idle_concurrency(rows: DataFrame) -> DataFrame:

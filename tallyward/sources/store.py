@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Columns of the tables.
 TABLES = {
@@ -17,10 +20,15 @@ TABLES = {
 }
 
 
+_POINTER = "n long, version string, partition_by array<string>, schema string"
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared folder that the cluster names; a temporary one only where none is named."""
+    """A new folder in the shared folder that the cluster names. Unnamed, a temporary one serves where all is one process; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tallyward-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -35,40 +43,49 @@ class Store:
     def _place(self, table: str) -> str:
         return f"{self.folder}/{self.prefix}{table}"
 
-    def _current(self, table: str) -> str | None:
+    def _current(self, table: str) -> Row | None:
+        """The pointer's newest row: n, version (its folder), partition_by, schema."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._place(table)}/pointer")
         files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not files.exists(path):
             return None
-        return self.spark.read.schema("n long, version string").json(str(path.toString())).orderBy(F.desc("n")).first().version
+        return self.spark.read.schema(_POINTER).json(str(path.toString())).orderBy(F.desc("n")).first()
 
     def read(self, table: str, schema: str | None = None) -> DataFrame:
         """The current version; an absent table is empty, with the given or the fixed columns."""
-        version = self._current(table)
-        if version is None:
+        now = self._current(table)
+        if now is None:
             return self.spark.createDataFrame([], schema or TABLES[table])
-        return self.spark.read.parquet(version)
+        return self._at(now.version, StructType.fromJson(json.loads(now.schema)))
+
+    def _at(self, version: str, schema: StructType) -> DataFrame:
+        """The rows of a version; columns that are folders have the order and type they were written with."""
+        return self.spark.read.schema(schema).parquet(version).select(*schema.names)
 
     def write(self, table: str, rows: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         """Makes rows the table's next version and returns it."""
         version = f"{self._place(table)}/{uuid.uuid4().hex}"
         rows.write.partitionBy(*partition_by or []).parquet(version)
-        pointer = f"{self._place(table)}/pointer"
-        n = 0 if (old := self._current(table)) is None else self.spark.read.schema("n long").json(pointer).agg(F.max("n")).first()[0] + 1
-        del old
-        self.spark.createDataFrame([(n, version)], "n long, version string").coalesce(1).write.mode("append").json(pointer)
-        return self.spark.read.parquet(version)
+        old = self._current(table)
+        row = [(0 if old is None else old.n + 1, version, partition_by or [], rows.schema.json())]
+        self.spark.createDataFrame(row, _POINTER).coalesce(1).write.mode("append").json(f"{self._place(table)}/pointer")
+        return self._at(version, rows.schema)
 
     def append(self, table: str, rows: DataFrame) -> DataFrame:
-        old = self.read(table, rows.schema)
-        return self.write(table, old.unionByName(rows))
+        """Adds files to the current version, in its partitions; nothing that is there is read or written again."""
+        now = self._current(table)
+        if now is None:
+            return self.write(table, rows)
+        schema = StructType.fromJson(json.loads(now.schema))
+        rows.select(*(F.col(f.name).cast(f.dataType) for f in schema)).write.mode("append").partitionBy(*now.partition_by).parquet(now.version)
+        return self._at(now.version, schema)
 
     def replace(self, table: str, rows: DataFrame, key: str = "id") -> DataFrame:
-        """Rows of the same key give way to the new ones; ids that are not there are an error."""
-        old = self.read(table, rows.schema)
+        """Rows of the same key give way to the new ones; ids that are not there are an error. A new version, partitioned as the one before."""
+        now, old = self._current(table), self.read(table, rows.schema)
         if missing := rows.join(old, key, "left_anti").limit(1).collect():
             raise ValueError(f"not in {table}: {missing[0][key]}")
-        return self.write(table, old.join(rows.select(key), key, "left_anti").select(*old.columns).unionByName(rows))
+        return self.write(table, old.join(rows.select(key), key, "left_anti").select(*old.columns).unionByName(rows), now.partition_by if now else None)
 
 
 def read_database(spark: SparkSession, url: str, table: str, *, lower: int, upper: int, partitions: int, key: str = "id") -> DataFrame:

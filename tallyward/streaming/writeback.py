@@ -1,9 +1,11 @@
 """Results that arrive as a stream.
 
 Parquet has no upsert, so each micro-batch is kept as a folder of the result log
-named by its batch id: a batch that runs again writes the same folder. The table is
-made from the old files table and the whole log, so a streamed run ends with the same
-table as one batch, and a result for a file that was written before changes nothing.
+named by its batch id: a batch that runs again writes the same folders. The log holds the
+results that count, each file's first if the file is still to be read; what came before is
+looked up in the log itself, so the stream needs no state that grows. Warnings come out
+with each batch. The next table is made from the old files table and the log, so a streamed run
+ends with the same table as one batch, and a result for a file that was written before changes nothing.
 """
 
 from __future__ import annotations
@@ -11,40 +13,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.operators.writeback import checksum_mismatches, first_result, write_back
+from tallyward.operators.writeback import checksum_mismatches, first_result, refuse_unknown, unknown_results, write_back
 from tallyward.sources.store import work_folder
 
-ARRIVAL = ("batch_id", "pack_id", "pos")
+#: Most ids of a micro-batch that are broadcast to look for them in the log.
+MOST_BROADCAST = 1_000_000
 
 
-def log_results(results: DataFrame, log: str, checkpoint: str, **trigger):
-    """Starts the stream (id, pack_id, pos, checksum) into the log; trigger as in writeStream.trigger. Returns the streaming query."""
+def _in_log(spark: SparkSession, log: str, ids: DataFrame, before: int) -> DataFrame:
+    """Those of ids (a micro-batch's) that batches before the given one have logged."""
+    old = spark.read.option("basePath", log).parquet(log).filter(F.col("batch_id").cast("bigint") < before).select("id")
+    return old.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "id", "left_semi")
+
+
+def log_results(results: DataFrame, files: DataFrame, folder: str, run: int, *, refuse: bool = True, **trigger):
+    """Starts the stream (id, pack_id, pos, checksum) and returns the streaming query; trigger as in writeStream.trigger.
+
+    Below folder, by batch: log (results that count), warnings, and unknown (results of files that are not in the table).
+    With refuse, a batch with unknown results fails before it writes anything.
+    """
+    spark = results.sparkSession
+    spark.createDataFrame([], results.schema).write.mode("overwrite").parquet(f"{folder}/log/batch_id=-1")
 
     def keep(batch: DataFrame, n: int) -> None:
-        first_result(batch).write.mode("overwrite").parquet(f"{log}/batch_id={n}")
+        first = first_result(batch).persist()
+        try:
+            if refuse:
+                refuse_unknown(first, files)
+            unknown_results(first, files).write.mode("overwrite").parquet(f"{folder}/unknown/batch_id={n}")
+            new = first.join(_in_log(spark, f"{folder}/log", first.select("id"), n), "id", "left_anti").join(files.filter("to_be_read").select("id"), "id", "left_semi")
+            new.select(*results.columns).write.mode("overwrite").parquet(f"{folder}/log/batch_id={n}")
+            logged = spark.read.schema(results.schema).parquet(f"{folder}/log/batch_id={n}")
+            checksum_mismatches(files, logged, run).write.mode("overwrite").parquet(f"{folder}/warnings/batch_id={n}")
+        finally:
+            first.unpersist()
 
-    return results.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(**trigger or {"processingTime": "30 seconds"}).start()
+    return results.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(**trigger or {"processingTime": "30 seconds"}).start()
 
 
-def logged(spark: SparkSession, log: str) -> DataFrame:
-    """The first arrival of each file in the log."""
-    return first_result(spark.read.option("basePath", log).parquet(log).withColumn("batch_id", F.col("batch_id").cast("bigint")), ARRIVAL)
+def read_log(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """log, warnings or unknown of all batches, with batch_id."""
+    return spark.read.option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}").withColumn("batch_id", F.col("batch_id").cast("bigint"))
 
 
-def stream_write_back(spark: SparkSession, files: DataFrame, results: DataFrame, run: int, folder: str | None = None, **trigger) -> tuple[DataFrame, DataFrame]:
-    """Runs the stream to its end and returns (the next files table, the warnings). For a stream without end, call log_results and, later, compact."""
+def stream_write_back(spark: SparkSession, files: DataFrame, results: DataFrame, run: int, folder: str | None = None, *, refuse: bool = True, **trigger) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs the stream to its end and returns (the next files table, the warnings, the unknown results). For a stream without end, call log_results and, later, compact."""
     folder = folder or work_folder(spark, "write-back")
-    log_results(results, f"{folder}/log", f"{folder}/checkpoint", **trigger or {"availableNow": True}).awaitTermination()
-    return compact(spark, files, f"{folder}/log", run)
+    log_results(results, files, folder, run, refuse=refuse, **trigger or {"availableNow": True}).awaitTermination()
+    return compact(spark, files, folder, run), read_log(spark, folder, "warnings").drop("batch_id"), read_log(spark, folder, "unknown")
 
 
-def compact(spark: SparkSession, files: DataFrame, log: str, run: int) -> tuple[DataFrame, DataFrame]:
-    """Both outputs come from the same old files table."""
-    first = logged(spark, log)
-    return write_back(files, first, run), checksum_mismatches(files, first, run)
+def compact(spark: SparkSession, files: DataFrame, folder: str, run: int) -> DataFrame:
+    """The files table with all that the log holds."""
+    return write_back(files, read_log(spark, folder, "log"), run)
 
 
-def stream_late_results(results: DataFrame, files: DataFrame) -> DataFrame:
-    """The arriving results that can still change something: each file's first in the stream, if the file is still to be read."""
-    open_ = files.filter("to_be_read").select("id")
-    return results.dropDuplicates(["id"]).join(open_, "id")
+def stream_late_results(spark: SparkSession, results: DataFrame, files: DataFrame, folder: str | None = None, **trigger) -> DataFrame:
+    """The arriving results that change something: each file's first in the stream, if the file is still to be read; later and late ones are passed over."""
+    folder = folder or work_folder(spark, "late")
+    log_results(results, files, folder, 0, refuse=False, **trigger or {"availableNow": True}).awaitTermination()
+    return read_log(spark, folder, "log")

@@ -1,11 +1,12 @@
 """A seeded audit from end to end: whatever is corrupted, and nothing else, is reported."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyward.functions.columns import sha1_hex
-from tallyward.operators import reconcile, sync, writeback
-from tallyward.sources.logs import parse_logfmt, snapshots_as_csv
+from tallyward.operators import analysis, reconcile, sync, writeback
+from tallyward.sources.logs import parse_logfmt, rfc3339, write_snapshots_csv
 from tallyward.sources.store import Store
 
 
@@ -74,6 +75,27 @@ def test_logfmt(spark):
     assert got == [{"time": "2019-01-01T00:00:10Z", "msg": 'a "b" c', "n": "5", "empty": ""}, {}]
 
 
-def test_snapshot_csv(spark):
+def test_quantiles_of_large_small_and_tied_groups(spark):
+    """Against numpy; the sketch is coarse here, so that large groups have bounds within them."""
+    rng = np.random.default_rng(3)
+    values = {"wide": rng.exponential(5, 5000), "ties": rng.integers(0, 4, 3000).astype(float), "one": np.array([7.5]), "two": np.array([1.0, 2.0]), None: rng.normal(size=900)}
+    rows = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v], "k string, x double").repartition(7)
+    shares = {"low": 0.05, "mid": 0.5, "high": 0.95, "first": 0.0, "last": 1.0}
+    got = {r.k: r for r in analysis.with_quantiles(rows, ["k"], "x", shares, [F.count("x").alias("n")], accuracy=100).collect()}
+    assert got.keys() == values.keys()
+    for k, v in values.items():
+        assert got[k].n == len(v) and [got[k][n] for n in shares] == pytest.approx(np.quantile(v, list(shares.values())).tolist())
+
+
+def test_times_keep_their_fractions(spark):
+    times = ["2019-01-01 10:00:00", "2019-01-01 10:00:00.5", "2019-01-01 10:00:10.000420"]
+    got = spark.createDataFrame([(t,) for t in times], "t string").select(rfc3339(F.col("t").cast("timestamp_ntz")).alias("t"))
+    assert [r.t for r in got.collect()] == ["2019-01-01T10:00:00Z", "2019-01-01T10:00:00.5Z", "2019-01-01T10:00:10.00042Z"]
+
+
+def test_snapshot_csv(spark, tmp_path):
     row = spark.sql("SELECT timestamp_ntz'2019-01-01 00:00:10' AS time, 10L AS previous_queue_length, 4L AS queue_length, false AS exhausted, 2L AS enqueued, 5L AS worker_num, 8L AS consumption, 1.5D AS deviation, 0.6D AS consumption_alpha, 2D AS consumption_ewma, 0.1D AS deviation_alpha, 0.2D AS deviation_ewma, 'maintaining' AS phase, 12L AS threshold")
-    assert snapshots_as_csv(row).first().line == "1546300810,2019-01-01T00:00:10Z,10,4,false,2,5,8,1.5,0.6,2,0.1,0.2,maintaining,12"
+    write_snapshots_csv(row.union(row.withColumn("time", F.lit(None).cast("timestamp_ntz"))).coalesce(1), f"file://{tmp_path}/csv")
+    lines = next((tmp_path / "csv").glob("part-*")).read_text().splitlines()
+    assert lines[0] == "time,timestamp,previous_queue_length,queue_length,exhausted,enqueued,worker_num,consumption,deviation,consumption_alpha,consumption_ewma,deviation_alpha,deviation_ewma,phase,threshold"
+    assert sorted(lines[1:]) == [",,10,4,false,2,5,8,1.5,0.6,2,0.1,0.2,maintaining,12", "1546300810,2019-01-01T00:00:10Z,10,4,false,2,5,8,1.5,0.6,2,0.1,0.2,maintaining,12"]

@@ -3,6 +3,7 @@ import itertools
 import pytest
 
 from tallyward.operators import sync
+from tallyward.sources.store import Store
 
 OLD, NEW = "2020-01-01", "2020-01-02"
 
@@ -59,6 +60,37 @@ def test_empty_tables(spark):
     assert [r.action for r in sync.sync_files(files(spark, [("/a", OLD, 1, True, True)]), inv, 2).collect()] == ["delete"]
 
 
+@pytest.mark.parametrize("mode", [sync.FULL, sync.INCREMENTAL])
+def test_new_ids(spark, tmp_path, mode):
+    """Unique, above the greatest old one, and fixed once the merged table is stored."""
+    f = files(spark, [(f"/{i}", OLD, 1, False, False) for i in range(200)])
+    inv = listed(spark, [(f"/{i}", NEW) for i in range(100, 3000)])
+    last = f.agg(sync.F.max("id")).first()[0]
+    store = Store(spark, f"file://{tmp_path}")
+    for merged in (sync.next_files(sync.sync_files(f, inv, 2, mode, first_id=last + 1)), sync.next_files_by_union(f, inv, 2, mode, first_id=last + 1)):
+        kept = store.write("files", merged)
+        old = {r.path: r.id for r in f.collect()}
+        got = {r.path: r.id for r in kept.collect()}
+        assert len(got) == len(set(got.values())) == 2900
+        assert all(i == old[p] if p in old else i > last for p, i in got.items())
+        assert got == {r.path: r.id for r in store.read("files").collect()}
+
+
+def test_store_keeps_its_partitions(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}")
+    rows = spark.range(40).selectExpr("id", "id % 4 AS discovered")
+    store.write("w", rows, ["discovered"])
+    before = set(store.read("w").inputFiles())
+    store.append("w", rows.selectExpr("id + 100 AS id", "discovered"))
+    after = store.read("w")
+    assert before < set(after.inputFiles()) and after.count() == 80
+    replaced = store.replace("w", rows.filter("id = 3").selectExpr("id", "9L AS discovered"))
+    assert replaced.filter("discovered = 9").count() == 1 and replaced.count() == 80
+    assert "PartitionFilters: [isnotnull(discovered" in replaced.filter("discovered = 9")._jdf.queryExecution().explainString(replaced._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    with pytest.raises(ValueError):
+        store.replace("w", rows.selectExpr("id + 1000 AS id", "discovered"))
+
+
 def test_bytes_as_paths(spark):
     f = files(spark, [("/a", OLD, 1, False, False)]).withColumn("path", sync.F.col("path").cast("binary"))
     inv = listed(spark, [("/a", OLD), ("/b", OLD)]).withColumn("path", sync.F.col("path").cast("binary"))

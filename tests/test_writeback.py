@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from tallyward.operators import writeback
 from tallyward.sources.contents import checksum_files
-from tallyward.streaming.writeback import stream_write_back
+from tallyward.streaming.writeback import stream_late_results, stream_write_back
 
 
 def walk(sizes, most_bytes, most_files):
@@ -27,13 +27,16 @@ def test_pack_ends(sizes, most_bytes, most_files):
 
 def test_packs_of_one_walk(spark):
     f = spark.range(25_000).selectExpr("id", "rand(3) AS rand", "concat('/', id) AS path", "id % 9000 AS file_size", "true AS to_be_read").checkpoint()
-    got = writeback.build_packs(f, most_bytes=2_000_000, most_files=700, partitions=1).toPandas().sort_values(["pack_id", "position"])
+    got = writeback.build_packs(f, most_bytes=2_000_000, most_files=700, buckets=1).toPandas().sort_values(["pack_id", "position"])
     rows = f.toPandas().sort_values(["rand", "id"])
     assert got["id"].tolist() == rows["id"].tolist()
     ends = walk(rows["file_size"].tolist(), 2_000_000, 700)
     want = np.diff([0, *ends, *([len(rows)] if ends[-1] < len(rows) else [])])
     assert got.groupby("pack_id").size().tolist() == want.tolist()
-    assert writeback.collect_packs(writeback.build_packs(f)).count() == writeback.pack_totals(writeback.build_packs(f)).count()
+    packs = writeback.build_packs(f, buckets=20)
+    assert writeback.collect_packs(packs).count() == writeback.pack_totals(packs).count()
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(packs) == key(writeback.build_packs(f.repartition(13), buckets=20))
 
 
 def tables(spark):
@@ -56,14 +59,20 @@ def test_write_back(spark):
 
 def test_stream_equals_batch(spark, tmp_path):
     files, results = tables(spark)
+    stray = spark.createDataFrame([(77, 0, 9, "y")], results.schema)
     for i, c in enumerate(["pack_id = 0 AND pos < 2", "pack_id = 0 AND pos >= 2", "pack_id = 1"]):
-        results.filter(c).coalesce(1).write.parquet(f"file://{tmp_path}/in/part={i}")
-    stream = spark.readStream.schema(results.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
-    after, warnings = stream_write_back(spark, files, stream, 7, f"file://{tmp_path}/work")
+        results.union(stray).filter(c).coalesce(1).write.parquet(f"file://{tmp_path}/in/part={i}")
+    stream = lambda: spark.readStream.schema(results.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    after, warnings, unknown = stream_write_back(spark, files, stream(), 7, f"file://{tmp_path}/work", refuse=False)
     first = writeback.first_result(results)
     key = lambda df: sorted(map(str, df.collect()))
     assert key(after) == key(writeback.write_back(files, first, 7))
     assert key(warnings) == key(writeback.checksum_mismatches(files, first, 7))
+    assert [(r.id, r.checksum) for r in unknown.collect()] == [(77, "y")]
+    with pytest.raises(Exception, match="unknown file: 77"):
+        stream_write_back(spark, files, stream(), 7, f"file://{tmp_path}/strict")
+    got = stream_late_results(spark, stream(), files, f"file://{tmp_path}/late")
+    assert sorted((r.id, r.checksum) for r in got.collect()) == [(1, "a"), (2, "x"), (3, "x"), (5, "x")]  # 4 was written before, 77 is unknown
 
 
 def test_checksum_files(spark, tmp_path):
