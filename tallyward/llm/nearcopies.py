@@ -396,6 +396,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     drop(signs, rooted)
     kept = classes.select(F.col(f"first.{id_col}").alias(id_), F.col("first.text_key").alias(key))
     keyed = docs.withColumn(mine, text_key(text_col))
-    found = keyed.join(kept, (keyed[mine] == kept[key]) & keyed[id_col].eqNullSafe(kept[id_]), "left_semi")
+    # the kept rows are as many as the classes: they are merged at every size, and never broadcast
+    found = keyed.join(kept.hint("merge"), (keyed[mine] == kept[key]) & keyed[id_col].eqNullSafe(kept[id_]), "left_semi")
     w = Window.partitionBy(mine, id_col).orderBy(F.lit(1))
     return found.withColumn(nth, F.row_number().over(w)).filter(F.col(nth) == 1).select(*docs.columns)
