@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import regex
@@ -70,6 +71,13 @@ class WordEncoder:
             self.flat = np.fromiter(self.added.values(), np.int32, len(self.added))
             self.lens = np.ones(len(self.added), np.int64)
 
+    def trim(self, n: int) -> None:
+        """Keeps the n words that were seen first: the frequent ones are among them, and need not be encoded again."""
+        kept = _Codes()
+        kept.update(islice(self.codes.items(), n))
+        self.codes, self.lens = kept, self.lens[:n]
+        self.flat = self.flat[: int(self.lens.sum())].copy()
+
     def cut(self, text: str) -> list[str]:
         if self.special and self.special.search(text):
             out, at = [], 0
@@ -90,7 +98,7 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and where each text's ids begin and end (one more than texts)."""
         if len(self.codes) > KEPT_WORDS:
-            self.clear()
+            self.trim(KEPT_WORDS // 2)
         words, ends = [], [0]
         for t in texts:
             words += self.cut(t)

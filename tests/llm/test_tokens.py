@@ -43,6 +43,16 @@ def test_encoders_agree_with_the_library(tok):
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [ids_of(tok, t) for t in texts]
 
 
+def test_a_full_store_of_words_keeps_the_first(tok, monkeypatch):
+    monkeypatch.setattr(words, "KEPT_WORDS", 40)
+    e = words.library_encoder(tokenizer_path())
+    texts = [f"the same words <|endoftext|> and number {i} w{i}x" for i in range(300)]
+    for t in texts:
+        ids, _ = e.encode([t])
+        assert ids.tolist() == ids_of(tok, t) and len(e.codes) <= 60
+    assert "the" in e.codes
+
+
 def test_long_texts_are_cut_where_words_end(tok, monkeypatch):
     monkeypatch.setattr(words, "SEGMENT", 50)
     text = "one two's  three\n\n four5 six " * 40 + "x" * 300
