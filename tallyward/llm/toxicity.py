@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import claim, col, hash64, mixed, small_batches, text_steps
+from tallyward.llm.common import claim, col, drop, hash64, mixed, small_batches, stored, text_steps
 
 MOST_TOXIC, MOST_CLEAN = 6_000, 12_000
 #: Prefixes that a rare word falls back to; documents' worth of the prior; least z value and log-odds; cost of other words.
 PREFIXES, PRIOR, LEAST_Z, LEAST_ODDS, COST = (5, 4, 3), 50.0, 3.0, 1.5, 0.15
 #: Sketch values of a training document, and how many two documents share to count as one.
 SKETCH, ALIKE = 24, 4
+#: Tasks over which the sample's documents are dealt.
+SAMPLE_PARTS = 32
 #: A passage counts as significant under this p-value.
 SIGNIFICANT = 0.01
 KEPT_WORDS = 500_000
@@ -192,27 +194,41 @@ def unlike(ids: list, sketches: list[np.ndarray]) -> list:
 def fit(docs: DataFrame, labels: DataFrame, *, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fits a model; without labelled documents of both kinds every text scores alike.
 
-    The sample of ids is the only broadcast, bounded by most_toxic + most_clean. Features are counted by document, first
+    The sample of ids is the only broadcast, bounded by most_toxic + most_clean. Its documents are stored once; rows that
+    share an id are one document, with the least of their texts. Features are counted by document, first
     within each task; the driver gets the significant ones and two numbers for each document of the sample.
     """
-    drawn = sample(labels, most_toxic, most_clean, id_col, label_col)
-    known = docs.select(id_col, text_col).join(F.broadcast(drawn), id_col)
+    sampled = labelled(docs, sample(labels, most_toxic, most_clean, id_col, label_col), id_col, text_col)
+    try:
+        return _fitted(sampled, id_col, text_col)
+    finally:
+        drop(sampled)
+
+
+def labelled(docs: DataFrame, drawn: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, toxic, text) of the drawn documents, stored, so that the passes of the fit read the sample and not the corpus.
+
+    Documents that share an id are one, with the least of their texts; copies are brought together before the shuffle.
+    """
+    rows = docs.select(id_col, text_col).join(F.broadcast(drawn), id_col)
+    return stored(rows.groupBy(id_col, "toxic").agg(F.min(text_col).alias(text_col)).repartition(SAMPLE_PARTS), "labelled")
+
+
+def _fitted(sampled: DataFrame, id_col: str, text_col: str) -> Model:
+    """The model of a sample (id, toxic, text) with one row an id."""
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_steps(batches, text_col):
             yield pa.RecordBatch.from_arrays([col(part, id_col), col(part, "toxic").cast(pa.int64()), pa.array([sketch(t).view(np.int64) for t in texts], pa.list_(pa.int64()))], [id_col, "toxic", "sketch"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    got = known.mapInArrow(sketches, f"{id_col} {kind}, toxic long, sketch array<long>").toPandas().sort_values(id_col)
-    kept = [i for t in (0, 1) for i in unlike(got[id_col][got["toxic"] == t].tolist(), got["sketch"][got["toxic"] == t].tolist())]
-    drawn = docs.sparkSession.createDataFrame([(i,) for i in kept], f"{id_col} {kind}").join(drawn, id_col)
-    known = docs.select(id_col, text_col).join(F.broadcast(drawn), id_col)
-
-    totals = drawn.groupBy().agg(F.sum((F.col("toxic") != 1).cast("long")).alias("clean"), F.sum((F.col("toxic") == 1).cast("long")).alias("toxic")).first()
-    n0, n1 = totals.clean or 0, totals.toxic or 0
+    kind = sampled.schema[id_col].dataType.simpleString()
+    got = sampled.mapInArrow(sketches, f"{id_col} {kind}, toxic long, sketch array<long>").toPandas().sort_values(id_col)
+    kept = {t: unlike(got[id_col][got["toxic"] == t].tolist(), got["sketch"][got["toxic"] == t].tolist()) for t in (0, 1)}
+    n0, n1 = len(kept[0]), len(kept[1])
     model = Model()
     if not n0 or not n1:
         return model
+    known = sampled.join(F.broadcast(sampled.sparkSession.createDataFrame([(i,) for t in (0, 1) for i in kept[t]], f"{id_col} {kind}")), id_col, "left_semi")
 
     def significant(of_words: Callable[[set[str]], set[str]]) -> dict[str, float]:
         """Features with their log-odds, of those that of_words takes from the words of each document."""

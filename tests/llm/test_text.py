@@ -202,6 +202,15 @@ def test_toxicity_held_out(spark):
     assert len(found) == 4 and found[0].p_toxicity == found[1].p_toxicity < 0.3 and found[3].p_toxicity > 0.9
 
 
+def test_toxicity_of_repeated_rows(spark):
+    """A document whose rows are most of the table teaches as much as one row of it."""
+    rows, learnt = toxic_corpus(spark), []
+    for some in (rows, rows.union(rows.filter("doc_id = 3").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(2000)))).drop("n"))):
+        learnt.append(toxicity.fit(some, rows.select("doc_id", "toxic")))
+    assert learnt[0].log_odds and learnt[0].log_odds == learnt[1].log_odds
+    assert (learnt[0].slope, learnt[0].scale, learnt[0].at, learnt[0].by) == pytest.approx((learnt[1].slope, learnt[1].scale, learnt[1].at, learnt[1].by))
+
+
 def test_toxicity_without_labels(spark):
     rows = toxic_corpus(spark, 20)
     for labels in (rows.limit(0), rows.filter("toxic = 1"), rows.withColumn("toxic", F.lit(None).cast("int"))):
