@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm import bpe, chat, language, multiindex, nearcopies, packing, secretscan, tokenfile, topk, toxicity
+from tallyward.llm import bpe, chat, language, multiindex, nearcopies, packing, phrases, secretscan, tokenfile, topk, toxicity, turnrepair, urlfilter
 from tallyward.llm.common import table, with_crc_part
 
 TOXIC_FROM = 0.3
+#: The rules of the query.
+URL_RULES = ["block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/"]
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,9 +72,23 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.write_and_read(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no labelled URLs, so the trees are fitted to labels by listed words in hosts."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, urlfilter.parse_rules(URL_RULES), urlfilter.fit(urlfilter.with_word_labels(pages)))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turnrepair.repaired(turnrepair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_packing, op3_bpe, op4_near_copies, op5_multi_index, op6_toxicity, op7_language, op8_exact_top_k, op9_chat_windows, op10_token_files)
+    for f in (op1_secret_scan, op2_packing, op3_bpe, op4_near_copies, op5_multi_index, op6_toxicity, op7_language, op8_exact_top_k, op9_chat_windows, op10_token_files, op11_url_filter, op12_phrases, op13_turn_repair)
 }
 #: SQL for the operators that SQL can express. The others hold tokenizers and learned models; tests/llm compares them with brute force.
 ORACLES: dict[str, str] = {
@@ -92,5 +108,43 @@ WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS
            WHERE embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5
+""",
+    "op12_phrases": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\x20\x09]+') IF x <> ''] AS ws FROM p),
+g AS (SELECT lang, k, unnest([array_to_string(ws[i:i + k - 1], ' ') FOR i IN range(1, len(ws) - k + 2)]) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY lang, k, phrase HAVING k = 1 OR count(*) >= 100),
+t AS (SELECT lang, CAST(sum(a) AS HUGEINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 100),
+u AS (SELECT *, unnest(range(1, k)) AS j FROM c),
+s AS (SELECT u.lang, u.k, u.phrase, u.a, u.j, x.a AS l, y.a AS r, t.n, CAST(1000 * u.a * t.n // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score FROM u JOIN t ON t.lang = u.lang
+      JOIN f x ON x.lang = u.lang AND x.phrase = array_to_string(u.ws[1:u.j], ' ') JOIN f y ON y.lang = u.lang AND y.phrase = array_to_string(u.ws[u.j + 1:u.k], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+i AS (SELECT lang, part, max(a) AS m FROM (SELECT lang, a, unnest([array_to_string(ws[i:i + n - 1], ' ') FOR i IN range(1, k - n + 2)]) AS part FROM c, (SELECT unnest([2, 3, 4]) AS n) WHERE n < k) GROUP BY lang, part)
+SELECT b.lang, CAST(row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score
+FROM b LEFT JOIN i ON i.lang = b.lang AND i.part = b.phrase WHERE coalesce(100 * i.m < 100 * b.a, true) QUALIFY rank <= 2000
+""",
+    "op13_turn_repair": r"""
+WITH RECURSIVE b AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+      xor(list_reduce([4294967295] || flatten([[ascii(x), -1, -1, -1, -1, -1, -1, -1, -1] FOR x IN string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '')]),
+          lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295) % 20 AS way FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN way = 4 THEN 'user' ELSE role END AS role, CASE WHEN way = 1 THEN '' WHEN way = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN way = 0 THEN 0 WHEN way = 3 THEN 2 ELSE 1 END)) AS copy FROM b),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS k, right(rtrim(text, E' \t\n\x0b\f\r'), 1) AS z FROM d),
+f AS (SELECT *, CASE WHEN z = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN z NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, lag(k) OVER (PARTITION BY conv_id ORDER BY i) AS pk FROM n),
+h AS (SELECT *, CASE WHEN fault IN ('b', 'd') THEN 1000000000 WHEN fault = 't' THEN 5 ELSE 0 END AS x, chr(10) || 'user:' AS iu, chr(10) || 'assistant:' AS ia, chr(10) || role || ':' || text AS own, chr(10) || 'user:' || text AS au, chr(10) || 'assistant:' || text AS aa,
+      CASE WHEN k = 'u' THEN 'K' ELSE 'R' END AS lu, CASE WHEN k = 'a' THEN 'K' ELSE 'R' END AS la, CASE WHEN k = 'u' THEN 0 ELSE 1 END AS cu, CASE WHEN k = 'a' THEN 0 ELSE 1 END AS ca FROM f),
+r AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, {'c': CAST(0 AS BIGINT), 'a': '', 't': ''} AS e, {'c': CAST(1000000000 AS BIGINT), 'a': '', 't': ''} AS s, {'c': CAST(1000000000 AS BIGINT), 'a': '', 't': ''} AS u, {'c': CAST(1000000000 AS BIGINT), 'a': '', 't': ''} AS q FROM (SELECT DISTINCT conv_id FROM b)
+  UNION ALL
+  SELECT r.conv_id, r.i + 1, {'c': e.c + 2, 'a': e.a || 'D', 't': e.t},
+    list_sort([{'c': s.c + 2, 'a': s.a || 'D', 't': s.t}, {'c': e.c + x + CASE WHEN k = 's' THEN 0 ELSE 1000000000 END, 'a': e.a || 'K', 't': e.t || own}])[1],
+    list_sort([{'c': u.c + 2, 'a': u.a || 'D', 't': u.t}, {'c': e.c + x + cu, 'a': e.a || lu, 't': e.t || CASE WHEN k = 'u' THEN own ELSE au END}, {'c': s.c + x + cu, 'a': s.a || lu, 't': s.t || CASE WHEN k = 'u' THEN own ELSE au END},
+      {'c': q.c + x + cu, 'a': q.a || lu, 't': q.t || CASE WHEN k = 'u' THEN own ELSE au END}, {'c': u.c + 5 + x + cu, 'a': u.a || 'I' || lu, 't': u.t || ia || CASE WHEN k = 'u' THEN own ELSE au END}])[1],
+    list_sort([{'c': q.c + 2, 'a': q.a || 'D', 't': q.t}, {'c': u.c + x + ca, 'a': u.a || la, 't': u.t || CASE WHEN k = 'a' THEN own ELSE aa END}, {'c': e.c + 5 + x + ca, 'a': e.a || 'I' || la, 't': e.t || iu || CASE WHEN k = 'a' THEN own ELSE aa END},
+      {'c': s.c + 5 + x + ca, 'a': s.a || 'I' || la, 't': s.t || iu || CASE WHEN k = 'a' THEN own ELSE aa END}, {'c': q.c + 5 + x + ca, 'a': q.a || 'I' || la, 't': q.t || iu || CASE WHEN k = 'a' THEN own ELSE aa END}])[1]
+  FROM r JOIN h ON h.conv_id IS NOT DISTINCT FROM r.conv_id AND h.i = r.i + 1),
+o AS (SELECT conv_id, list_sort([e, q, {'c': u.c + 5, 'a': u.a || 'I', 't': u.t || chr(10) || 'assistant:'}, {'c': s.c + 10, 'a': s.a || 'II', 't': s.t || chr(10) || 'user:' || chr(10) || 'assistant:'}])[1] AS best FROM r QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+m AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pk || k NOT IN ('su', 'ua', 'au')) AS illegal FROM h GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit, sha256(substr(best.t, 2)) AS repaired_sha256
+FROM o LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM o.conv_id
 """,
 }
