@@ -14,7 +14,7 @@ from tallyward.plans.fixtures import view, with_views
 from tallyward.sources import contents, filelist, logs
 from tallyward.sources.store import Store, work_folder
 from tallyward.streaming.queues import stream_queue_ewma
-from tallyward.streaming.writeback import stream_late_results, stream_write_back
+from tallyward.streaming.writeback import laid_out_by_id, stream_late_results, stream_write_back
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -589,6 +589,17 @@ def str1_stream_warnings(v):
     return stream_write_back(files.sparkSession, files, _result_stream(v), RUN, refuse=False)[1]
 
 
+@query(_WRITTEN)
+def str1_stream_write_back_strict(v):
+    """With unknown results refused, over a table laid out by id; every second batch is folded into the files table."""
+    files, results = v("files_run2"), v("results")
+    store = Store(files.sparkSession, work_folder(files.sparkSession, "files"))
+    laid_out = store.write("files", laid_out_by_id(files))
+    known = results.join(files.select("id"), "id", "left_semi")
+    stream = _streamed(v, "known", [known.filter(c) for c in ("pack_id < 50", "pack_id >= 50 AND pack_id < 1000", "pack_id >= 1000")], known.schema)
+    return stream_write_back(files.sparkSession, laid_out, stream, RUN, fold_every=2)[0]
+
+
 @query(f"WITH r AS ({_FIRST}) SELECT r.* FROM r WHERE NOT EXISTS (SELECT 1 FROM {{files_run2}} f WHERE f.id = r.id)")
 def str1_stream_unknown(v):
     files = v("files_run2")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyward.functions.columns import base_path, clean_path, percent_decode, short_enough
 
-LINE = r"^(\d+) (\d+) (\d+)[\t\n\x0B\f\r ]+\|(\d+)\|([^|]*)\| -- ([\s\S]*)$"
+#: No part but the last may hold \x01, which parts the fields of a matched line.
+LINE = r"^(\d+) (\d+) (\d+)[\t\n\x0B\f\r ]+\|(\d+)\|([^|\x01]*)\| -- ([\s\S]*)$"
 _TIME = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d+)?$"
 #: Longest number, time and name of a line, in bytes.
 MOST_NUMBER, MOST_TIME, MOST_NAME = 32, 64, 16384

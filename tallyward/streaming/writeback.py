@@ -2,10 +2,15 @@
 
 Parquet has no upsert, so each micro-batch is kept as a folder of the result log
 named by its batch id: a batch that runs again writes the same folders. The log holds the
-results that count, each file's first if the file is still to be read; what came before is
-looked up in the log itself, so the stream needs no state that grows. Warnings come out
-with each batch. The next table is made from the old files table and the log, so a streamed run
+results that count, each file's first if the file is still to be read. Warnings come out
+with each batch. The next table is made from the files table and the log, so a streamed run
 ends with the same table as one batch, and a result for a file that was written before changes nothing.
+
+A batch costs what it holds: its ids are broadcast (a number of them that is checked) and cut
+the files table once, without moving it; in a table laid out by ids the ids' range also prunes files and row groups.
+Everything else joins the batch with that cut. Earlier results are looked up in the log since the last
+folding: every `fold_every` batches a new files table is written that has the log up to there, so
+neither the lookup nor the log grows with the stream.
 """
 
 from __future__ import annotations
@@ -16,37 +21,100 @@ from pyspark.sql import functions as F
 from tallyward.operators.writeback import checksum_mismatches, first_result, refuse_unknown, unknown_results, write_back
 from tallyward.sources.store import work_folder
 
-#: Most ids of a micro-batch that are broadcast to look for them in the log.
+#: Most ids of a micro-batch that are broadcast (16 bytes each). A larger batch is joined by shuffle.
 MOST_BROADCAST = 1_000_000
-
-
-def _in_log(spark: SparkSession, log: str, ids: DataFrame, before: int) -> DataFrame:
-    """Those of ids (a micro-batch's) that batches before the given one have logged."""
-    old = spark.read.option("basePath", log).parquet(log).filter(F.col("batch_id").cast("bigint") < before).select("id")
-    return old.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "id", "left_semi")
-
-
-def log_results(results: DataFrame, files: DataFrame, folder: str, run: int, *, refuse: bool = True, **trigger):
+#: Batches after which the log is folded into a new files table.
+FOLD_EVERY = 500
+
+
+def laid_out_by_id(files: DataFrame, parts: int | None = None) -> DataFrame:
+    """files in ranges of ids, so that file and row-group statistics tell where an id can be."""
+    return (files.repartitionByRange(parts, "id") if parts else files.repartitionByRange("id")).sortWithinPartitions("id")
+
+
+def files_of(files: DataFrame, ids: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """The rows of files with one of ids. One pass over ids gives their number and range; files are read by range, and a number of ids up to `most` is broadcast."""
+    got = ids.agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("greatest")).first()
+    if not got.n or got.least is None:
+        return files.limit(0)
+    near = files.filter(F.col("id").between(got.least, got.greatest))
+    wanted = ids.select("id").distinct()
+    return near.join(F.broadcast(wanted) if got.n <= most else wanted, "id", "left_semi")
+
+
+class _Folder:
+    """What lies below a stream's folder: log, warnings, unknown (by batch) and files (by the last batch that is folded in)."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def place(self, name: str, batch: int) -> str:
+        return f"{self.folder}/{name}/batch_id={batch}"
+
+    def _done(self, name: str) -> list[int]:
+        """The batches whose folder is whole."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return []
+        found = [x.getPath() for x in files.listStatus(path)]
+        whole = [x for x in found if "=" in x.getName() and files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+        return sorted(int(x.getName().split("=")[1]) for x in whole)
+
+    def remove(self, name: str, batch: int) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.place(name, batch))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def files_before(self, batch: int, files: DataFrame) -> tuple[DataFrame, int]:
+        """(the newest files table that holds no batch from the given one on, the last batch in it)."""
+        folded = [n for n in self._done("files") if n < batch]
+        if not folded:
+            return files, -1
+        return self.spark.read.schema(files.schema).parquet(self.place("files", folded[-1])), folded[-1]
+
+    def logged(self, schema, after: int, before: int) -> DataFrame:
+        """The log of the batches between; they alone are listed."""
+        places = [self.place("log", n) for n in self._done("log") if after < n < before]
+        if not places:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*places)
+
+    def fold(self, batch: int, files: DataFrame, schema, run: int) -> None:
+        """Writes the files table with the log up to a batch. The table before it stays, for a batch that runs again; older ones go."""
+        old, upto = self.files_before(batch, files)
+        laid_out_by_id(write_back(old, self.logged(schema, upto, batch + 1), run)).write.mode("overwrite").parquet(self.place("files", batch))
+        for n in self._done("files"):
+            if n < upto:
+                self.remove("files", n)
+
+
+def log_results(results: DataFrame, files: DataFrame, folder: str, run: int, *, refuse: bool = True, fold_every: int = FOLD_EVERY, **trigger):
     """Starts the stream (id, pack_id, pos, checksum) and returns the streaming query; trigger as in writeStream.trigger.
 
     Below folder, by batch: log (results that count), warnings, and unknown (results of files that are not in the table).
-    With refuse, a batch with unknown results fails before it writes anything.
+    With refuse, a batch with unknown results fails before it writes anything. files should be laid out by id.
     """
-    spark = results.sparkSession
-    spark.createDataFrame([], results.schema).write.mode("overwrite").parquet(f"{folder}/log/batch_id=-1")
+    spark, kept = results.sparkSession, _Folder(results.sparkSession, folder)
+    spark.createDataFrame([], results.schema).write.mode("overwrite").parquet(kept.place("log", -1))
 
     def keep(batch: DataFrame, n: int) -> None:
         first = first_result(batch).persist()
+        now, upto = kept.files_before(n, files)
+        cut = files_of(now, first.select("id")).persist()
         try:
             if refuse:
-                refuse_unknown(first, files)
-            unknown_results(first, files).write.mode("overwrite").parquet(f"{folder}/unknown/batch_id={n}")
-            new = first.join(_in_log(spark, f"{folder}/log", first.select("id"), n), "id", "left_anti").join(files.filter("to_be_read").select("id"), "id", "left_semi")
-            new.select(*results.columns).write.mode("overwrite").parquet(f"{folder}/log/batch_id={n}")
-            logged = spark.read.schema(results.schema).parquet(f"{folder}/log/batch_id={n}")
-            checksum_mismatches(files, logged, run).write.mode("overwrite").parquet(f"{folder}/warnings/batch_id={n}")
+                refuse_unknown(first, cut)
+            unknown_results(first, cut).write.mode("overwrite").parquet(kept.place("unknown", n))
+            before = files_of(kept.logged(results.schema, upto, n).select("id"), first.select("id"))
+            new = first.join(before, "id", "left_anti").join(cut.filter("to_be_read").select("id"), "id", "left_semi")
+            new.select(*results.columns).write.mode("overwrite").parquet(kept.place("log", n))
+            logged = spark.read.schema(results.schema).parquet(kept.place("log", n))
+            checksum_mismatches(cut, logged, run).write.mode("overwrite").parquet(kept.place("warnings", n))
+            if (n + 1) % fold_every == 0:
+                kept.fold(n, files, results.schema, run)
         finally:
             first.unpersist()
+            cut.unpersist()
 
     return results.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(**trigger or {"processingTime": "30 seconds"}).start()
 
@@ -56,20 +124,23 @@ def read_log(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}").withColumn("batch_id", F.col("batch_id").cast("bigint"))
 
 
-def stream_write_back(spark: SparkSession, files: DataFrame, results: DataFrame, run: int, folder: str | None = None, *, refuse: bool = True, **trigger) -> tuple[DataFrame, DataFrame, DataFrame]:
+def stream_write_back(spark: SparkSession, files: DataFrame, results: DataFrame, run: int, folder: str | None = None, *, refuse: bool = True, fold_every: int = FOLD_EVERY, **trigger) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Runs the stream to its end and returns (the next files table, the warnings, the unknown results). For a stream without end, call log_results and, later, compact."""
     folder = folder or work_folder(spark, "write-back")
-    log_results(results, files, folder, run, refuse=refuse, **trigger or {"availableNow": True}).awaitTermination()
+    log_results(results, files, folder, run, refuse=refuse, fold_every=fold_every, **trigger or {"availableNow": True}).awaitTermination()
     return compact(spark, files, folder, run), read_log(spark, folder, "warnings").drop("batch_id"), read_log(spark, folder, "unknown")
 
 
 def compact(spark: SparkSession, files: DataFrame, folder: str, run: int) -> DataFrame:
-    """The files table with all that the log holds."""
-    return write_back(files, read_log(spark, folder, "log"), run)
+    """The files table with all that the log holds: the newest folded one and the log since."""
+    kept, end = _Folder(spark, folder), 1 << 62
+    now, upto = kept.files_before(end, files)
+    schema = spark.read.parquet(kept.place("log", -1)).schema
+    return write_back(now, kept.logged(schema, upto, end), run)
 
 
-def stream_late_results(spark: SparkSession, results: DataFrame, files: DataFrame, folder: str | None = None, **trigger) -> DataFrame:
+def stream_late_results(spark: SparkSession, results: DataFrame, files: DataFrame, folder: str | None = None, *, fold_every: int = FOLD_EVERY, **trigger) -> DataFrame:
     """The arriving results that change something: each file's first in the stream, if the file is still to be read; later and late ones are passed over."""
     folder = folder or work_folder(spark, "late")
-    log_results(results, files, folder, 0, refuse=False, **trigger or {"availableNow": True}).awaitTermination()
+    log_results(results, files, folder, 0, refuse=False, fold_every=fold_every, **trigger or {"availableNow": True}).awaitTermination()
     return read_log(spark, folder, "log")

@@ -1,3 +1,8 @@
+import random
+import re
+from datetime import datetime
+from urllib.parse import unquote_to_bytes
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +18,7 @@ GOOD = [
 ]
 _T = "2024-02-29 23:59:59"
 BAD = [
-    ("", "format"), ("81 7 44 /notes", "format"), (f"81 7 44 |9|{_T}| - /x", "format"), (f"81 7  44 |9|{_T}| -- /x", "format"), ("\x011\x011\x011\x011\x011\x011", "format"),
+    ("", "format"), ("81 7 44 /notes", "format"), (f"81 7 44 |9|{_T}| - /x", "format"), (f"81 7  44 |9|{_T}| -- /x", "format"), ("\x011\x011\x011\x011\x011\x011", "format"), (f"81 7 44 |9|{_T}\x01x| -- /x", "format"), (f"81 7 44 |9|\x01| -- /x\x01", "format"),
     (f"99999999999999999999 7 44 |9|{_T}| -- /x", "number"), ("81 7 44 |9|29.02.2024| -- /x", "time"), ("81 7 44 |9|2023-02-29 23:59:59| -- /x", "time"),
     (f"81 7 44 |9|{_T}| -- /x%", "path"), (f"81 7 44 |9|{_T}| -- /x%4", "path"), (f"81 7 44 |9|{_T}| -- /x%zz", "path"),
     (f"81 7 44 |9|{_T}| -- /" + "x" * 16384, "length"), ("81 7 44 |9|" + "0" * 65 + "| -- /x", "length"), (f"81 7 44 |9|{_T}| -- /" + "ü" * 8192, "length"), ("81 7 44 |9|" + "ü" * 33 + "| -- /x", "length"),
@@ -34,6 +39,44 @@ def test_bad_lines(spark):
     assert {(r.line, r.problem) for r in got.collect()} == set(BAD)
 
 
+def plain(line):
+    """(inode, generation, snapshot, size, time, path) or the problem of a line, in plain Python."""
+    m = re.fullmatch(rb"([0-9]+) ([0-9]+) ([0-9]+)[\t\n\x0b\f\r ]+\|([0-9]+)\|([^|\x01]*)\| -- (.*)", line.encode(), re.DOTALL)
+    if not m:
+        return "format"
+    *numbers, time, name = m.groups()
+    if max(map(len, numbers)) > 32 or len(time) > 64 or len(name) > 16384:
+        return "length"
+    numbers = [int(x) for x in numbers]
+    if max(numbers) >= 2**63:
+        return "number"
+    form = re.fullmatch(rb"\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(\.\d+)?", time)
+    try:
+        when = datetime.fromisoformat(time.decode()) if form else None
+    except ValueError:
+        when = None
+    if when is None:
+        return "time"
+    if re.search(rb"%(?![0-9A-Fa-f]{2})", name):
+        return "path"
+    return (*numbers, when, unquote_to_bytes(name))
+
+
+def test_fuzzed_lines(spark):
+    rng = random.Random(7)
+    texts = []
+    for _ in range(1500):
+        line = list(f"{rng.randrange(10**6)} 7 {rng.randrange(99)} |{rng.randrange(10**9)}|2024-0{rng.randint(1, 9)}-1{rng.randint(0, 9)} 0{rng.randint(0, 9)}:59:58{rng.choice(['', '.5', '.000042'])}| -- /a%20b/%{rng.choice(['2f', '7C', 'é'])}|x{rng.choice(['', chr(1), '+'])}")
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(line))
+            line[at : at + rng.randint(0, 1)] = rng.choice(["", *"\x01|% -09aZ\t:ü\r"])
+        texts.append("".join(line))
+    got = {r.line: r for r in filelist.parse_lines(lines(spark, sorted(set(texts)))).collect()}
+    for text in texts:
+        r, want = got[text], plain(text)
+        assert (r.problem or (r.inode, r.generation, r.snapshot_id, r.file_size, r.modification_time, bytes(r.path))) == want, repr(text)
+
+
 def test_strict_fails(spark):
     with pytest.raises(Exception, match="bad line"):
         filelist.read_filelist(lines(spark, ["no line"])).collect()

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from tallyward.operators import writeback
 from tallyward.sources.contents import checksum_files
-from tallyward.streaming.writeback import stream_late_results, stream_write_back
+from tallyward.streaming.writeback import compact, files_of, laid_out_by_id, log_results, read_log, stream_late_results, stream_write_back
 
 
 def walk(sizes, most_bytes, most_files):
@@ -81,3 +81,45 @@ def test_checksum_files(spark, tmp_path):
     rows = spark.createDataFrame([(1, f"{tmp_path}/a"), (2, f"file://{tmp_path}/b"), (3, f"{tmp_path}/missing")], "id long, path string")
     got = {r.id: (r.bytes_read, bytes(r.checksum)) for r in checksum_files(rows).collect()}
     assert got == {1: (9_000_000, hashlib.sha1(b"x" * 9_000_000).digest()), 2: (0, hashlib.sha1().digest())}
+
+
+def test_a_batch_does_not_move_the_files(spark, tmp_path):
+    files = spark.range(200_000).selectExpr("id", "concat('/', id) AS path", "true AS to_be_read")
+    laid_out_by_id(files, 8).write.parquet(f"file://{tmp_path}/files")
+    stored = spark.read.parquet(f"file://{tmp_path}/files")
+    ids = spark.createDataFrame([(5,), (7,), (5,)], "id long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cut = files_of(stored, ids)
+        plan = cut._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "GreaterThanOrEqual(id,5), LessThanOrEqual(id,7)" in plan
+        scan = plan[plan.index("FileScan") :]
+        assert "Exchange" not in plan[plan.index("LeftSemi") : plan.index("FileScan")], scan
+        assert sorted(r.id for r in cut.collect()) == [5, 7]
+        many = files_of(stored, ids, most=1)  # beyond the bound by shuffle, with the same rows
+        assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString() or "ShuffledHashJoin" in many._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.id for r in many.collect()) == [5, 7]
+        assert files_of(stored, ids.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("fold_every", [1, 2, 100])
+def test_replayed_batch_and_folding(spark, tmp_path, fold_every):
+    files, results = tables(spark)
+    for i, c in enumerate(["pack_id = 0 AND pos < 2", "pack_id = 0 AND pos >= 2", "pack_id = 1"]):
+        results.filter(c).coalesce(1).write.parquet(f"file://{tmp_path}/in/part={i}")
+        stream = spark.readStream.schema(results.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+        log_results(stream, files, f"file://{tmp_path}/work", 7, fold_every=fold_every, availableNow=True).awaitTermination()
+        # the batch is done, but its commit is lost: it runs again when the stream goes on
+        last = sorted((tmp_path / "work/checkpoint/commits").glob("[0-9]*"), key=lambda p: int(p.name))[-1]
+        last.unlink()
+        (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    log_results(stream, files, f"file://{tmp_path}/work", 7, fold_every=fold_every, availableNow=True).awaitTermination()
+    first = writeback.first_result(results)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(compact(spark, files, f"file://{tmp_path}/work", 7)) == key(writeback.write_back(files, first, 7))
+    warnings = read_log(spark, f"file://{tmp_path}/work", "warnings").drop("batch_id")
+    assert key(warnings) == key(writeback.checksum_mismatches(files, first, 7))
+    assert len(list((tmp_path / "work/files").glob("batch_id=*"))) <= 2 if fold_every < 100 else not (tmp_path / "work/files").exists()
