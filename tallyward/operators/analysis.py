@@ -2,39 +2,126 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
+from tallyward.sources.store import kept_table
+
 LIFETIME, DEVIATION_ALPHA = 10.0, 0.1
 PAUSE_ABOVE, RESUME_BELOW = 10_000, 1_000
+#: Rows of a queue beyond which it is dealt over ranges of time, ranges of one queue at most, and rows of a side that is broadcast.
+HOT_ROWS, MOST_RANGES, MOST_BROADCAST = 2_000_000, 4096, 200_000
 #: Of the sketches that bound quantiles: ranks are off by a group's size over this at most.
 ACCURACY = 1_000
 
 
-def pair_snapshots(records: DataFrame, *, log: str = "log_id", order: tuple[str, ...] = ("ts", "event_id"), observed: Column, scheduled: Column) -> DataFrame:
-    """Observations with the next scheduling record of their log: the first observation after a scheduling record counts, later ones until the next are passed over. order_* of both."""
-    kept = records.withColumn("_kind", F.when(observed, "O").when(scheduled, "S")).filter("_kind IS NOT NULL")
-    w = Window.partitionBy(log).orderBy(*order)
-    before = F.lag("_kind").over(w)
-    marked = kept.withColumn("_start", (F.col("_kind") == "O") & F.coalesce(before != "O", F.lit(True))).withColumn("_end", (F.col("_kind") == "S") & F.coalesce(before == "O", F.lit(False)))
-    ends = marked.filter("_start OR _end")
-    nexts = [F.lead(c).over(w).alias(f"scheduled_{c}") for c in order]
-    return ends.select("*", *nexts).filter(F.col("_start") & F.col(f"scheduled_{order[0]}").isNotNull()).drop("_kind", "_start", "_end")
+@dataclass
+class Dealt:
+    """Rows of queues, those of long queues dealt over ranges of time: hash partitions of (queue, _range) hold HOT_ROWS rows or so.
 
+    A window over a queue becomes one over (queue, _range), and the first and last rows of ranges carry over what lies beyond the range's edge.
+    Rows of one moment stay together. few: whether a row a range of the long queues may be broadcast.
+    """
 
-def queue_consumption(probes: DataFrame, *, queue: str = "log_id", order: tuple[str, ...] = ("ts", "event_id"), time: str = "ts", emptied: str | None = None) -> DataFrame:
-    """Adds consumption, exhausted and elapsed (seconds, 0 for the first probe) from the probe before; before the first the queue was empty."""
-    w = Window.partitionBy(queue).orderBy(*order)
-    before = F.coalesce(F.lag("queue_length").over(w), F.lit(0))
-    seconds = (F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(w).cast("timestamp"))) / 1e6
-    rose = F.col(emptied) > F.coalesce(F.lag(emptied).over(w), F.lit(0)) if emptied else F.lit(False)
-    return probes.select("*", F.greatest(F.lit(0), before + F.col("enqueued") - F.col("queue_length")).cast("bigint").alias("consumption"), ((F.col("queue_length") == 0) | rose).alias("exhausted"), F.coalesce(seconds, F.lit(0.0)).alias("elapsed"))
+    rows: DataFrame
+    queue: str
+    order: tuple[str, ...]
+    hot: bool = False
+    few: bool = True
+
+    def window(self):
+        return Window.partitionBy(self.queue, *(["_range"] if self.hot else [])).orderBy(*self.order)
+
+    def with_rows(self, rows: DataFrame) -> Dealt:
+        return replace(self, rows=rows)
+
+    def _edges(self, *aggregates: Column) -> DataFrame:
+        return self.rows.filter("_range IS NOT NULL").groupBy(self.queue, "_range").agg(*aggregates)
+
+    def _joined(self, rows: DataFrame, edges: DataFrame) -> DataFrame:
+        """rows with the columns of edges, which is a row a range of a long queue."""
+        side = edges.withColumnsRenamed({self.queue: "_edge_queue", "_range": "_edge_range"})
+        same = F.col(self.queue).eqNullSafe(F.col("_edge_queue")) & (F.col("_range") == F.col("_edge_range"))
+        return rows.join(F.broadcast(side) if self.few else side, same, "left").drop("_edge_queue", "_edge_range")
+
+    def neighbours(self, before: dict[str, Column] | None = None, after: dict[str, Column] | None = None) -> Dealt:
+        """Adds values of the row before and of the row after, by name; null where there is none."""
+        before, after, w = before or {}, after or {}, self.window()
+        out = self.rows.select("*", *(F.lag(c).over(w).alias(n) for n, c in before.items()), *(F.lead(c).over(w).alias(n) for n, c in after.items()), *([F.lag(F.lit(1)).over(w).alias("_inner"), F.lead(F.lit(1)).over(w).alias("_going")] if self.hot else []))
+        if not self.hot:
+            return self.with_rows(out)
+        key, ranges = F.struct(*self.order), Window.partitionBy(self.queue).orderBy("_range")
+        ends = self._edges(F.max_by(F.struct(F.lit(1).alias("_one"), *(c.alias(n) for n, c in before.items())), key).alias("_last"), F.min_by(F.struct(F.lit(1).alias("_one"), *(c.alias(n) for n, c in after.items())), key).alias("_first"))
+        ends = ends.select(self.queue, "_range", F.lag("_last").over(ranges).alias("_carried"), F.lead("_first").over(ranges).alias("_coming"))
+        out = self._joined(out, ends)
+        values = {n: F.when(F.col("_inner").isNull(), F.col(f"_carried.{n}")).otherwise(F.col(n)) for n in before} | {n: F.when(F.col("_going").isNull(), F.col(f"_coming.{n}")).otherwise(F.col(n)) for n in after}
+        return self.with_rows(out.withColumns(values).drop("_inner", "_going", "_carried", "_coming"))
+
+    def last_known(self, name: str, value: Column) -> Dealt:
+        """Adds the last value that isn't null up to and with the row."""
+        out = self.rows.withColumn(name, F.last(value, ignorenulls=True).over(self.window().rowsBetween(Window.unboundedPreceding, 0)))
+        if not self.hot:
+            return self.with_rows(out)
+        ranges = Window.partitionBy(self.queue).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        ends = self._edges(F.max_by(value, F.when(value.isNotNull(), F.struct(*self.order))).alias("_own")).select(self.queue, "_range", F.last("_own", ignorenulls=True).over(ranges).alias("_carried"))
+        return self.with_rows(self._joined(out, ends).withColumn(name, F.coalesce(name, "_carried")).drop("_carried"))
+
+    def plain(self, *names: str) -> DataFrame:
+        return self.rows.drop("_range", *names)
+
+
+def deal(rows: DataFrame, queue: str, order: tuple[str, ...], hot_rows: int | None = None) -> Dealt:
+    """Counts the queues (sums of tasks meet); where the longest has more than hot_rows (HOT_ROWS) rows, those with so many are cut at quantiles of time.
+
+    The cuts are stored, so that all uses of a row's range agree. Rows of other queues have a null range.
+    """
+    hot_rows = hot_rows or HOT_ROWS
+    counts = rows.groupBy(queue).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
+    most = counts.agg(F.max("_n").alias("n"), F.count("*").alias("queues")).first()
+    if not most.n:
+        return Dealt(rows, queue, order)
+    ranges = min(MOST_RANGES, -(-most.n // hot_rows))
+    long = counts.select(F.col(queue).alias("_long"))
+    few = most.queues <= MOST_BROADCAST
+    of_long = rows.select(queue, order[0]).join(F.broadcast(long) if few else long, F.col(queue).eqNullSafe(F.col("_long")))
+    cuts = kept_table(of_long.groupBy(queue).agg(F.percentile_approx(order[0], [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts")), "queue-cuts").withColumnRenamed(queue, "_long")
+    few = most.queues * ranges <= MOST_BROADCAST
+    joined = rows.join(F.broadcast(cuts) if few else cuts, F.col(queue).eqNullSafe(F.col("_long")), "left")
+    time = F.col(order[0])
+    # null times come first; cuts are sorted, so their number below a time is its range
+    at = F.when(F.col("_cuts").isNotNull(), F.coalesce(F.size(F.filter("_cuts", lambda c: c < time)), F.lit(0)))
+    return Dealt(joined.withColumn("_range", at).drop("_cuts", "_long"), queue, order, True, few)
+
+
+def pair_snapshots(records: DataFrame, *, log: str = "log_id", order: tuple[str, ...] = ("ts", "event_id"), observed: Column, scheduled: Column, hot_rows: int | None = None) -> DataFrame:
+    """Observations with the next scheduling record of their log: the first observation after a scheduling record counts, later ones until the next are passed over. order_* of both."""
+    kept = records.withColumn("_kind", F.when(observed, "O").when(scheduled, "S")).filter("_kind IS NOT NULL")
+    marked = deal(kept, log, order, hot_rows).neighbours(before={"_before": F.col("_kind")})
+    start = (F.col("_kind") == "O") & F.coalesce(F.col("_before") != "O", F.lit(True))
+    end = (F.col("_kind") == "S") & F.coalesce(F.col("_before") == "O", F.lit(False))
+    ends = marked.with_rows(marked.rows.withColumns({"_start": start, "_end": end}).filter("_start OR _end"))
+    nexts = ends.neighbours(after={f"scheduled_{c}": F.col(c) for c in order})
+    return nexts.with_rows(nexts.rows.filter(F.col("_start") & F.col(f"scheduled_{order[0]}").isNotNull())).plain("_kind", "_before", "_start", "_end")
+
+
+def queue_consumption(probes: DataFrame, *, queue: str = "log_id", order: tuple[str, ...] = ("ts", "event_id"), time: str = "ts", emptied: str | None = None, hot_rows: int | None = None) -> DataFrame:
+    """Adds consumption, exhausted and elapsed (seconds, 0 for the first probe) from the probe before; before the first the queue was empty. time is a timestamp, or a number of seconds."""
+    numeric = isinstance(probes.schema[time].dataType, NumericType)
+    micros = F.col(time) * 1e6 if numeric else F.unix_micros(F.col(time).cast("timestamp"))
+    seen = deal(probes, queue, order, hot_rows).neighbours(before={"_length": F.col("queue_length"), "_micros": micros} | ({"_emptied": F.col(emptied)} if emptied else {}))
+    before = F.coalesce("_length", F.lit(0))
+    seconds = F.col(time) - F.col("_micros") / 1e6 if numeric else (micros - F.col("_micros")) / 1e6
+    rose = F.col(emptied) > F.coalesce("_emptied", F.lit(0)) if emptied else F.lit(False)
+    added = {"consumption": F.greatest(F.lit(0), before + F.col("enqueued") - F.col("queue_length")).cast("bigint"), "exhausted": (F.col("queue_length") == 0) | rose, "elapsed": F.coalesce(seconds, F.lit(0.0))}
+    return seen.with_rows(seen.rows.select(*(F.col(c) for c in probes.columns), *(x.alias(n) for n, x in added.items()))).rows
 
 
 def ewma_step(state: tuple[float, float], consumption: float, elapsed: float, first: bool, lifetime: float = LIFETIME, deviation_alpha: float = DEVIATION_ALPHA) -> tuple[float, float, float, float]:
@@ -43,52 +130,132 @@ def ewma_step(state: tuple[float, float], consumption: float, elapsed: float, fi
     if first:
         return 0.0, 0.0, 0.0, 0.0
     deviation = abs(consumption - ewma * elapsed)
-    alpha = 1 - np.exp(-elapsed / lifetime)
+    alpha = 1 - math.exp(-elapsed / lifetime)
     if elapsed > 0:
         ewma, spread = (1 - alpha) * ewma + alpha * consumption / elapsed, (1 - deviation_alpha) * spread + deviation_alpha * deviation / elapsed
     return float(deviation), float(alpha), float(ewma), float(spread)
 
 
-def queue_ewma(consumed: DataFrame, *, queue: str = "log_id", order: tuple[str, ...] = ("ts", "event_id"), lifetime: float = LIFETIME, deviation_alpha: float = DEVIATION_ALPHA) -> DataFrame:
-    """queue, order, consumption and the running deviation, alpha and ewmas. A task walks its queues in order and keeps two numbers of the one it is in."""
-    columns = [queue, *order, "consumption", "elapsed"]
-    schema = ", ".join(f"{c} {consumed.schema[c].dataType.simpleString()}" for c in columns[:-1]) + ", deviation double, consumption_alpha double, consumption_ewma double, deviation_ewma double"
+_EWMAS = ("deviation", "consumption_alpha", "consumption_ewma", "deviation_ewma")
+
+
+def queue_ewma(consumed: DataFrame, *, queue: str = "log_id", order: tuple[str, ...] = ("ts", "event_id"), lifetime: float = LIFETIME, deviation_alpha: float = DEVIATION_ALPHA, start: tuple[str, str] | None = None, hot_rows: int | None = None) -> DataFrame:
+    """queue, order, consumption and the running deviation, alpha and ewmas. start: columns with the ewmas before a queue's first row (null: the queue starts with it, and its elapsed is 0).
+
+    A task walks its queues in order and keeps two numbers of the one it is in. Long queues are walked range by range at once, as a scan: a range maps
+    the ewma before it to the one behind it by two numbers (keep x + add), and, the ewmas being known, the deviation's by two more; the maps of a
+    queue's ranges, composed in order, give the ewmas with which every range starts.
+    """
+    given = consumed.withColumns({"_ewma": F.col(start[0]).cast("double") if start else F.lit(None).cast("double"), "_spread": F.col(start[1]).cast("double") if start else F.lit(None).cast("double")})
+    dealt = deal(given.select(*dict.fromkeys([queue, *order, "consumption", "elapsed", "_ewma", "_spread"])), queue, order, hot_rows)
+    if not dealt.hot:
+        return _walk(dealt.rows.withColumn("_range", F.lit(0)), queue, order, lifetime, deviation_alpha)
+    long = dealt.with_rows(dealt.rows.filter("_range IS NOT NULL"))
+    ewmas = _entries(_maps(long.rows, queue, order, lifetime, deviation_alpha, False), queue, "_ewma")
+    with_ewma = lambda rows: dealt._joined(rows, ewmas).withColumn("_ewma", F.coalesce("_entry", "_ewma")).drop("_entry")
+    spreads = _entries(_maps(with_ewma(long.rows), queue, order, lifetime, deviation_alpha, True), queue, "_spread")
+    rows = dealt._joined(with_ewma(dealt.rows), spreads).withColumn("_spread", F.coalesce("_entry", "_spread")).drop("_entry")
+    return _walk(rows, queue, order, lifetime, deviation_alpha)
+
+
+def _sorted(rows: DataFrame, queue: str, order: tuple[str, ...]) -> DataFrame:
+    return rows.repartition(queue, "_range").sortWithinPartitions(queue, "_range", *order)
+
+
+def _steps(batches: Iterator[pd.DataFrame], queue: str, lifetime: float, deviation_alpha: float) -> Iterator[tuple[pd.DataFrame, list[tuple], list[bool]]]:
+    """Batches with the results of ewma_step and whether a row begins a range."""
+    now, state = (), (0.0, 0.0)
+    plain = lambda x: None if x is None or x != x else x
+    for batch in batches:
+        out, begins = [], []
+        for q, r, c, dt, e, s in zip(batch[queue], batch["_range"], batch["consumption"], batch["elapsed"], batch["_ewma"], batch["_spread"], strict=True):
+            here, first = (plain(q), plain(r)), False
+            if here != now:
+                now, first = here, e != e or e is None
+                state = (0.0, 0.0) if first else (float(e), 0.0 if s is None or s != s else float(s))
+                begins.append(True)
+            else:
+                begins.append(False)
+            out.append(ewma_step(state, c, dt, first, lifetime, deviation_alpha))
+            state = out[-1][2:]
+        yield batch, out, begins
+
+
+def _walk(rows: DataFrame, queue: str, order: tuple[str, ...], lifetime: float, deviation_alpha: float) -> DataFrame:
+    columns = list(dict.fromkeys([queue, *order, "consumption"]))
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns) + "".join(f", {c} double" for c in _EWMAS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, (0.0, 0.0)
-        for batch in batches:
-            out = []
-            for q, c, dt in zip(batch[queue], batch["consumption"], batch["elapsed"], strict=True):
-                out.append(ewma_step(state, c, dt, q != now, lifetime, deviation_alpha))
-                now, state = q, out[-1][2:]
-            yield pd.concat([batch[columns[:-1]], pd.DataFrame(out, columns=["deviation", "consumption_alpha", "consumption_ewma", "deviation_ewma"])], axis=1)
+        for batch, out, _ in _steps(batches, queue, lifetime, deviation_alpha):
+            yield pd.concat([batch[columns], pd.DataFrame(out, columns=list(_EWMAS))], axis=1)
+
+    return _sorted(rows, queue, order).mapInPandas(run, schema)
 
-    return consumed.select(*columns).repartition(queue).sortWithinPartitions(queue, *order).mapInPandas(run, schema)
 
+def _maps(rows: DataFrame, queue: str, order: tuple[str, ...], lifetime: float, deviation_alpha: float, of_deviation: bool) -> DataFrame:
+    """queue, _range, keep, add and given (the value that a queue starts with): the map of a range of the ewma (or, with the ewmas known, of the deviation's ewma)."""
+    schema = f"{queue} {rows.schema[queue].dataType.simpleString()}, _range int, keep double, add double, given double"
 
-def queue_invariants(series: DataFrame, least: int, *, queue: str = "log_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch, out, begins in _steps((b.assign(**({"_spread": 0.0} if of_deviation else {"_ewma": 0.0})) for b in with_given(batches)), queue, lifetime, deviation_alpha):
+            done = []
+            for q, r, dt, g, (_, _, ewma, spread), new in zip(batch[queue], batch["_range"], batch["elapsed"], batch["_given"], out, begins, strict=True):
+                if new:
+                    done += [held] if held else []
+                    held = (q, r, 1.0, 0.0, g)
+                keep = held[2] * ((1 - deviation_alpha if dt > 0 else 1.0) if of_deviation else math.exp(-dt / lifetime))
+                held = (q, r, keep, spread if of_deviation else ewma, held[4])
+            yield pd.DataFrame(done, columns=[queue, "_range", "keep", "add", "given"])
+        if held:
+            yield pd.DataFrame([held], columns=[queue, "_range", "keep", "add", "given"])
+
+    def with_given(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            # where the queue starts with its first row, so do both
+            yield b.assign(_given=b["_spread"].where(b["_ewma"].notna()) if of_deviation else b["_ewma"])
+
+    return _sorted(rows, queue, order).mapInPandas(run, schema)
+
+
+def _entries(maps: DataFrame, queue: str, name: str) -> DataFrame:
+    """queue, _range and _entry: the value with which each range starts (null where the queue starts with it). A queue has MOST_RANGES maps at most."""
+    schema = f"{queue} {maps.schema[queue].dataType.simpleString()}, _range int, _entry double"
+
+    def compose(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_range")
+        value, out = frame["given"].iloc[0], []
+        for keep, add in zip(frame["keep"], frame["add"], strict=True):
+            out.append(value)
+            value = add + keep * (0.0 if value != value or value is None else value)
+        return frame[[queue, "_range"]].assign(_entry=out)
+
+    return kept_table(maps.groupBy(queue).applyInPandas(compose, schema), f"queue-entries{name}")
+
+
+def queue_invariants(series: DataFrame, least: int, *, queue: str = "log_id", order: tuple[str, ...] = ("ts", "event_id"), hot_rows: int | None = None) -> DataFrame:
     """Rows that break a rule, with broken: refill (lag(queue_length) + enqueued < least), drained (queue_length + consumption < least), starved (queue_length + lead(enqueued) < threshold)."""
-    w = Window.partitionBy(queue).orderBy(*order)
+    seen = deal(series, queue, order, hot_rows).neighbours(before={"_length": F.col("queue_length")}, after={"_more": F.col("enqueued")})
     rules = F.array(
-        F.when(F.lag("queue_length").over(w) + F.col("enqueued") < least, "refill"),
+        F.when(F.col("_length") + F.col("enqueued") < least, "refill"),
         F.when(F.col("queue_length") + F.col("consumption") < least, "drained"),
-        F.when(F.col("queue_length") + F.lead("enqueued").over(w) < F.col("threshold"), "starved"),
+        F.when(F.col("queue_length") + F.col("_more") < F.col("threshold"), "starved"),
     )
-    return series.withColumn("broken", rules).select("*", F.explode("broken").alias("rule")).drop("broken").filter("rule IS NOT NULL")
+    return seen.with_rows(seen.rows.withColumn("broken", rules).select("*", F.explode("broken").alias("rule")).filter("rule IS NOT NULL")).plain("broken", "_length", "_more")
 
 
-def backpressure_state(series: DataFrame, *, queue: str = "log_id", order: tuple[str, ...] = ("ts", "event_id"), high: int = PAUSE_ABOVE, low: int = RESUME_BELOW) -> DataFrame:
+def backpressure_state(series: DataFrame, *, queue: str = "log_id", order: tuple[str, ...] = ("ts", "event_id"), high: int = PAUSE_ABOVE, low: int = RESUME_BELOW, hot_rows: int | None = None) -> DataFrame:
     """Adds paused: set above high, cleared below low, kept in between, cleared at first."""
-    w = Window.partitionBy(queue).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     mark = F.when(F.col("queue_length") > high, True).when(F.col("queue_length") < low, False)
-    return series.withColumn("paused", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(False)))
+    known = deal(series, queue, order, hot_rows).last_known("paused", mark)
+    return known.with_rows(known.rows.withColumn("paused", F.coalesce("paused", F.lit(False)))).plain()
 
 
-def queue_inefficiency(series: DataFrame, *, queue: str = "log_id", time: str = "time", order: tuple[str, ...] = ("time",)) -> DataFrame:
-    """Per queue: the widths of the intervals that ended exhausted, by the last time; an upper bound of the idle share."""
-    w = Window.partitionBy(queue).orderBy(*order)
-    wide = series.withColumn("_width", F.col(time) - F.lag(time).over(w))
-    return wide.groupBy(queue).agg((F.coalesce(F.sum(F.when(F.col("exhausted"), F.col("_width"))), F.lit(0)) / F.max(time)).alias("inefficiency"))
+def queue_inefficiency(series: DataFrame, *, queue: str = "log_id", time: str = "time", order: tuple[str, ...] = ("time",), hot_rows: int | None = None) -> DataFrame:
+    """Per queue: the widths of the intervals that ended exhausted, by the last time; an upper bound of the idle share, null if the last time is 0."""
+    seen = deal(series, queue, order, hot_rows).neighbours(before={"_time": F.col(time)})
+    wide = seen.rows.withColumn("_width", F.col(time) - F.col("_time"))
+    return wide.groupBy(queue).agg(F.try_divide(F.coalesce(F.sum(F.when(F.col("exhausted"), F.col("_width"))), F.lit(0)), F.max(time)).alias("inefficiency"))
 
 
 def with_quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], stats: list[Column], accuracy: int = ACCURACY) -> DataFrame:

@@ -621,9 +621,8 @@ def str3_stream_queue_ewma(v):
     for low, high in zip([float("-inf"), *cuts], [*cuts, float("inf")], strict=True):
         part = probes.filter((F.col("seconds") > low) & (F.col("seconds") <= high))
         part.write.mode("append").parquet(f"{folder}/in")
-        got = stream_queue_ewma(spark.readStream.schema(probes.schema).parquet(f"{folder}/in"))
-        got.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
-    out = spark.read.schema(got.schema).parquet(f"{folder}/out")
+        out = stream_queue_ewma(spark, spark.readStream.schema(probes.schema).parquet(f"{folder}/in"), f"{folder}/work")
+    out = out.drop("late")
     return out.withColumns({c: F.round(c, 6) for c in ("consumption_ewma", "deviation_ewma")})
 
 

@@ -34,6 +34,44 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept_table(rows: DataFrame, name: str) -> DataFrame:
+    """rows, computed once, written to a new shared folder and read again: lineage is cut, all uses agree, and it survives lost executors."""
+    folder = work_folder(rows.sparkSession, name)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+class BatchFolder:
+    """Folders of a stream's micro-batches: name/batch_id=n below a folder."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def place(self, name: str, batch: int) -> str:
+        return f"{self.folder}/{name}/batch_id={batch}"
+
+    def done(self, name: str) -> list[int]:
+        """The batches whose folder is whole."""
+        new = self.spark._jvm.org.apache.hadoop.fs.Path
+        path = new(f"{self.folder}/{name}")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return []
+        found = [x.getPath() for x in files.listStatus(path)]
+        return sorted(int(x.getName().split("=")[1]) for x in found if "=" in x.getName() and files.exists(new(x, "_SUCCESS")))
+
+    def newest_before(self, name: str, batch: int, schema: StructType | str) -> tuple[DataFrame, int]:
+        """(the table of the newest batch before the given one, its number); without one, an empty table and -1."""
+        older = [n for n in self.done(name) if n < batch]
+        if not older:
+            return self.spark.createDataFrame([], schema), -1
+        return self.spark.read.schema(schema).parquet(self.place(name, older[-1])), older[-1]
+
+    def remove(self, name: str, batch: int) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.place(name, batch))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Store:
     """Tables below a folder, created if absent. Writers of one table must take turns."""
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward.operators.writeback import checksum_mismatches, first_result, refuse_unknown, unknown_results, write_back
-from tallyward.sources.store import work_folder
+from tallyward.sources.store import BatchFolder, work_folder
 
 #: Most ids of a micro-batch that are broadcast (16 bytes each). A larger batch is joined by shuffle.
 MOST_BROADCAST = 1_000_000
@@ -42,39 +42,17 @@ def files_of(files: DataFrame, ids: DataFrame, most: int = MOST_BROADCAST) -> Da
     return near.join(F.broadcast(wanted) if got.n <= most else wanted, "id", "left_semi")
 
 
-class _Folder:
+class _Folder(BatchFolder):
     """What lies below a stream's folder: log, warnings, unknown (by batch) and files (by the last batch that is folded in)."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
-
-    def place(self, name: str, batch: int) -> str:
-        return f"{self.folder}/{name}/batch_id={batch}"
-
-    def _done(self, name: str) -> list[int]:
-        """The batches whose folder is whole."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(path):
-            return []
-        found = [x.getPath() for x in files.listStatus(path)]
-        whole = [x for x in found if "=" in x.getName() and files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
-        return sorted(int(x.getName().split("=")[1]) for x in whole)
-
-    def remove(self, name: str, batch: int) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.place(name, batch))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
     def files_before(self, batch: int, files: DataFrame) -> tuple[DataFrame, int]:
         """(the newest files table that holds no batch from the given one on, the last batch in it)."""
-        folded = [n for n in self._done("files") if n < batch]
-        if not folded:
-            return files, -1
-        return self.spark.read.schema(files.schema).parquet(self.place("files", folded[-1])), folded[-1]
+        table, upto = self.newest_before("files", batch, files.schema)
+        return (files if upto < 0 else table), upto
 
     def logged(self, schema, after: int, before: int) -> DataFrame:
         """The log of the batches between; they alone are listed."""
-        places = [self.place("log", n) for n in self._done("log") if after < n < before]
+        places = [self.place("log", n) for n in self.done("log") if after < n < before]
         if not places:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*places)
@@ -83,7 +61,7 @@ class _Folder:
         """Writes the files table with the log up to a batch. The table before it stays, for a batch that runs again; older ones go."""
         old, upto = self.files_before(batch, files)
         laid_out_by_id(write_back(old, self.logged(schema, upto, batch + 1), run)).write.mode("overwrite").parquet(self.place("files", batch))
-        for n in self._done("files"):
+        for n in self.done("files"):
             if n < upto:
                 self.remove("files", n)
 
