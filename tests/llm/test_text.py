@@ -1,9 +1,12 @@
 """Near copies, secrets, toxicity and language against brute force, planted cases and held-out accuracy."""
 
 import random
+import subprocess
+import sys
 import time
 import unicodedata
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -162,6 +165,50 @@ def test_language_prediction_by_its_definition(spark, documents):
     assert sorted(np.round(x[x > 0] ** 2 * grams.total()).astype(int).tolist()) == sorted(grams.values())  # no two grams fall together here
 
 
+def sparse_rows(per_language, languages, seed=1, words=60):
+    """Rows of languages that each prefer their own positions."""
+    rng = np.random.default_rng(seed)
+    langs = np.repeat(np.array([f"x{i:02d}" for i in range(languages)], object), per_language)
+    at, value, starts = [], [], [0]
+    for i in range(len(langs)):
+        own = np.random.default_rng(i // per_language).choice(language.DIMS, 150, replace=False)
+        here = np.unique(np.concatenate([rng.choice(own, words // 2), rng.choice(language.DIMS, words // 2)]))
+        at.append(here.astype(np.int32))
+        value.append(np.full(len(here), len(here) ** -0.5, np.float32))
+        starts.append(starts[-1] + len(here))
+    return langs, language.Rows(np.array(starts), np.concatenate(at), np.concatenate(value))
+
+
+def test_machines_reach_the_optimum_of_a_plain_solver():
+    langs, x = sparse_rows(60, 3)
+    y = np.where(langs == "x01", 1, -1)
+    share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+    dense = np.hstack([x.dense(0, len(x)).astype(float), np.ones((len(x), 1))])
+
+    def loss(w):
+        return language.DECAY / 2 * w @ w + (share * np.maximum(0, 1 - y * (dense @ w)) ** 2).sum()
+
+    plain = np.zeros(language.DIMS + 1)
+    for _ in range(3_000):  # gradient descent by definition
+        plain -= 0.4 * (language.DECAY * plain - dense.T @ (2 * share * y * np.maximum(0, 1 - y * (dense @ plain))))
+    for weights in (language.linear_svm(x.gram(), y), language.sparse_svm(x, y, enough=1e-4, rounds=500)):
+        assert loss(dense.T @ weights) <= loss(plain) * 1.002 + 1e-9
+    assert np.allclose(x.gram(block=50), dense @ dense.T, atol=1e-5)
+
+
+def test_many_languages_fit_in_bounded_memory():
+    """60 languages with MOST_ROWS rows, as sample() leaves of 60 languages of 600 rows, in a process that may hold 600 MB."""
+    code = "import resource; from tests.llm.test_text import *; langs, x = sparse_rows(200, 60); m = language.fit_rows(langs, x); test_langs, test = sparse_rows(5, 60, seed=2); found, _ = m.predict(test.dense(0, len(test))); print(len(langs), np.mean(np.array(found, object) == test_langs), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1000)"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True, cwd=Path(__file__).parents[2]).stdout.split()
+    assert int(out[0]) == language.MOST_ROWS and float(out[1]) > 0.95 and float(out[2]) < 600
+
+
+def test_sample_of_many_languages_is_bounded(spark):
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "concat('x', id % 50) AS lang", "'a' AS text")
+    n = {r.lang: r["count"] for r in language.sample(docs, 600, "doc_id", "lang").groupBy("lang").count().collect()}
+    assert len(n) == 50 and 0.8 * language.MOST_ROWS < sum(n.values()) < 1.2 * language.MOST_ROWS and min(n.values()) > 150
+
+
 def test_language_without_or_with_one_language(spark):
     docs = spark.createDataFrame([(1, "some words", "en", 1), (2, "more", None, 1)], "doc_id long, text string, lang string, lang_pred int")
     none = language.fit(docs.filter("lang = 'xx'"))
