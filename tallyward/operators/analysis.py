@@ -19,8 +19,8 @@ LIFETIME, DEVIATION_ALPHA = 10.0, 0.1
 PAUSE_ABOVE, RESUME_BELOW = 10_000, 1_000
 #: Rows of a queue beyond which it is dealt over ranges of time, ranges of one queue at most, and rows of a side that is broadcast.
 HOT_ROWS, MOST_RANGES, MOST_BROADCAST = 2_000_000, 4096, 200_000
-#: Of the sketches that bound quantiles: ranks are off by a group's size over this at most.
-ACCURACY = 1_000
+#: Rows of a group's segment that are ranked, and cells that a larger one is counted by.
+MOST_RANKED, CELLS = 20_000, 1024
 
 
 @dataclass
@@ -258,35 +258,68 @@ def queue_inefficiency(series: DataFrame, *, queue: str = "log_id", time: str =
     return wide.groupBy(queue).agg(F.try_divide(F.coalesce(F.sum(F.when(F.col("exhausted"), F.col("_width"))), F.lit(0)), F.max(time)).alias("inefficiency"))
 
 
-def with_quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], stats: list[Column], accuracy: int = ACCURACY) -> DataFrame:
-    """keys, stats and exact quantiles (linear between neighbours) of each group, however large, by names in shares.
+def _cell(value: Column, low: Column, high: Column) -> Column:
+    """Where value lies in [low, high], in CELLS steps; the ends of a range that isn't one value lie in different cells. Ranges that doubles can't divide have three."""
+    half = lambda c: c.cast("double") / 2
+    width = half(high) - half(low)
+    even = (width > 0) & (width < float("inf"))
+    share = F.when(even, (half(value) - half(low)) / width)
+    inner = F.when(even, F.least(F.floor(share * CELLS), F.lit(CELLS - 2))).otherwise(F.lit(CELLS // 2))
+    return F.when(value == low, 0).when(value == high, CELLS - 1).otherwise(F.greatest(inner.cast("int"), F.lit(0)))
 
-    A sketch of each group gives bounds on both sides of each quantile, sure by twice the sketch's error. Only the
-    values between the bounds are counted, each distinct value once, and ranked; the others are just counted below
-    them. So no task holds a group: it gets a sketch and about 4 / accuracy of the group's rows at most.
+
+def with_quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], stats: list[Column], most: int | None = None) -> DataFrame:
+    """keys, stats and exact quantiles (linear between neighbours) of each group, however large, by names in shares. Null values don't count.
+
+    Selection in rounds: a segment is a range of a group's values that holds wanted ranks. As long as a segment has more than `most` (MOST_RANKED) rows
+    and more than one value, its rows are counted by cells, sums of tasks meeting, and the cells with wanted ranks become the next segments, from their least to their greatest value.
+    What is left is counted by value and ranked: no task ranks more than `most` values or sums more than CELLS cells of a segment.
     """
-    names, marks = list(shares), list(shares.values())
-    edges = [min(1.0, max(0.0, q + d / accuracy)) for d in (-2, 2) for q in marks]
-    few = F.col("_n") < 4 * accuracy  # so few that the slack might round to nothing: the whole group is ranked
-    sketched = rows.groupBy(*keys).agg(F.count(value).alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max"), F.percentile_approx(value, edges, accuracy).alias("_e"), *stats)
-    low = F.array(*(F.when(few, F.col("_min")).otherwise(F.col("_e")[i]) for i in range(len(marks))))
-    high = F.array(*(F.when(few, F.col("_max")).otherwise(F.col("_e")[len(marks) + i]) for i in range(len(marks))))
-    groups = sketched.select(*keys, "_n", low.alias("_low"), high.alias("_high"), *(F.col(c) for c in sketched.columns[len(keys) + 4 :]))
-    bounds = groups.select(*(F.col(k).alias(f"_key_{k}") for k in keys), "_low", "_high")
-    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
-    bounded = rows.select(*keys, value).join(bounds, same).select(*keys, value, "_low", "_high")
-    tags = F.array(*(F.when(F.col(value) < F.col("_low")[i], -1 - i).when(F.col(value) <= F.col("_high")[i], i) for i in range(len(marks))))
-    tagged = bounded.select(*keys, value, F.explode(tags).alias("_tag")).filter("_tag IS NOT NULL")
-    at = F.when(F.col("_tag") < 0, -1 - F.col("_tag")).otherwise(F.col("_tag"))
-    # what lies below the bounds counts as one value, before all others
-    counted = tagged.groupBy(*keys, at.alias("_at"), F.when(F.col("_tag") >= 0, F.col(value)).alias("_value")).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*keys, "_at").orderBy(F.col("_value").asc_nulls_first()))
-    ranked = counted.withColumn("_upto", upto).filter("_value IS NOT NULL").join(groups.select(*(F.col(k).alias(f"_key_{k}") for k in keys), "_n"), same)
-    rank = (F.col("_n") - 1) * F.lit(marks)[F.col("_at")]
-    first = lambda r: F.min(F.when(F.col("_upto") > r, F.col("_value")))
-    found = ranked.groupBy(*keys, "_at").agg(first(F.floor(rank)).alias("_a"), first(F.ceil(rank)).alias("_b"), F.first(rank - F.floor(rank)).alias("_f"))
-    wide = found.groupBy(*(F.col(k).alias(f"_key_{k}") for k in keys)).agg(*(F.max(F.when(F.col("_at") == i, F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"))).alias(n) for i, n in enumerate(names)))
-    return groups.join(wide, same, "left").select(*keys, *(F.col(c) for c in groups.columns[len(keys) + 3 :]), *names)
+    names, marks, most = list(shares), list(shares.values()), most or MOST_RANKED
+    groups = kept_table(rows.groupBy(*keys).agg(F.count(value).alias("_n"), F.min(value).alias("_low"), F.max(value).alias("_high"), *stats), "groups")
+    # ranks of the values on both sides of each quantile, by number
+    rank = lambda q, of: of((F.col("_n") - 1) * F.lit(q)).cast("bigint")
+    wanted = F.array(*(F.struct(F.lit(2 * i + j).alias("t"), rank(q, of).alias("rank")) for i, q in enumerate(marks) for j, of in enumerate((F.floor, F.ceil))))
+    left = groups.filter("_n > 0").select(*keys, "_low", "_high", F.lit(0).cast("bigint").alias("_below"), F.col("_n").alias("_inside"), wanted.alias("_wanted"))
+    on = lambda *more: reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*keys, *more)])
+    named = lambda df, *more: df.withColumnsRenamed({c: f"_of_{c}" for c in (*keys, *more)})
+    few = left.count() <= MOST_BROADCAST
+    side = lambda df: F.broadcast(df) if few else df
+
+    def inside(segments: DataFrame) -> DataFrame:
+        """The rows of segments, with their ranges."""
+        ranges = named(segments.select(*keys, "_low", "_high"))
+        return rows.select(*keys, F.col(value).alias("_value")).join(side(ranges), on() & F.col("_value").between(F.col("_low"), F.col("_high"))).select(*keys, "_low", "_high", "_value")
+
+    def reached(counted: DataFrame, segments: DataFrame, by: str) -> DataFrame:
+        """Counts in segments, in order of a column, with the wanted ranks that lie in each; others are left out."""
+        upto = F.sum("_c").over(Window.partitionBy(*keys, "_low").orderBy(by))
+        known = counted.withColumn("_upto", upto).join(side(named(segments.select(*keys, "_low", "_below", "_wanted"), "_low")), on("_low"))
+        known = known.withColumn("_before", F.col("_below") + F.col("_upto") - F.col("_c"))
+        return known.withColumn("_wanted", F.filter("_wanted", lambda w: (w["rank"] >= F.col("_before")) & (w["rank"] < F.col("_before") + F.col("_c")))).filter(F.size("_wanted") > 0)
+
+    done = []
+    while True:
+        is_open = (F.col("_inside") > most) & (F.col("_low") != F.col("_high"))
+        done.append(left.filter(~is_open))
+        still = left.filter(is_open)
+        if still.isEmpty():
+            break
+        cells = inside(still).groupBy(*keys, "_low", _cell(F.col("_value"), F.col("_low"), F.col("_high")).alias("_cell")).agg(F.count("*").alias("_c"), F.min("_value").alias("_least"), F.max("_value").alias("_most"))
+        found = reached(cells, still, "_cell").select(*keys, F.col("_least").alias("_low"), F.col("_most").alias("_high"), F.col("_before").alias("_below"), F.col("_c").alias("_inside"), "_wanted")
+        left = kept_table(found, "segments")
+    segments = reduce(DataFrame.unionByName, done)
+    told = F.explode("_wanted").alias("w")
+    one = segments.filter("_low <=> _high").select(*keys, F.col("_low").alias("_value"), told)
+    several = segments.filter("NOT _low <=> _high")
+    counted = inside(several).groupBy(*keys, "_low", "_value").agg(F.count("*").alias("_c"))
+    values = one.unionByName(reached(counted, several, "_value").select(*keys, "_value", told))
+    at = lambda t: F.max(F.when(F.col("w.t") == t, F.col("_value")))
+    wide = named(values.groupBy(*keys).agg(*(at(t).alias(f"_at_{t}") for t in range(2 * len(marks)))))
+    part = lambda q: (F.col("_n") - 1) * F.lit(q) - F.floor((F.col("_n") - 1) * F.lit(q))
+    between = lambda a, b, q: F.when(a == b, a.cast("double")).otherwise(a + (b - a) * part(q))
+    quantile = lambda i, q: between(F.col(f"_at_{2 * i}"), F.col(f"_at_{2 * i + 1}"), q)
+    return groups.join(side(wide), on(), "left").select(*keys, *(F.col(c) for c in groups.columns[len(keys) + 3 :]), *(quantile(i, q).alias(n) for i, (n, q) in enumerate(zip(names, marks, strict=True))))
 
 
 def bench_by_method(bench: DataFrame, value: str = "total_duration") -> DataFrame:

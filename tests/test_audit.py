@@ -75,17 +75,33 @@ def test_logfmt(spark):
     assert got == [{"time": "2019-01-01T00:00:10Z", "msg": 'a "b" c', "n": "5", "empty": ""}, {}]
 
 
-def test_quantiles_of_large_small_and_tied_groups(spark):
-    """Against numpy; the sketch is coarse here, so that large groups have bounds within them."""
+@pytest.mark.parametrize("most", [3, 50, 20_000])
+def test_quantiles_of_large_small_and_tied_groups(spark, most):
     rng = np.random.default_rng(3)
-    values = {"wide": rng.exponential(5, 5000), "ties": rng.integers(0, 4, 3000).astype(float), "one": np.array([7.5]), "two": np.array([1.0, 2.0]), None: rng.normal(size=900)}
-    rows = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v], "k string, x double").repartition(7)
-    shares = {"low": 0.05, "mid": 0.5, "high": 0.95, "first": 0.0, "last": 1.0}
-    got = {r.k: r for r in analysis.with_quantiles(rows, ["k"], "x", shares, [F.count("x").alias("n")], accuracy=100).collect()}
-    assert got.keys() == values.keys()
-    for k, v in values.items():
-        assert got[k].n == len(v) and [got[k][n] for n in shares] == pytest.approx(np.quantile(v, list(shares.values())).tolist())
-
+    groups = {
+        "wide": rng.lognormal(0, 3, 6000), "tied": rng.integers(0, 3, 5000).astype(float), "few": rng.normal(size=7), "one": np.array([4.0]), "same": np.full(900, -2.5),
+        "two heaps": np.concatenate([rng.normal(0, 1e-9, 1000), rng.normal(1, 1e-9, 1000)]), "large": rng.normal(0, 1e307, 300), "ends": np.concatenate([np.full(400, -np.inf), rng.normal(size=401), np.full(10, np.inf)]), "zeros": np.array([-0.0, 0.0] * 50),
+    }
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("few", None), ("none", None), (None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(4)
+    shares = {"q05": 0.05, "median": 0.5, "q95": 0.95}
+    got = {r.k: r for r in analysis.with_quantiles(df, ["k"], "x", shares, [F.count("x").alias("n")], most=most).collect()}
+    assert len(got) == len(groups) + 2 and (got["none"].n, got["none"].median) == (0, None) and got[None].median == 1.5
+    for k, v in groups.items():
+        # between equal neighbours, which may be infinite, there is nothing to draw a line through
+        low, high = (np.quantile(v, list(shares.values()), method=m) for m in ("lower", "higher"))
+        with np.errstate(invalid="ignore"):
+            want = np.where(low == high, low, np.quantile(v, list(shares.values())))
+        assert got[k].n == len(v) and [got[k][n] for n in shares] == pytest.approx(want.tolist(), rel=1e-12), k
+
+
+def test_no_task_ranks_a_group(spark):
+    df = spark.range(200_000).selectExpr("id % 2 AS k", "hash(id) * 1.0D AS x")
+    plans = analysis.with_quantiles(df, ["k"], "x", {"median": 0.5}, [], most=500)
+    sizes = plans.collect()
+    assert len(sizes) == 2
+    text = plans._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in text  # no sketches
 
 def test_times_keep_their_fractions(spark):
     times = ["2019-01-01 10:00:00", "2019-01-01 10:00:00.5", "2019-01-01 10:00:10.000420"]
