@@ -12,7 +12,7 @@ from tallyward.functions import columns as fn
 from tallyward.operators import analysis, reconcile, runs, sync, writeback
 from tallyward.plans.fixtures import view, with_views
 from tallyward.sources import contents, filelist, logs
-from tallyward.sources.store import Store, work_folder
+from tallyward.sources.store import Store, work_folder, write_bucketed
 from tallyward.streaming.queues import stream_queue_ewma
 from tallyward.streaming.writeback import laid_out_by_id, stream_late_results, stream_write_back
 
@@ -109,15 +109,16 @@ def src9_checksum_contents(v):
     return contents.checksum_contents(v("contents"))
 
 
-@query()
+@query("""WITH t AS (SELECT doc_id // 25 AS id, string_agg(regexp_replace(coalesce(text, ''), '[\r\n]', ' ', 'g'), chr(10) ORDER BY doc_id) || chr(10) AS content FROM {documents} GROUP BY 1)
+SELECT CAST(id AS BIGINT) AS id, CAST(strlen(content) AS BIGINT) AS bytes_read, sha1(content) AS checksum FROM t""")
 def src9_checksum_files(v):
-    """The checksums of real files, one for each source and language of the contents, and of one that isn't there, which is left out."""
-    texts = v("documents").select(F.coalesce("source", F.lit("none")).alias("source"), F.coalesce("lang", F.lit("none")).alias("lang"), F.regexp_replace("text", "[\r\n]", " ").alias("text"))
+    """The checksums of real files, one for each 25 documents, dealt by their sizes, and of one that isn't there, which is left out."""
+    texts = v("documents").select(F.floor(F.col("doc_id") / 25).alias("part"), "doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[\r\n]", " ").alias("text"))
     spark, folder = texts.sparkSession, work_folder(texts.sparkSession, "contents")
-    texts.repartition("source", "lang").sortWithinPartitions("source", "lang", "text").write.partitionBy("source", "lang").text(folder)
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_extract("path", "source=.*/", 0).alias("id"), "path")
-    missing = spark.createDataFrame([("none", f"{folder}/none")], "id string, path string")
-    return contents.checksum_files(listed.union(missing), "string")
+    texts.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "text").write.partitionBy("part").text(folder)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_extract("path", "part=([0-9]+)/", 1).cast("long").alias("id"), "path", F.col("length").alias("file_size"))
+    missing = spark.sql("SELECT -1L AS id, :path AS path, 10L AS file_size", {"path": f"{folder}/none"})
+    return contents.checksum_files(listed.union(missing), tasks=8).withColumn("checksum", F.lower(F.hex("checksum")))
 
 
 @query("""SELECT id, path, file_size, CASE WHEN id % 9 = 1 THEN 5 ELSE last_seen END AS last_seen, to_be_read FROM {files_prev}
@@ -193,10 +194,10 @@ FROM {{files_prev}} f JOIN {{inventory}} i ON f.path = i.path WHERE f.last_seen
 _PENDING, _SAME = "(f.to_be_read AND NOT f.to_be_compared)", "f.modification_time = i.modification_time"
 _FULL = _UPDATED.format(read="true", compared=f"(NOT {_PENDING} AND {_SAME})")
 _INCREMENTAL = _UPDATED.format(read=f"({_PENDING} OR NOT {_SAME})", compared="false")
-_INSERTED = """SELECT i.path, (('0x' || substr(md5(i.path), 1, 8))::UBIGINT) / 4294967296.0 AS rand, i.modification_time, i.file_size, CAST(2 AS BIGINT) AS last_seen, true AS to_be_read, false AS to_be_compared, CAST(NULL AS VARCHAR) AS checksum, CAST(NULL AS BIGINT) AS last_read
+_INSERTED = """SELECT (SELECT max(id) FROM {files_prev}) + row_number() OVER (ORDER BY md5(i.path), i.path) AS id, i.path, (('0x' || substr(md5(i.path), 1, 8))::UBIGINT) / 4294967296.0 AS rand, i.modification_time, i.file_size, CAST(2 AS BIGINT) AS last_seen, true AS to_be_read, false AS to_be_compared, CAST(NULL AS VARCHAR) AS checksum, CAST(NULL AS BIGINT) AS last_read
 FROM {inventory} i WHERE NOT EXISTS (SELECT 1 FROM {files_prev} f WHERE f.path = i.path)"""
 _REMOVED = "SELECT f.* FROM {files_prev} f WHERE NOT EXISTS (SELECT 1 FROM {inventory} i WHERE f.path = i.path)"
-_ROW = "path, rand, modification_time, file_size, last_seen, to_be_read, to_be_compared, checksum, last_read"
+_ROW = "id, path, rand, modification_time, file_size, last_seen, to_be_read, to_be_compared, checksum, last_read"
 
 
 @query(_FULL)
@@ -209,9 +210,13 @@ def join2_sync_update_incremental(v):
     return sync.sync_update(v("files_prev"), v("inventory"), RUN, sync.INCREMENTAL)
 
 
+def _first_id(files: DataFrame) -> int:
+    return (files.agg(F.max("id")).first()[0] or 0) + 1
+
+
 @query(_INSERTED)
 def join3_sync_insert(v):
-    return sync.sync_insert(v("files_prev"), v("inventory"), RUN).drop("id")
+    return sync.sync_insert(v("files_prev"), v("inventory"), RUN, first_id=_first_id(v("files_prev")))
 
 
 @query(_REMOVED)
@@ -221,12 +226,22 @@ def join4_sync_delete(v):
 
 @query(f"WITH u AS ({_FULL}), n AS ({_INSERTED}), d AS ({_REMOVED}) SELECT {_ROW}, 'update' AS action FROM u UNION ALL SELECT {_ROW}, 'insert' FROM n UNION ALL SELECT {_ROW}, 'delete' FROM d")
 def join5_sync_files(v):
-    return sync.sync_files(v("files_prev"), v("inventory"), RUN, sync.FULL).drop("id")
+    return sync.sync_files(v("files_prev"), v("inventory"), RUN, sync.FULL, first_id=_first_id(v("files_prev")))
+
+
+@query(f"WITH u AS ({_FULL}), n AS ({_INSERTED}), d AS ({_REMOVED}) SELECT {_ROW}, 'update' AS action FROM u UNION ALL SELECT {_ROW}, 'insert' FROM n UNION ALL SELECT {_ROW}, 'delete' FROM d")
+def join5_sync_files_bucketed(v):
+    """The same merge with the files table in buckets of its path."""
+    files = v("files_prev")
+    spark, buckets = files.sparkSession, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    folder = work_folder(spark, "bucketed")
+    table = write_bucketed(files, "files_" + folder.rsplit("-", 1)[1], folder, buckets)
+    return sync.sync_files(table, v("inventory"), RUN, sync.FULL, first_id=_first_id(table))
 
 
 @query(f"WITH u AS ({_INCREMENTAL}), n AS ({_INSERTED}), d AS ({_REMOVED}) SELECT {_ROW}, 'update' AS action FROM u UNION ALL SELECT {_ROW}, 'insert' FROM n UNION ALL SELECT {_ROW}, 'delete' FROM d")
 def join5_sync_files_incremental(v):
-    return sync.sync_files(v("files_prev"), v("inventory"), RUN, sync.INCREMENTAL, duplicates="reject").drop("id")
+    return sync.sync_files(v("files_prev"), v("inventory"), RUN, sync.INCREMENTAL, duplicates="reject", first_id=_first_id(v("files_prev")))
 
 
 _FIRST = "SELECT id, pack_id, pos, checksum FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pack_id, pos) AS n FROM {results}) WHERE n = 1"
@@ -401,15 +416,13 @@ def win1_later_results(v):
     return writeback.later_results(v("results"))
 
 
-_CLOSED = "(s.held >= 5242880 OR s.position = 999)"
-
-
-@query(f"""WITH c AS (SELECT id, path, file_size, CAST(floor(rand * 16) AS BIGINT) AS bucket, row_number() OVER (PARTITION BY floor(rand * 16) ORDER BY rand, id) AS rn FROM {{files_prev}}),
-s AS (SELECT bucket, rn, id, path, file_size, CAST(0 AS BIGINT) AS pack, CAST(0 AS BIGINT) AS position, file_size AS held FROM c WHERE rn = 1 UNION ALL SELECT c.bucket, c.rn, c.id, c.path, c.file_size,
- CASE WHEN {_CLOSED} THEN s.pack + 1 ELSE s.pack END, CASE WHEN {_CLOSED} THEN 0 ELSE s.position + 1 END, CASE WHEN {_CLOSED} THEN c.file_size ELSE s.held + c.file_size END FROM s JOIN c ON c.bucket = s.bucket AND c.rn = s.rn + 1)
-SELECT id, path, file_size, bucket * 4294967296 + pack AS pack_id, position FROM s""")
+@query("""WITH c AS (SELECT id, path, file_size, row_number() OVER (ORDER BY rand, id) AS rn, sum(file_size) OVER (ORDER BY rand, id) AS upto FROM {files_prev}),
+s AS (SELECT CAST(0 AS BIGINT) AS pack_id, CAST(0 AS BIGINT) AS start, CAST(0 AS HUGEINT) AS before, (SELECT min(rn) FROM c WHERE upto >= 5242880 OR rn = 1000) AS stop
+ UNION ALL SELECT s.pack_id + 1, s.stop, x.upto, (SELECT min(rn) FROM c WHERE rn > s.stop AND (c.upto >= x.upto + 5242880 OR rn = s.stop + 1000)) FROM s JOIN c x ON x.rn = s.stop)
+SELECT id, path, file_size, s.pack_id, CAST(c.rn - s.start - 1 AS BIGINT) AS position FROM c JOIN s ON c.rn > s.start AND (s.stop IS NULL OR c.rn <= s.stop)""")
 def win2_build_packs(v):
-    return writeback.build_packs(v("files_prev").withColumn("to_be_read", F.lit(True)), buckets=16)
+    """The packs of a single walk, here over 16 ranges."""
+    return writeback.build_packs(v("files_prev").withColumn("to_be_read", F.lit(True)), ranges=16)
 
 
 @query("SELECT method, batch_size, transaction_size, concurrent, concurrency, total_duration FROM (SELECT *, rank() OVER (PARTITION BY method ORDER BY total_duration) AS n FROM {bench}) WHERE n = 1")
@@ -487,6 +500,15 @@ def ord3_next_files_page(v):
     return sync.next_files_page(v("files_prev"), 0.5, 0, 100)
 
 
+@query("SELECT id, rand, path, file_size FROM {files_prev} WHERE to_be_read AND (rand > 0.3 OR (rand = 0.3 AND id > 0)) ORDER BY rand, id LIMIT 500")
+def ord3_next_files_page_by_ranges(v):
+    """From a table in folders of ranges of rand."""
+    files = v("files_prev")
+    store = Store(files.sparkSession, work_folder(files.sparkSession, "ranges"))
+    laid_out = store.write("files", sync.with_rand_ranges(files, 20).repartition("rand_range"), ["rand_range"])
+    return sync.next_files_page(laid_out, 0.3, 0, 500, ranges=20)
+
+
 @query("SELECT * FROM {runs} WHERE state NOT IN ('finished', 'aborted') AND (id <= 14 OR NOT EXISTS (SELECT 1 FROM {runs} r WHERE r.id = 14 AND r.state NOT IN ('finished', 'aborted')))")
 def ord4_runs_to_continue(v):
     return runs.runs_to_continue(v("runs"), 14)

@@ -126,6 +126,19 @@ class Store:
         return self.write(table, old.join(rows.select(key), key, "left_anti").select(*old.columns).unionByName(rows), now.partition_by if now else None)
 
 
+def write_bucketed(rows: DataFrame, name: str, folder: str, buckets: int, key: str = "path") -> DataFrame:
+    """rows as a table of the session's catalog, stored below a folder in buckets of a key: joins by it leave the table where it is. buckets should be spark.sql.shuffle.partitions or more."""
+    rows.write.bucketBy(buckets, key).sortBy(key).mode("overwrite").option("path", folder).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
+def open_bucketed(spark: SparkSession, name: str, folder: str, schema: StructType, buckets: int, key: str = "path") -> DataFrame:
+    """A table that write_bucketed wrote, in a session whose catalog doesn't know it."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    spark.sql(f"CREATE TABLE `{name}` ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{folder}'")
+    return spark.table(name)
+
+
 def read_database(spark: SparkSession, url: str, table: str, *, lower: int, upper: int, partitions: int, key: str = "id") -> DataFrame:
     """A table of a database in ranges of its key (needs the database's driver on the class path)."""
     return spark.read.jdbc(url, table, column=key, lowerBound=lower, upperBound=upper, numPartitions=partitions)

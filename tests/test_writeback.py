@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallyward.operators import writeback
-from tallyward.sources.contents import checksum_files
+from tallyward.sources.contents import checksum_files, dealt_by_size
 from tallyward.streaming.writeback import compact, files_of, laid_out_by_id, log_results, read_log, stream_late_results, stream_write_back
 
 
@@ -25,18 +26,41 @@ def test_pack_ends(sizes, most_bytes, most_files):
     assert writeback.pack_ends(np.array(sizes, np.int64), most_bytes, most_files) == walk(sizes, most_bytes, most_files)
 
 
+@given(st.lists(st.integers(0, 30), max_size=60), st.lists(st.integers(0, 60), max_size=4), st.integers(1, 50), st.integers(1, 9))
+def test_places_and_jumps_of_ranges(sizes, cuts, most_bytes, most_files):
+    """Ranges that start with what jumps() says of those before give the packs of the whole walk."""
+    ends = walk(sizes, most_bytes, most_files)
+    starts = [0, *ends]
+    want = [(sum(e <= i for e in ends), i - max(s for s in starts if s <= i)) for i in range(len(sizes))]
+    edges = sorted({0, len(sizes), *(c for c in cuts if c <= len(sizes))})
+    got, pack, held, n = [], 0, 0, 0
+    for a, b in zip(edges, edges[1:], strict=False):
+        part = np.array(sizes[a:b], np.int64)
+        number, position, closed, new_held, new_n = writeback.place(part, held, n, most_bytes, most_files)
+        got += zip((pack + number).tolist(), position.tolist(), strict=True)
+        before, packs, left, files = writeback.jumps(part, most_bytes, most_files)
+        at = min(int(np.searchsorted(before, most_bytes - held)), most_files - n) if n else 0
+        if at <= len(part):
+            assert ((n > 0) + packs[at], left[at], files[at]) == (closed, new_held, new_n)
+        pack, held, n = pack + closed, new_held, new_n
+    assert got == want
+
+
 def test_packs_of_one_walk(spark):
     f = spark.range(25_000).selectExpr("id", "rand(3) AS rand", "concat('/', id) AS path", "id % 9000 AS file_size", "true AS to_be_read").checkpoint()
-    got = writeback.build_packs(f, most_bytes=2_000_000, most_files=700, buckets=1).toPandas().sort_values(["pack_id", "position"])
     rows = f.toPandas().sort_values(["rand", "id"])
-    assert got["id"].tolist() == rows["id"].tolist()
-    ends = walk(rows["file_size"].tolist(), 2_000_000, 700)
-    want = np.diff([0, *ends, *([len(rows)] if ends[-1] < len(rows) else [])])
-    assert got.groupby("pack_id").size().tolist() == want.tolist()
-    packs = writeback.build_packs(f, buckets=20)
+    for ranges in (1, 7, 300):  # 300 ranges hold a fraction of a pack each
+        got = writeback.build_packs(f.repartition(5), most_bytes=2_000_000, most_files=700, ranges=ranges).toPandas().sort_values(["pack_id", "position"])
+        assert got["id"].tolist() == rows["id"].tolist()
+        ends = walk(rows["file_size"].tolist(), 2_000_000, 700)
+        want = np.diff([0, *ends, *([len(rows)] if ends[-1] < len(rows) else [])])
+        assert got.groupby("pack_id").size().tolist() == want.tolist()
+        assert got["pack_id"].iloc[0] == 0 and got["pack_id"].nunique() == got["pack_id"].iloc[-1] + 1
+    packs = writeback.build_packs(f)
     assert writeback.collect_packs(packs).count() == writeback.pack_totals(packs).count()
-    key = lambda df: sorted(map(tuple, df.collect()))
-    assert key(packs) == key(writeback.build_packs(f.repartition(13), buckets=20))
+    few = f.limit(40).checkpoint()  # most ranges are empty
+    assert sorted(map(tuple, writeback.build_packs(few, ranges=90).collect())) == sorted(map(tuple, writeback.build_packs(few, ranges=1).collect()))
+    assert writeback.build_packs(f.limit(0)).count() == 0 == writeback.build_packs(f.limit(0), ranges=3).count()
 
 
 def tables(spark):
@@ -123,3 +147,20 @@ def test_replayed_batch_and_folding(spark, tmp_path, fold_every):
     warnings = read_log(spark, f"file://{tmp_path}/work", "warnings").drop("batch_id")
     assert key(warnings) == key(writeback.checksum_mismatches(files, first, 7))
     assert len(list((tmp_path / "work/files").glob("batch_id=*"))) <= 2 if fold_every < 100 else not (tmp_path / "work/files").exists()
+
+
+def test_files_are_dealt_by_size(spark, tmp_path):
+    sizes = [3_000_000, *[1000 * (i % 37) for i in range(160)]]  # the first has about half of all bytes
+    for i, n in enumerate(sizes):
+        (tmp_path / f"f{i}").write_bytes(bytes([i % 256]) * n)
+    rows = spark.createDataFrame([(i, f"{tmp_path}/f{i}", n) for i, n in enumerate(sizes)], "id long, path string, file_size long").repartition(3)
+    got = {r.id: (r.bytes_read, bytes(r.checksum)) for r in checksum_files(rows, tasks=8).collect()}
+    assert got == {i: (n, hashlib.sha1(bytes([i % 256]) * n).digest()) for i, n in enumerate(sizes)}
+    tasks = {}
+    for r in dealt_by_size(rows, 8).withColumn("task", F.spark_partition_id()).collect():
+        tasks.setdefault(r.task, []).append(r.file_size)
+    assert [3_000_000] in tasks.values() and all(x == sorted(x, reverse=True) for x in tasks.values())
+    others = [sum(x) for x in tasks.values() if x != [3_000_000]]
+    share = sum(sizes) / 8
+    assert all(x <= share + 36_000 for x in others) and len(others) >= 4
+    assert dealt_by_size(rows.limit(0), 8).count() == 0
