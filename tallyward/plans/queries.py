@@ -539,7 +539,7 @@ def set2_duplicate_paths(v):
 
 @query(f"WITH u AS ({_FULL}), n AS ({_INSERTED}) SELECT {_ROW} FROM u UNION ALL SELECT {_ROW} FROM n")
 def set3_next_files_table(v):
-    return sync.next_files_by_union(v("files_prev"), v("inventory"), RUN).drop("id")
+    return sync.next_files_by_union(v("files_prev"), v("inventory"), RUN, first_id=_first_id(v("files_prev")))
 
 
 # scalar functions

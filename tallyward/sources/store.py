@@ -20,7 +20,7 @@ TABLES = {
 }
 
 
-_POINTER = "n long, version string, partition_by array<string>, schema string"
+_POINTER = "n long, folders array<string>, partition_by array<string>, schema string"
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -81,42 +81,57 @@ class Store:
     def _place(self, table: str) -> str:
         return f"{self.folder}/{self.prefix}{table}"
 
-    def _current(self, table: str) -> Row | None:
-        """The pointer's newest row: n, version (its folder), partition_by, schema."""
+    def _pointers(self, table: str) -> DataFrame | None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._place(table)}/pointer")
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(path):
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return None
-        return self.spark.read.schema(_POINTER).json(str(path.toString())).orderBy(F.desc("n")).first()
+        return self.spark.read.schema(_POINTER).json(str(path.toString()))
+
+    def _current(self, table: str) -> Row | None:
+        """The pointer's newest row: n, folders of the version, partition_by, schema."""
+        found = self._pointers(table)
+        return found and found.orderBy(F.desc("n")).first()
 
     def read(self, table: str, schema: str | None = None) -> DataFrame:
         """The current version; an absent table is empty, with the given or the fixed columns."""
         now = self._current(table)
         if now is None:
             return self.spark.createDataFrame([], schema or TABLES[table])
-        return self._at(now.version, StructType.fromJson(json.loads(now.schema)))
+        return self._at(now.folders, StructType.fromJson(json.loads(now.schema)))
 
-    def _at(self, version: str, schema: StructType) -> DataFrame:
+    def _at(self, folders: list[str], schema: StructType) -> DataFrame:
         """The rows of a version; columns that are folders have the order and type they were written with."""
-        return self.spark.read.schema(schema).parquet(version).select(*schema.names)
+        return self.spark.read.schema(schema).option("basePath", folders[0].rsplit("/", 1)[0]).parquet(*folders).select(*schema.names)
+
+    def _next(self, table: str, rows: DataFrame, kept: list[str], old: Row | None, partition_by: list[str]) -> DataFrame:
+        """Writes rows to a folder of their own, which with those kept is the next version."""
+        folders = [*kept, f"{self._place(table)}/data/part_of={uuid.uuid4().hex}"]
+        rows.write.partitionBy(*partition_by).parquet(folders[-1])
+        row = [(0 if old is None else old.n + 1, folders, partition_by, rows.schema.json())]
+        self.spark.createDataFrame(row, _POINTER).coalesce(1).write.mode("append").json(f"{self._place(table)}/pointer")
+        return self._at(folders, rows.schema)
 
     def write(self, table: str, rows: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         """Makes rows the table's next version and returns it."""
-        version = f"{self._place(table)}/{uuid.uuid4().hex}"
-        rows.write.partitionBy(*partition_by or []).parquet(version)
-        old = self._current(table)
-        row = [(0 if old is None else old.n + 1, version, partition_by or [], rows.schema.json())]
-        self.spark.createDataFrame(row, _POINTER).coalesce(1).write.mode("append").json(f"{self._place(table)}/pointer")
-        return self._at(version, rows.schema)
+        return self._next(table, rows, [], self._current(table), partition_by or [])
 
     def append(self, table: str, rows: DataFrame) -> DataFrame:
-        """Adds files to the current version, in its partitions; nothing that is there is read or written again."""
+        """A new version: the folders of the current one and another with rows, partitioned alike. Nothing that is there is read or written again, and readers of the current version go on with it."""
         now = self._current(table)
         if now is None:
             return self.write(table, rows)
         schema = StructType.fromJson(json.loads(now.schema))
-        rows.select(*(F.col(f.name).cast(f.dataType) for f in schema)).write.mode("append").partitionBy(*now.partition_by).parquet(now.version)
-        return self._at(now.version, schema)
+        return self._next(table, rows.select(*(F.col(f.name).cast(f.dataType) for f in schema)), now.folders, now, now.partition_by)
+
+    def forget(self, table: str, keep: int = 1) -> None:
+        """Removes folders that the newest `keep` versions don't name."""
+        found = self._pointers(table)
+        if found is None:
+            return
+        kept = {f for r in found.orderBy(F.desc("n")).limit(keep).collect() for f in r.folders}
+        for folder in {f for r in found.collect() for f in r.folders} - kept:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def replace(self, table: str, rows: DataFrame, key: str = "id") -> DataFrame:
         """Rows of the same key give way to the new ones; ids that are not there are an error. A new version, partitioned as the one before."""

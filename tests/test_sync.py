@@ -4,7 +4,7 @@ import itertools
 import pytest
 
 from tallyward.operators import sync
-from tallyward.sources.store import Store, open_bucketed, write_bucketed
+from tallyward.sources.store import Store, open_bucketed, read_database, write_bucketed
 
 OLD, NEW = "2020-01-01", "2020-01-02"
 
@@ -166,3 +166,25 @@ def test_samples_of_many_rows(spark, most):
     order = sorted((f"/{i}" for i in range(3000)), key=lambda p: hashlib.md5(("s" + p).encode()).hexdigest())
     for n in (0, 1, 1234, 3000, 9999):
         assert sorted(r.path for r in sync.sample_inventory(inv, n, "s", most).collect()) == sorted(order[:n]), n
+
+
+def test_readers_keep_their_version(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}")
+    first = store.write("w", spark.range(10))
+    second = store.append("w", spark.range(10, 15))
+    store.append("w", spark.range(15, 16))
+    assert (first.count(), second.count(), store.read("w").count()) == (10, 15, 16)
+    store.write("w", spark.range(3))
+    store.forget("w", keep=2)
+    assert (second.count(), store.read("w").count()) == (15, 3)
+    store.forget("w")
+    assert store.read("w").count() == 3 and len(list((tmp_path / "w/data").iterdir())) == 1
+
+
+def test_read_database(spark, tmp_path):
+    """From the database that Spark's own jars bring along, in ranges of the key."""
+    url = f"jdbc:derby:{tmp_path}/db"
+    spark.range(1, 501).selectExpr("id", "concat('/', id) AS path").coalesce(1).write.option("driver", "org.apache.derby.iapi.jdbc.AutoloadedDriver").jdbc(f"{url};create=true", "files")
+    got = read_database(spark, url, "files", lower=1, upper=500, partitions=4)
+    assert got.rdd.getNumPartitions() == 4
+    assert sorted((r.id, r.path) for r in got.collect()) == [(i, f"/{i}") for i in range(1, 501)]
