@@ -16,17 +16,21 @@ class Forest:
     child: np.ndarray
     share: np.ndarray
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        """The mean share of ones over the trees, for each row of x."""
-        out = np.zeros(len(x))
+    def each(self, x: np.ndarray) -> np.ndarray:
+        """(trees, rows): the share of ones at the leaf of each tree that a row of x comes to."""
+        out = np.zeros((len(self.feature), len(x)))
         rows = np.arange(len(x))
-        for f, t, c, s in zip(self.feature, self.threshold, self.child, self.share, strict=True):
+        for k, (f, t, c, s) in enumerate(zip(self.feature, self.threshold, self.child, self.share, strict=True)):
             at = np.zeros(len(x), np.int64)
             while (inner := f[at] >= 0).any():
                 i = rows[inner]
                 at[i] = c[at[i]] + (x[i, f[at[i]]] > t[at[i]])
-            out += s[at]
-        return out / len(self.feature)
+            out[k] = s[at]
+        return out
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """The mean share of ones over the trees, for each row of x."""
+        return self.each(x).mean(0)
 
 
 def _split(x: np.ndarray, y: np.ndarray, features: np.ndarray, least: int) -> tuple[float, int, float]:
@@ -45,14 +49,17 @@ def _split(x: np.ndarray, y: np.ndarray, features: np.ndarray, least: int) -> tu
     return best
 
 
-def fit_forest(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 8, least: int = 3, seed: int = 1) -> Forest:
-    """Trees on bootstrap samples in which either class has the same weight; each node draws the square root of the features."""
+def fit_forest(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 8, least: int = 3, seed: int = 1, allowed: np.ndarray | None = None) -> Forest:
+    """Trees on bootstrap samples in which either class has the same weight; each node draws the square root of the features.
+
+    allowed (trees, rows) says which rows a tree may draw; both classes must be among them.
+    """
     rng = np.random.default_rng(seed)
     sides = [np.flatnonzero(y == c) for c in (0, 1)]
     size, tried = max(1, len(y) // 2), max(1, round(np.sqrt(x.shape[1])))
     grown = []
-    for _ in range(trees):
-        rows = np.concatenate([rng.choice(s, size) for s in sides])
+    for t in range(trees):
+        rows = np.concatenate([rng.choice(s if allowed is None else s[allowed[t, s]], size) for s in sides])
         nodes, todo = [[-1, 0.0, 0, 0.0]], [(0, rows, 0)]
         while todo:
             at, own, level = todo.pop()

@@ -4,7 +4,10 @@ Candidates are long runs of characters with digits or mixed case, values of
 assignments (anywhere in a text, with quotes and blanks or without) and blocks of private
 keys. The forest looks at a candidate's length, character transitions (within the value, and
 as likely as they are in the corpus), dictionary coverage (letter triples that are frequent in the
-words of the corpus), path (source) and neighbouring words.
+words of the corpus), path (source) and neighbouring words: three words before and one behind it and the
+last two parts of the path, each as the share of secrets among the labelled findings with that word. While the forest is fitted,
+a finding's shares come from other folds of values. Every tree leaves a third of the values out (where there are LEAST_VALUES of each label), and of values that the forest
+was fitted on, only trees judge that did not know them. The name that a value is assigned to is no neighbouring word, as it may make the label.
 
 It learns from labelled findings. Where none are given, the labels are what evidence outside
 these features proves of some findings: the name that a value is assigned to or the format of
@@ -17,8 +20,10 @@ label, drawn by the value's hash, a value in COPIES places at most. The dictiona
 from __future__ import annotations
 
 import bisect
+import hashlib
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -61,17 +66,24 @@ _USERINFO_NAME = "userinfo:password"
 _CREDENTIALS = re.compile(r"://[^\s/?#]*@")
 _PARAMETER = re.compile(r"[?&;#]([\w.\-]++)=(?=[^&;#])")
 _EMAIL = re.compile(r"(?:mailto:)?[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)*\.[^\W\d_]{2,}")
+_URL_MARKS = re.compile(r"\s|://")
 _BEFORE, _AFTER = "([{<", "\"'`)]}>,;:."
 _PART = re.compile(r"[_\-]")
 _OUTER = "\"'`()[]{}<>,;.!?:"
 #: A run without the punctuation around it.
 _CORE = re.compile(r"[^\W_](?:.*[\w=/+])?|[-_+/].*[\w=/+]")
+_PATH_PART = re.compile(r"[^\W_]+")
 _LETTERS = re.compile(r"[^\W\d_]{3,}")
 _NUMBER = re.compile(r"\d(?:[ .\-]?\d){12,18}")
 _DATE = re.compile(r"\d{4}-\d\d-\d\d(?:[T_]\d\d:\d\d(?::\d\d(?:\.\d+)?)?(?:Z|[+\-]\d\d:?\d\d)?)?")
 
 #: None of these is what a label is made of (names, formats, check digits, syntax of addresses).
-FEATURES = ("length", "transitions", "upper", "symbols", "distinct", "coverage", "likelihood", "longest_letters", "quoted", "example_path", "word_before", "word_after")
+FEATURES = ("length", "transitions", "upper", "symbols", "distinct", "coverage", "likelihood", "longest_letters", "quoted", "example_path", "word_before", "word_after", "before_1", "before_2", "before_3", "after_1", "path_1", "path_2")
+#: The features that are hashed words (0: none), by the table of shares they are looked up in; hashes, rows of the prior, folds.
+CONTEXT = {"before": (12, 13, 14), "after": (15,), "path": (16, 17)}
+CODES, PRIOR_ROWS, FOLDS, TREES = 1 << 14, 4.0, 5, 40
+#: Values of each label from which on trees leave some out: with few, a tree without one might know nothing of its kind.
+LEAST_VALUES = 50
 #: Letters are told apart as a to z without accents; all else is one more sign.
 SIGNS = 27
 
@@ -144,12 +156,13 @@ def assignments(text: str) -> Iterator[tuple[int, int, str, bool]]:
     Names that announce no secret count where the value has digits or mixed case, or where name and value are one long run, and not as parameters of a URL.
     """
     reach = secret_reach = 0  # a value in one that counts as much is none of its own, so long chains of names take linear time
+    urls = _Urls(text)
     for m in _ASSIGNED.finditer(text):
         name, at = m[1].lstrip("-.").lower(), m.end()
         secret = announces(name)
         if not name or m.start() < (secret_reach if secret else max(reach, secret_reach)) or text.startswith("//" if secret else ("/", "="), at):
             continue
-        if not secret and (name[0].isdigit() or _in_url(text, m.start())):
+        if not secret and (name[0].isdigit() or urls.hold(m.start())):
             continue
         quoted = text.startswith(_QUOTES, at)
         if quoted and (q := _QUOTED.match(text, at)):
@@ -167,9 +180,17 @@ def assignments(text: str) -> Iterator[tuple[int, int, str, bool]]:
             yield a, b, name, quoted
 
 
-def _in_url(text: str, at: int) -> bool:
-    before = text[max(0, at - 2_000) : at]
-    return bool(before) and not before[-1].isspace() and "://" in before.rsplit(None, 1)[-1]
+class _Urls:
+    """Whether a place of a text lies in a run with `://` before it. Asked for places in order, it reads the text once."""
+
+    def __init__(self, text: str) -> None:
+        self.marks, self.next, self.inside = _URL_MARKS.finditer(text), None, False
+
+    def hold(self, at: int) -> bool:
+        while (m := self.next or next(self.marks, None)) is not None and m.start() < at:
+            self.inside, self.next = not m[0].isspace(), None
+        self.next = m
+        return self.inside
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, str, bool]]:
@@ -232,7 +253,28 @@ def evidence(value: str, name: str) -> int | None:
     return 0 if known else None
 
 
-def describe(text: str, path: str, a: int, b: int, quoted: bool, words: Dictionary) -> list[float]:
+def _code(kind: str, word: str) -> float:
+    return float(zlib.crc32(f"{kind} {word.lower()}".encode("utf-8", "surrogatepass")) % CODES + 1)
+
+
+def neighbours(text: str, path: str, a: int, b: int, name: str) -> list[float]:
+    """The hashed words round a candidate and of its path, nearest first, 0 where there is none or no word. What stands before an assigned value counts from before its name on."""
+    before = text[max(0, a - 120) : a]
+    if name and (i := before.lower().rfind(name)) >= 0:
+        before = before[:i]
+    words = before.split()
+    if a > 120 and not text[a - 121].isspace():
+        words = words[1:]  # its start is cut off
+    words = [w.strip(_OUTER) for w in words[:-4:-1]]
+    after = [w for w in (x.strip(_OUTER) for x in text[b : b + 60].split()[:2]) if w][:1]
+    parts = _PATH_PART.findall(path)[:-3:-1]
+    out = []
+    for kind, found, n in (("before", words, 3), ("after", after, 1), ("path", parts, 2)):
+        out += [_code(kind, w) if kind == "path" or w.isalpha() else 0.0 for w in found] + [0.0] * (n - len(found))
+    return out
+
+
+def describe(text: str, path: str, a: int, b: int, name: str, quoted: bool, words: Dictionary) -> list[float]:
     """The features of a candidate."""
     value, n = text[a:b], b - a
     kinds = np.fromiter((0 if c.isdigit() else 1 if c.isupper() else 2 if c.isalpha() else 3 for c in value), np.int8, n)
@@ -244,12 +286,17 @@ def describe(text: str, path: str, a: int, b: int, quoted: bool, words: Dictiona
         # of all the triples that a value of its length could have, those that words have
         float(words.frequent[own].sum()) / max(1, n - 2), float(words.likelihood[own].mean()) if len(own) else 0.0,
         max(map(len, _LETTERS.findall(value)), default=0) / n, float(quoted), float(bool(_EXAMPLE.search(path))), word(before, -1), word(after, 0),
+        *neighbours(text, path, a, b, name),
     ]
 
 
 def found_in(text: str, path: str, words: Dictionary) -> list[tuple[int, int, list[float], int | None]]:
     """(start, end, features, label) of the candidates of a text."""
-    return [(a, b, describe(text, path, a, b, quoted, words), evidence(text[a:b], name)) for a, b, name, quoted in candidates(text)]
+    return [(a, b, describe(text, path, a, b, name, quoted, words), evidence(text[a:b], name)) for a, b, name, quoted in candidates(text)]
+
+
+def digest_of(value: str) -> str:
+    return hashlib.sha256(value.encode()).hexdigest()
 
 
 def findings(docs: DataFrame, words: Dictionary, *, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
@@ -257,8 +304,6 @@ def findings(docs: DataFrame, words: Dictionary, *, id_col: str = "doc_id", text
 
     Null texts have no candidate, a null or absent path counts as empty; repeated rows have their findings each; other columns are not read.
     """
-    import hashlib
-
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, start long, end long, digest string, features array<double>, label int"
 
@@ -267,7 +312,7 @@ def findings(docs: DataFrame, words: Dictionary, *, id_col: str = "doc_id", text
             got, own = [], []
             for i, (text, path) in enumerate(zip(texts, col(part, "path").to_pylist(), strict=True)):
                 for a, b, x, label in found_in(text, path or "", words):
-                    got.append((a, b, hashlib.sha256(text[a:b].encode()).hexdigest(), x, label))
+                    got.append((a, b, digest_of(text[a:b]), x, label))
                     own.append(i)
             columns = list(zip(*got, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()), pa.int32()]
@@ -292,30 +337,90 @@ def sampled(labelled: DataFrame, *, most: int = MOST) -> DataFrame:
     return few.filter(draw <= share)
 
 
-def fit(labelled: DataFrame, *, most: int = MOST) -> Forest | None:
+@dataclass
+class Judge:
+    """The forest, the shares of secrets by hashed word (a table for each kind of CONTEXT), and which trees could draw each value of the sample."""
+
+    forest: Forest
+    shares: dict[str, np.ndarray]
+    drawn: dict[str, np.ndarray]
+
+    def encoded(self, x: np.ndarray) -> np.ndarray:
+        """x with hashed words as shares."""
+        return _encoded(x, self.shares)
+
+    def predict(self, x: np.ndarray, digests: list[str]) -> np.ndarray:
+        """The mean share of ones over the trees that a row's value was left out of (over all, if none)."""
+        each = self.forest.each(self.encoded(x))
+        free = np.ones(each.shape, bool)
+        for i, d in enumerate(digests):
+            if (seen := self.drawn.get(d)) is not None and not seen.all():
+                free[:, i] = ~seen
+        return (each * free).sum(0) / free.sum(0)
+
+
+def _shares(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """For each kind of context, the share of ones by code, drawn towards the share of all; a finding counts once for a word."""
+    base = float(y.mean()) if len(y) else 0.5
+    out = {}
+    for kind, columns in CONTEXT.items():
+        n, ones = np.zeros(CODES + 1), np.zeros(CODES + 1)
+        codes = np.sort(x[:, columns].astype(np.int64) % (CODES + 1), axis=1)
+        once = np.ones(codes.shape, bool)
+        once[:, 1:] = codes[:, 1:] != codes[:, :-1]
+        np.add.at(n, codes[once], 1)
+        np.add.at(ones, codes[once], np.broadcast_to(y[:, None], codes.shape)[once])
+        out[kind] = (ones + PRIOR_ROWS * base) / (n + PRIOR_ROWS)
+        out[kind][0] = base
+    return out
+
+
+def _encoded(x: np.ndarray, shares: dict[str, np.ndarray]) -> np.ndarray:
+    out = x.astype(float).copy()
+    for kind, columns in CONTEXT.items():
+        for j in columns:
+            out[:, j] = shares[kind][x[:, j].astype(np.int64) % (CODES + 1)]
+    return out
+
+
+def fit(labelled: DataFrame, *, most: int = MOST) -> Judge | None:
     """A forest from labelled findings (digest, features, label 1 or 0; null labels teach nothing); None without findings of both labels."""
     got = sorted((r.digest, r.label, list(r.features)) for r in sampled(labelled, most=most).collect())  # the order fixes the forest
-    x, y = np.array([f for _, _, f in got], float), np.array([k for _, k, _ in got], int)
-    return fit_forest(x, y) if 0 < y.sum() < len(y) else None
+    return judge_of([d for d, _, _ in got], np.array([f for _, _, f in got], float), np.array([k for _, k, _ in got], int))
+
+
+def judge_of(digests: list[str], x: np.ndarray, y: np.ndarray) -> Judge | None:
+    if not 0 < y.sum() < len(y):
+        return None
+    fold = np.array([zlib.crc32(f"fold {d}".encode()) % FOLDS for d in digests])
+    own = x.copy()
+    for k in range(FOLDS):
+        own[fold == k] = _encoded(x[fold == k], _shares(x[fold != k], y[fold != k]))
+    # every tree leaves a third of the values out, if there are enough of either label
+    values = min(len({d for d, k in zip(digests, y, strict=True) if k == label}) for label in (0, 1))
+    allowed = np.array([[values < LEAST_VALUES or zlib.crc32(f"tree {t} {d}".encode()) % 3 > 0 for d in digests] for t in range(TREES)])
+    forest = fit_forest(own, y, trees=TREES, allowed=allowed)
+    drawn = {d: allowed[:, i] for i, d in enumerate(digests)}
+    return Judge(forest, _shares(x, y), drawn)
 
 
-def judged(found: DataFrame, forest: Forest | None, *, sure: float = SURE) -> DataFrame:
+def judged(found: DataFrame, forest: Judge | None, *, sure: float = SURE) -> DataFrame:
     """The findings with probability and secret (probability of `sure` or more). Without a forest the labels decide, findings without one are UNDECIDED and no secrets."""
     names = [c for c in found.columns if c != "features"]
     kinds = ", ".join(f"{c} {found.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = probabilities(forest, col(batch, "features").to_pylist(), col(batch, "label").to_pylist())
+            p = probabilities(forest, col(batch, "features").to_pylist(), col(batch, "label").to_pylist(), col(batch, "digest").to_pylist())
             yield pa.RecordBatch.from_arrays([*(col(batch, c) for c in names), pa.array(p), pa.array(p >= sure)], [*names, "probability", "secret"])
 
     return found.mapInArrow(run, f"{kinds}, probability double, secret boolean")
 
 
-def probabilities(forest: Forest | None, features: list[list[float]], labels: list[int | None]) -> np.ndarray:
+def probabilities(forest: Judge | None, features: list[list[float]], labels: list[int | None], digests: list[str]) -> np.ndarray:
     if forest is None:
         return np.array([UNDECIDED if x is None else x for x in labels], float)
-    return forest.predict(np.array(features, float).reshape(len(features), len(FEATURES)))
+    return forest.predict(np.array(features, float).reshape(len(features), len(FEATURES)), digests)
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
@@ -327,7 +432,8 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, *, id_col: str = "d
 def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", length_col: str = "n_chars", sure: float = SURE) -> DataFrame:
     """docs with every secret of its texts masked and length_col (if there) set to the new length; all else, and clean rows, as they were.
 
-    The forest is fitted first; each row is then scanned and masked where it is, so nothing is shuffled.
+    The forest is fitted first; each row is then scanned and masked where it is, so nothing is shuffled. Null texts stay null, repeated rows are
+    masked alike, an empty table gives none.
     """
     words = dictionary(docs, text_col=text_col)
     found = stored(findings(docs, words, id_col=id_col, text_col=text_col, path_col=path_col).filter("label IS NOT NULL"), "labelled")
@@ -341,7 +447,7 @@ def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             paths = col(part, path_col).to_pylist() if path_col in part.schema.names else [""] * len(texts)
             for i, (text, path) in enumerate(zip(texts, paths, strict=True)):
                 if got := found_in(text, str(path or ""), words):
-                    p = probabilities(forest, [x for _, _, x, _ in got], [r for *_, r in got])
+                    p = probabilities(forest, [x for _, _, x, _ in got], [r for *_, r in got], [digest_of(text[a:b]) for a, b, _, _ in got])
                     out, at = [], 0
                     for (a, b, _, _), q in sorted(zip(got, p, strict=True)):
                         if q >= sure and a >= at:

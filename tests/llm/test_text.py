@@ -475,11 +475,17 @@ def test_scan_equals_brute_force(spark, documents):
     number = lambda t: (t[0] * 27 + t[1]) * 27 + t[2]
     frequent = {t for t, n in counts.items() if 26 not in t and n * 26**3 >= letters}
     assert {t for t in counts if words.frequent[number(t)]} == frequent
-    forest = secretscan.fit(secretscan.findings(docs, words))
-
-    def walk(x):
-        shares = []
-        for f, t, c, s in zip(forest.feature, forest.threshold, forest.child, forest.share, strict=True):
+    judge = secretscan.fit(secretscan.findings(docs, words))
+    sample = {r.digest: r for r in secretscan.findings(docs, words).filter("label IS NOT NULL").collect()}
+    assert set(judge.drawn) <= set(sample)
+
+    def walk(x, digest):
+        shares, forest = [], judge.forest
+        x = [judge.shares[next(k for k, at in secretscan.CONTEXT.items() if j in at)][int(v)] if j >= 12 else v for j, v in enumerate(x)]
+        drawn = judge.drawn.get(digest, np.zeros(len(forest.feature), bool))
+        for f, t, c, s, seen in zip(forest.feature, forest.threshold, forest.child, forest.share, drawn, strict=True):
+            if seen and not drawn.all():
+                continue
             at = 0
             while f[at] >= 0:
                 at = c[at] + int(x[f[at]] > t[at])
@@ -492,7 +498,7 @@ def test_scan_equals_brute_force(spark, documents):
             own = runs(r.text[a:b])
             assert x[secretscan.FEATURES.index("coverage")] == pytest.approx(sum(t in frequent for t in own) / max(1, b - a - 2))
             assert x[secretscan.FEATURES.index("likelihood")] == pytest.approx(np.mean([np.log((counts[t] + 1) / (pairs[t[:2]] + 27)) for t in own]), abs=0.05)
-            want[r.doc_id, a, b] = (label, round(walk(x), 9))
+            want[r.doc_id, a, b] = (label, round(walk(x, secretscan.digest_of(r.text[a:b])), 9))
     got = {(r.doc_id, r.start, r.end): (r.label, round(r.probability, 9)) for r in secretscan.scan(docs).collect()}
     assert got == want and any(label is None for label, _ in got.values())
 
@@ -513,6 +519,35 @@ def test_forest_decides_what_no_label_says(spark):
     found = secretscan.findings(docs, secretscan.dictionary(docs)).toPandas()
     held = found["digest"].str[0].isin(list("0123"))
     known = found[~found["label"].isna() & ~held]
-    judge = forest.fit_forest(np.array(known["features"].tolist()), known["label"].to_numpy(int))
+    judge = secretscan.judge_of(known["digest"].tolist(), np.array(known["features"].tolist()), known["label"].to_numpy(int))
     tested = found[~found["label"].isna() & held]
-    assert ((judge.predict(np.array(tested["features"].tolist())) >= 0.5) == (tested["label"] == 1)).mean() > 0.95
+    assert ((judge.predict(np.array(tested["features"].tolist()), tested["digest"].tolist()) >= 0.5) == (tested["label"] == 1)).mean() > 0.95
+
+
+def test_neighbouring_words_and_paths_tell_like_values_apart(spark):
+    """Values of one kind, which only the words round them and the path tell apart. Labels are known of two thirds; the label rule alone would miss the rest."""
+    rng = random.Random(11)
+    value = lambda: "".join(rng.choices("0123456789abcdef", k=32))
+    rows, truth = [], {}
+    for i in range(900):
+        secret, v = i % 2 == 0, value()
+        words = " ".join("".join(rng.choices("abcdeimnorst", k=rng.randint(3, 8))) for _ in range(8))
+        if i % 4 < 2:
+            text, path = f"{words} {'the login key is' if secret else 'the commit hash is'} {v} {words}", "web"
+        else:
+            text, path = f"{words} {v} {words}", "conf/credentials.ini" if secret else "git/objects.log"
+        rows.append((i, text, path))
+        truth[i] = secret
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labelled = secretscan.findings(docs, WORDS).withColumn("label", F.when(F.col("doc_id") % 3 > 0, (F.col("doc_id") % 2 == 0).cast("int")))
+    got = [r for r in secretscan.scan(docs, labelled).collect()]
+    assert len(got) == 900
+    unknown = [r for r in got if r.doc_id % 3 == 0]
+    assert np.mean([r.secret == truth[r.doc_id] for r in unknown]) > 0.97
+    assert np.mean([r.secret == truth[r.doc_id] for r in got]) > 0.97
+
+
+def test_long_urls_have_no_assignments():
+    url = "https://site.org/path?" + "&".join(f"page{i}=Zx{i}Qm{i}Pa7" for i in range(2000))
+    assert [text for text in (url[a:b] for a, b, name, _ in secretscan.candidates(url) if name)] == []
+    assert [name for _, _, name, _ in secretscan.candidates("x " + url + " page=Zx81QmPa7")] [-1:] == ["page"]
