@@ -198,7 +198,7 @@ def test_machines_reach_the_optimum_of_a_plain_solver():
 
 def test_many_languages_fit_in_bounded_memory():
     """60 languages with MOST_ROWS rows, as sample() leaves of 60 languages of 600 rows, in a process that may hold 600 MB."""
-    code = "import resource; from tests.llm.test_text import *; langs, x = sparse_rows(200, 60); m = language.fit_rows(langs, x); test_langs, test = sparse_rows(5, 60, seed=2); found, _ = m.predict(test.dense(0, len(test))); print(len(langs), np.mean(np.array(found, object) == test_langs), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1000)"
+    code = "from tests.llm.test_text import *; langs, x = sparse_rows(200, 60); m = language.fit_rows(langs, x); test_langs, test = sparse_rows(5, 60, seed=2); found, _ = m.predict(test.dense(0, len(test))); print(len(langs), np.mean(np.array(found, object) == test_langs), int(Path('/proc/self/status').read_text().split('VmHWM:')[1].split()[0]) / 1000)"
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True, cwd=Path(__file__).parents[2]).stdout.split()
     assert int(out[0]) == language.MOST_ROWS and float(out[1]) > 0.95 and float(out[2]) < 600
 
