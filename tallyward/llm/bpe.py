@@ -142,7 +142,9 @@ def decode(encoded: DataFrame, path: str | None = None, *, id_col: str = "doc_id
 def round_trip(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and decodes in one pass and returns digests, so that neither ids nor texts leave the task.
 
-    id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded_sha256 (UTF-8). Null text is empty.
+    id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded_sha256 (UTF-8). One row per row, so
+    repeated rows give repeated rows, and null ids stay. Null text is empty; an empty text has no ids and the digests of
+    nothing. Very long texts are encoded whole. An empty table gives no rows; other columns are not read.
     """
     path = path or tokenizer_path()
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"

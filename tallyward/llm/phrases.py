@@ -1,9 +1,10 @@
 """Phrases (collocations) by multikey quicksort of suffix pointers.
 
 1. Words are counted, a sum for each task and word first. A bitmap of fixed size marks the frequent ones by hash; a wrongly set bit only lets more through.
-2. Neighbouring frequent words are counted by a hash of the pair, which gives a second bitmap. A suffix starts at every
-   word and goes on for at most LONGEST words of its piece while its neighbours are marked pairs: nothing else
-   can lie in a frequent phrase. Equal suffixes of a task become one row with a count.
+2. Neighbouring frequent words are counted by a hash of the pair, which gives a second bitmap, and triples of marked pairs
+   likewise. A suffix starts at every word that begins a marked pair and goes on for at most LONGEST words of its piece
+   while every three in a row are marked: nothing else can lie in a frequent phrase, and most suffixes end behind their
+   pair. Equal suffixes of a task become one row with a count.
 3. Suffixes are routed by ranges of their leading words, so that every task has about RANGE_ROWS of them, however
    often a word or a phrase occurs. Each task sorts pointers to its suffixes by multikey three-way quicksort: partitions of
    equal words give the counts, those under the limit are abandoned. Only phrases that a range's first or last suffix starts with can be cut by
@@ -26,9 +27,11 @@ from tallyward.llm.common import claim, col, drop, mixed, small_batches, stored,
 
 LONGEST, LEAST, SCALE, PER_LANG = 5, 100, 1000, 2000
 UNKNOWN = "und"
-#: Bits of the bitmaps of frequent words and pairs: 8 MB each, whatever the corpus.
+#: Bits of the bitmaps of frequent words, pairs and triples: 8 MB each, whatever the corpus.
 BITS = 1 << 26
-#: Distinct words, pairs and suffixes that a task keeps before it hands on their counts.
+#: Words of the longest runs that are counted before suffixes are made.
+COUNTED = 3
+#: Distinct words, runs and suffixes that a task keeps before it hands on their counts.
 KEPT_WORDS, KEPT_ROWS = 500_000, 1_500_000
 #: Suffixes that a task sorts.
 RANGE_ROWS = 200_000
@@ -156,10 +159,24 @@ class _Seen:
             self.hashes, self.often = np.concatenate([self.hashes, new]), np.concatenate([self.often, marked(self.frequent, new)])
         return ids
 
-
-def pair_counts(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """h (hash of a pair of neighbouring frequent words and its language), c: how often it occurs."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    def runs(self, ids: np.ndarray, maps: list[np.ndarray], open_end: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(starts, hashes) of the runs of two words and more that are marked, as are all their parts: a length for each bitmap, and with open_end one more, whose parts alone are marked."""
+        words = self.hashes[ids]
+        ok, hashes = self.often[ids], words
+        for bitmap in [*maps, None] if open_end else maps:
+            start = np.flatnonzero(ok[:-1] & ok[1:])
+            longer = pair_hashes(hashes[start], words[start + len(words) - len(ok) + 1])
+            ok, hashes = np.zeros(len(ok) - 1 if len(ok) else 0, bool), np.zeros(len(ok) - 1 if len(ok) else 0, np.uint64)
+            if bitmap is not None:
+                good = marked(bitmap, longer)
+                start, longer = start[good], longer[good]
+            ok[start], hashes[start] = True, longer
+            yield start, longer
+
+
+def run_counts(docs: DataFrame, maps: list[np.ndarray]) -> DataFrame:
+    """h (hash of a run of words and its language), c: how often it occurs. maps: bitmaps of the frequent words, pairs and so on; runs are a word longer than those of the last one, and their parts are marked."""
+    shared = docs.sparkSession.sparkContext.broadcast(maps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("phrases")
@@ -176,12 +193,10 @@ def pair_counts(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
         for lang, text in by_language(batches):
             if lang not in seen or len(seen[lang].words) > KEPT_WORDS:
-                seen[lang] = _Seen(lang, shared.value)
+                seen[lang] = _Seen(lang, shared.value[0])
             own = seen[lang]
-            ids = own.codes(text)
-            both = own.often[ids[:-1]] & own.often[ids[1:]]
-            h = own.hashes[ids]
-            held.append(np.unique(pair_hashes(h[:-1][both], h[1:][both]), return_counts=True))
+            *_, (_, hashes) = own.runs(own.codes(text), shared.value[1:], open_end=True)
+            held.append(np.unique(hashes, return_counts=True))
             if sum(len(k) for k, _ in held) > KEPT_ROWS:
                 held = [merged()]
                 if len(held[0][0]) > KEPT_ROWS // 2:
@@ -204,9 +219,9 @@ def same_rows(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 _W = tuple(f"w{i}" for i in range(1, LONGEST + 1))
 
 
-def suffixes(docs: DataFrame, frequent: np.ndarray, pairs: np.ndarray) -> DataFrame:
-    """lang, w1 to w5 (null behind the end), c: the suffixes of two words and more whose neighbours are marked pairs, equal ones of a task together."""
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, pairs))
+def suffixes(docs: DataFrame, maps: list[np.ndarray]) -> DataFrame:
+    """lang, w1 to w5 (null behind the end), c: the suffixes of two words and more whose runs are marked in maps (of frequent words, pairs and so on), equal ones of a task together."""
+    shared = docs.sparkSession.sparkContext.broadcast(maps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("phrases")
@@ -229,16 +244,16 @@ def suffixes(docs: DataFrame, frequent: np.ndarray, pairs: np.ndarray) -> DataFr
                 seen[lang] = _Seen(lang, shared.value[0])
             own = seen[lang]
             ids = own.codes(text)
-            h, both = own.hashes[ids], own.often[ids[:-1]] & own.often[ids[1:]]
-            link = np.zeros(len(ids) + LONGEST, bool)
-            at = np.flatnonzero(both)
-            link[at] = marked(shared.value[1], pair_hashes(h[at], h[at + 1]))
-            start = np.flatnonzero(link)
+            ok = [np.zeros(len(ids) + LONGEST, bool) for _ in shared.value[1:]]
+            for n, (at, _) in enumerate(own.runs(ids, shared.value[1:])):
+                ok[n][at] = True
+            start = np.flatnonzero(ok[0])
             rows = np.zeros((len(start), LONGEST), np.int64)
             rows[:, 0], rows[:, 1] = ids[start], ids[start + 1]
             going = np.ones(len(start), bool)
             for j in range(2, LONGEST):
-                going &= link[start + j - 1]
+                n = min(j, len(ok))  # the longest marked run that ends with this word has n + 1 words
+                going &= ok[n - 1][start + j - n]
                 rows[going, j] = ids[start[going] + j]
             held.setdefault(lang, []).append(same_rows(rows, np.ones(len(rows), np.int64)))
             if sum(len(r) for x in held.values() for r, _ in x) > KEPT_ROWS:
@@ -353,9 +368,10 @@ def collocations(docs: DataFrame, *, least: int = LEAST, per_lang: int = PER_LAN
     """
     words = stored(word_counts(docs), "words")
     often = words.filter(F.col("a") >= least)
-    frequent = bitmap_of(often.select(F.xxhash64("lang", "phrase").alias("h")), "h")
-    pairs = bitmap_of(pair_counts(docs, frequent).filter(F.col("c") >= least).select("h"), "h")
-    found = stored(suffixes(docs, frequent, pairs), "suffixes")
+    maps = [bitmap_of(often.select(F.xxhash64("lang", "phrase").alias("h")), "h")]
+    while len(maps) < COUNTED:
+        maps.append(bitmap_of(run_counts(docs, maps).filter(F.col("c") >= least).select("h"), "h"))
+    found = stored(suffixes(docs, maps), "suffixes")
     phrases = stored(phrase_counts(found, least), "phrases")
     drop(found)
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))

@@ -280,7 +280,8 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     """One row per row of docs: id (or the columns of keep), toxicity, p_value, passages (start and end in characters, sum); prefix goes before these three names.
 
     Null and empty texts have no words and get the score of that; equal texts get equal scores. Passages are the maximal
-    segments that are significant in a text of that length. The model travels with the tasks; it holds significant features alone.
+    segments that are significant in a text of that length. Very long texts are scored whole, in time linear in their words; an
+    empty table gives no rows. The model travels with the tasks; it holds significant features alone.
     """
     keep = keep or [id_col]
     columns = list(dict.fromkeys([*keep, text_col]))

@@ -55,12 +55,45 @@ def test_ranges_and_flushes_change_nothing(spark, monkeypatch):
     docs = some_docs()
     df = spark.createDataFrame(docs, "lang string, text string").repartition(5)
     words = phrases.word_counts(df).filter("a >= 8")
-    frequent = phrases.bitmap_of(words.selectExpr("xxhash64(lang, phrase) AS h"), "h")
-    pairs = phrases.bitmap_of(phrases.pair_counts(df, frequent).filter("c >= 8").select("h"), "h")
-    found = phrases.stored(phrases.suffixes(df, frequent, pairs), "suffixes")
+    maps = [phrases.bitmap_of(words.selectExpr("xxhash64(lang, phrase) AS h"), "h")]
     key = lambda x: sorted(map(tuple, x.collect()))
-    want = key(phrases.phrase_counts(found, 8))
-    assert want and key(phrases.phrase_counts(found, 8, range_rows=40)) == want
+    want, made = None, []
+    for _ in range(phrases.LONGEST - 1):
+        maps.append(phrases.bitmap_of(phrases.run_counts(df, maps).filter("c >= 8").select("h"), "h"))
+        found = phrases.stored(phrases.suffixes(df, maps), "suffixes")
+        made.append(found.count())
+        want = want or key(phrases.phrase_counts(found, 8))
+        assert want and key(phrases.phrase_counts(found, 8, range_rows=40)) == want
+    assert made == sorted(made, reverse=True) and made[1] < made[0]  # counted triples end most suffixes
+    monkeypatch.setattr(phrases, "KEPT_ROWS", 300)
+    assert key(phrases.phrase_counts(phrases.stored(phrases.suffixes(df, maps[:3]), "suffixes"), 8)) == want
+
+
+def test_runs_are_those_whose_parts_are_marked():
+    rng = np.random.default_rng(3)
+    maps = [np.zeros(phrases.BITS // 64, np.uint64) for _ in range(3)]
+    words = [b"w%d" % i for i in range(6)]
+    own = phrases._Seen("en", maps[0])
+    hashes = phrases._hashes(words, "en")
+
+    def mark(bitmap, h):
+        bitmap[int(h & np.uint64(phrases.BITS - 1)) >> 6] |= np.uint64(1) << (h & np.uint64(63))
+
+    for h in hashes[:5]:
+        mark(maps[0], h)
+    for i in range(5):
+        for j in range(5):
+            if (i + j) % 3:
+                mark(maps[1], phrases.pair_hashes(hashes[i : i + 1], hashes[j : j + 1])[0])
+    for n in (0, 1, 2, 3, 40):
+        seq = rng.integers(0, 6, n).tolist()
+        ids = own.codes(" ".join(f"w{i}" for i in seq))
+        (pairs, _), (triples, got) = own.runs(ids, maps[1:2], open_end=True)
+        good = [i for i in range(n - 1) if max(seq[i], seq[i + 1]) < 5 and (seq[i] + seq[i + 1]) % 3]
+        assert pairs.tolist() == good
+        assert triples.tolist() == [i for i in good if i + 1 in good]
+        both = [(seq[i], seq[i + 1], seq[i + 2]) for i in triples]
+        assert len(set(got.tolist())) == len(set(both))
 
 
 @given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=4), min_size=1, max_size=60), st.integers(1, 9))

@@ -66,7 +66,8 @@ def test_round_trip(spark, docs, tok):
     sha = lambda b: hashlib.sha256(b).hexdigest()
     assert got == sorted(((i, len(x := ids_of(tok, t)), sha(np.array(x, "<u4").tobytes()), sha((t or "").encode())) for i, t in TEXTS), key=str)
     assert sorted((str(r.doc_id), r.text) for r in bpe.decode(bpe.encode(docs)).collect()) == sorted((str(i), t or "") for i, t in TEXTS)
-    assert bpe.encode(docs.limit(0)).count() == 0
+    assert bpe.encode(docs.limit(0)).count() == bpe.round_trip(docs.limit(0)).count() == 0
+    assert sorted(map(tuple, bpe.round_trip(docs.union(docs)).collect()), key=str) == sorted(got * 2, key=str)
     broken = spark.createDataFrame([(1, [222, 99, 163]), (2, None)], "doc_id long, ids array<int>")
     assert [r.text for r in bpe.decode(broken).orderBy("doc_id").collect()] == [tok.decode([222, 99, 163], skip_special_tokens=False), ""]
 
