@@ -19,8 +19,8 @@ LIFETIME, DEVIATION_ALPHA = 10.0, 0.1
 PAUSE_ABOVE, RESUME_BELOW = 10_000, 1_000
 #: Rows of a queue beyond which it is dealt over ranges of time, ranges of one queue at most, and rows of a side that is broadcast.
 HOT_ROWS, MOST_RANGES, MOST_BROADCAST = 2_000_000, 4096, 200_000
-#: Rows of a group's segment that are ranked, and cells that a larger one is counted by.
-MOST_RANKED, CELLS = 20_000, 1024
+#: Rows of a group's segment that are ranked, and least and greatest number of cells that a larger one is counted by: sixteen for each MOST_RANKED rows in it.
+MOST_RANKED, LEAST_CELLS, CELLS = 20_000, 16, 1024
 
 
 @dataclass
@@ -258,14 +258,14 @@ def queue_inefficiency(series: DataFrame, *, queue: str = "log_id", time: str =
     return wide.groupBy(queue).agg(F.try_divide(F.coalesce(F.sum(F.when(F.col("exhausted"), F.col("_width"))), F.lit(0)), F.max(time)).alias("inefficiency"))
 
 
-def _cell(value: Column, low: Column, high: Column) -> Column:
-    """Where value lies in [low, high], in CELLS steps; the ends of a range that isn't one value lie in different cells. Ranges that doubles can't divide have three."""
+def _cell(value: Column, low: Column, high: Column, cells: Column) -> Column:
+    """Where value lies in [low, high], in so many steps; the ends of a range that isn't one value lie in different cells. Ranges that doubles can't divide have three."""
     half = lambda c: c.cast("double") / 2
     width = half(high) - half(low)
     even = (width > 0) & (width < float("inf"))
     share = F.when(even, (half(value) - half(low)) / width)
-    inner = F.when(even, F.least(F.floor(share * CELLS), F.lit(CELLS - 2))).otherwise(F.lit(CELLS // 2))
-    return F.when(value == low, 0).when(value == high, CELLS - 1).otherwise(F.greatest(inner.cast("int"), F.lit(0)))
+    inner = F.when(even, F.least(F.floor(share * cells), cells - 2)).otherwise(F.floor(cells / 2))
+    return F.when(value == low, 0).when(value == high, cells - 1).otherwise(F.greatest(inner.cast("int"), F.lit(0)))
 
 
 def with_quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], stats: list[Column], most: int | None = None) -> DataFrame:
@@ -273,7 +273,7 @@ def with_quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[st
 
     Selection in rounds: a segment is a range of a group's values that holds wanted ranks. As long as a segment has more than `most` (MOST_RANKED) rows
     and more than one value, its rows are counted by cells, sums of tasks meeting, and the cells with wanted ranks become the next segments, from their least to their greatest value.
-    What is left is counted by value and ranked: no task ranks more than `most` values or sums more than CELLS cells of a segment.
+    The rows of what is left are ranked: no segment that a task sorts has more than `most` rows, and none that it sums more than CELLS cells.
     """
     names, marks, most = list(shares), list(shares.values()), most or MOST_RANKED
     groups = kept_table(rows.groupBy(*keys).agg(F.count(value).alias("_n"), F.min(value).alias("_low"), F.max(value).alias("_high"), *stats), "groups")
@@ -283,37 +283,37 @@ def with_quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[st
     left = groups.filter("_n > 0").select(*keys, "_low", "_high", F.lit(0).cast("bigint").alias("_below"), F.col("_n").alias("_inside"), wanted.alias("_wanted"))
     on = lambda *more: reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*keys, *more)])
     named = lambda df, *more: df.withColumnsRenamed({c: f"_of_{c}" for c in (*keys, *more)})
-    few = left.count() <= MOST_BROADCAST
+    is_open = (F.col("_inside") > most) & (F.col("_low") != F.col("_high"))
+    size = left.agg(F.count("*").alias("groups"), F.count_if(is_open).alias("open")).first()
+    few, still_open = size["groups"] <= MOST_BROADCAST, size["open"]
     side = lambda df: F.broadcast(df) if few else df
 
     def inside(segments: DataFrame) -> DataFrame:
-        """The rows of segments, with their ranges."""
-        ranges = named(segments.select(*keys, "_low", "_high"))
-        return rows.select(*keys, F.col(value).alias("_value")).join(side(ranges), on() & F.col("_value").between(F.col("_low"), F.col("_high"))).select(*keys, "_low", "_high", "_value")
-
-    def reached(counted: DataFrame, segments: DataFrame, by: str) -> DataFrame:
-        """Counts in segments, in order of a column, with the wanted ranks that lie in each; others are left out."""
-        upto = F.sum("_c").over(Window.partitionBy(*keys, "_low").orderBy(by))
-        known = counted.withColumn("_upto", upto).join(side(named(segments.select(*keys, "_low", "_below", "_wanted"), "_low")), on("_low"))
+        """The rows of segments, with their ranges and numbers of cells."""
+        cells = F.least(F.greatest(F.ceil(F.col("_inside") * LEAST_CELLS / most), F.lit(LEAST_CELLS)), F.lit(CELLS)).cast("int")
+        ranges = named(segments.select(*keys, "_low", "_high", cells.alias("_cells")))
+        return rows.select(*keys, F.col(value).alias("_value")).join(side(ranges), on() & F.col("_value").between(F.col("_low"), F.col("_high"))).select(*keys, "_low", "_high", "_value", "_cells")
+
+    def reached(counted: DataFrame, segments: DataFrame, upto: Column, by: str) -> DataFrame:
+        """Counts in segments (upto: their running sum in order of by) with the wanted ranks that lie in each; others are left out."""
+        known = counted.withColumn("_upto", upto.over(Window.partitionBy(*keys, "_low").orderBy(by))).join(side(named(segments.select(*keys, "_low", "_below", "_wanted"), "_low")), on("_low"))
         known = known.withColumn("_before", F.col("_below") + F.col("_upto") - F.col("_c"))
         return known.withColumn("_wanted", F.filter("_wanted", lambda w: (w["rank"] >= F.col("_before")) & (w["rank"] < F.col("_before") + F.col("_c")))).filter(F.size("_wanted") > 0)
 
     done = []
-    while True:
-        is_open = (F.col("_inside") > most) & (F.col("_low") != F.col("_high"))
+    while still_open:
         done.append(left.filter(~is_open))
         still = left.filter(is_open)
-        if still.isEmpty():
-            break
-        cells = inside(still).groupBy(*keys, "_low", _cell(F.col("_value"), F.col("_low"), F.col("_high")).alias("_cell")).agg(F.count("*").alias("_c"), F.min("_value").alias("_least"), F.max("_value").alias("_most"))
-        found = reached(cells, still, "_cell").select(*keys, F.col("_least").alias("_low"), F.col("_most").alias("_high"), F.col("_before").alias("_below"), F.col("_c").alias("_inside"), "_wanted")
+        cells = inside(still).groupBy(*keys, "_low", _cell(F.col("_value"), F.col("_low"), F.col("_high"), F.col("_cells")).alias("_cell")).agg(F.count("*").alias("_c"), F.min("_value").alias("_least"), F.max("_value").alias("_most"))
+        found = reached(cells, still, F.sum("_c"), "_cell").select(*keys, F.col("_least").alias("_low"), F.col("_most").alias("_high"), F.col("_before").alias("_below"), F.col("_c").alias("_inside"), "_wanted")
         left = kept_table(found, "segments")
-    segments = reduce(DataFrame.unionByName, done)
+        still_open = left.filter(is_open).count()
+    segments = reduce(DataFrame.unionByName, [*done, left])
     told = F.explode("_wanted").alias("w")
     one = segments.filter("_low <=> _high").select(*keys, F.col("_low").alias("_value"), told)
     several = segments.filter("NOT _low <=> _high")
-    counted = inside(several).groupBy(*keys, "_low", "_value").agg(F.count("*").alias("_c"))
-    values = one.unionByName(reached(counted, several, "_value").select(*keys, "_value", told))
+    ranked = reached(inside(several).withColumn("_c", F.lit(1)), several, F.row_number(), "_value")
+    values = one.unionByName(ranked.select(*keys, "_value", told))
     at = lambda t: F.max(F.when(F.col("w.t") == t, F.col("_value")))
     wide = named(values.groupBy(*keys).agg(*(at(t).alias(f"_at_{t}") for t in range(2 * len(marks)))))
     part = lambda q: (F.col("_n") - 1) * F.lit(q) - F.floor((F.col("_n") - 1) * F.lit(q))
