@@ -113,12 +113,12 @@ def pair_snapshots(records: DataFrame, *, log: str = "log_id", order: tuple[str,
 
 
 def queue_consumption(probes: DataFrame, *, queue: str = "log_id", order: tuple[str, ...] = ("ts", "event_id"), time: str = "ts", emptied: str | None = None, hot_rows: int | None = None) -> DataFrame:
-    """Adds consumption, exhausted and elapsed (seconds, 0 for the first probe) from the probe before; before the first the queue was empty. time is a timestamp, or a number of seconds."""
+    """Adds consumption, exhausted and elapsed (seconds, 0 for the first probe) from the probe before; before the first the queue was empty. time is a timestamp, or a number of seconds, which counts to the microsecond as a timestamp does: seconds since 1970 as doubles are off by up to 0.12 microseconds each, which their difference would keep."""
     numeric = isinstance(probes.schema[time].dataType, NumericType)
-    micros = F.col(time) * 1e6 if numeric else F.unix_micros(F.col(time).cast("timestamp"))
+    micros = F.round(F.col(time) * 1e6).cast("bigint") if numeric else F.unix_micros(F.col(time).cast("timestamp"))
     seen = deal(probes, queue, order, hot_rows).neighbours(before={"_length": F.col("queue_length"), "_micros": micros} | ({"_emptied": F.col(emptied)} if emptied else {}))
     before = F.coalesce("_length", F.lit(0))
-    seconds = F.col(time) - F.col("_micros") / 1e6 if numeric else (micros - F.col("_micros")) / 1e6
+    seconds = (micros - F.col("_micros")) / 1e6
     rose = F.col(emptied) > F.coalesce("_emptied", F.lit(0)) if emptied else F.lit(False)
     added = {"consumption": F.greatest(F.lit(0), before + F.col("enqueued") - F.col("queue_length")).cast("bigint"), "exhausted": (F.col("queue_length") == 0) | rose, "elapsed": F.coalesce(seconds, F.lit(0.0))}
     return seen.with_rows(seen.rows.select(*(F.col(c) for c in probes.columns), *(x.alias(n) for n, x in added.items()))).rows

@@ -92,3 +92,19 @@ def test_streamed_queues_equal_the_batch(spark, series, tmp_path, hot_rows):
     new = {r.log_id: (r.late, r.consumption, r.consumption_ewma) for r in read_queues(spark, work).filter("event_id = 7 AND (late OR log_id = 99)").collect()}
     assert new == {1: (True, None, None), 99: (False, 1, 0.0)}
     assert near(read_queues(spark, work).filter("NOT late AND log_id < 99")) == near(want)
+
+
+def test_streamed_queues_of_today_equal_the_batch_of_timestamps(spark, tmp_path):
+    """Seconds since 1970 as doubles are off by a part of a microsecond; close probes' ewmas must not be."""
+    rng = random.Random(7)
+    at = [1_704_067_200_000_000]
+    for _ in range(600):
+        at.append(at[-1] + rng.choice([0, 1, 7, 333, 5_003, 1_000_001]))
+    rows = [(i % 2, x, i, rng.randrange(60), rng.randrange(40)) for i, x in enumerate(at)]
+    log = spark.createDataFrame(rows, "log_id long, us long, event_id long, queue_length long, enqueued long").selectExpr("*", "timestamp_micros(us) AS ts", "us / 1e6 AS seconds")
+    probes = log.select("log_id", "event_id", "seconds", "queue_length", "enqueued")
+    for part in ("event_id < 333", "event_id >= 333"):
+        probes.filter(part).write.mode("append").parquet(f"file://{tmp_path}/in")
+        follow_queues(spark.readStream.schema(probes.schema).parquet(f"file://{tmp_path}/in"), f"file://{tmp_path}/work", availableNow=True).awaitTermination()
+    want = analysis.queue_ewma(analysis.queue_consumption(log)).select("log_id", "event_id", "consumption", "consumption_ewma", "deviation_ewma")
+    assert rows_of(read_queues(spark, f"file://{tmp_path}/work").drop("late")) == rows_of(want)
