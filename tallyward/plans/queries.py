@@ -613,7 +613,7 @@ def str1_stream_warnings(v):
 
 @query(_WRITTEN)
 def str1_stream_write_back_strict(v):
-    """With unknown results refused, over a table laid out by id; every second batch is folded into the files table."""
+    """With unknown results refused, over a table laid out by id; at every second batch a log as long as the table is folded into it."""
     files, results = v("files_run2"), v("results")
     store = Store(files.sparkSession, work_folder(files.sparkSession, "files"))
     laid_out = store.write("files", laid_out_by_id(files))

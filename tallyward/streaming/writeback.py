@@ -8,9 +8,11 @@ ends with the same table as one batch, and a result for a file that was written
 
 A batch costs what it holds: its ids are broadcast (a number of them that is checked) and cut
 the files table once, without moving it; in a table laid out by ids the ids' range also prunes files and row groups.
+A batch of more ids goes range by range of ids, and its cut is stored, so it doesn't move the table either.
 Everything else joins the batch with that cut. Earlier results are looked up in the log since the last
-folding: every `fold_every` batches a new files table is written that has the log up to there, so
-neither the lookup nor the log grows with the stream.
+folding: a new files table is written that has the log up to there. Whether it is time is looked at every `fold_every` batches;
+it is if the log has as many rows as the table, so that foldings write no more rows for each result than one or two, however
+many batches the stream has, and a batch's lookup in the log reads no more ids than its cut of the table does.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from pyspark.sql import functions as F
 from tallyward.operators.writeback import checksum_mismatches, first_result, refuse_unknown, unknown_results, write_back
 from tallyward.sources.store import BatchFolder, work_folder
 
-#: Most ids of a micro-batch that are broadcast (16 bytes each). A larger batch is joined by shuffle.
+#: Most ids of a micro-batch that are broadcast at once (16 bytes each). A larger batch is cut range by range.
 MOST_BROADCAST = 1_000_000
-#: Batches after which the log is folded into a new files table.
+#: Batches after which it is looked at whether the log is to be folded into a new files table.
 FOLD_EVERY = 500
+#: The log is folded when it has FOLD_SHARE times the table's rows, or MOST_UNFOLDED batches.
+FOLD_SHARE, MOST_UNFOLDED = 1.0, 5_000
 
 
 def laid_out_by_id(files: DataFrame, parts: int | None = None) -> DataFrame:
@@ -42,6 +46,17 @@ def files_of(files: DataFrame, ids: DataFrame, most: int = MOST_BROADCAST) -> Da
     return near.join(F.broadcast(wanted) if got.n <= most else wanted, "id", "left_semi")
 
 
+def id_ranges(ids: DataFrame, most: int | None = None) -> list[tuple[int, int]]:
+    """Ranges (both ends in them) that cover distinct ids, with `most` (MOST_BROADCAST) of them or fewer in each."""
+    most = most or MOST_BROADCAST
+    got = ids.agg(F.count("id").alias("n"), F.min("id").alias("least"), F.max("id").alias("greatest")).first()
+    parts = -(-4 * got.n // (3 * most))  # quantiles are off by a tenth of a part at most
+    if got.n <= most:
+        return [(got.least, got.greatest)] if got.n else []
+    cuts = sorted(set(ids.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0]) - {got.greatest})
+    return list(zip([got.least, *(c + 1 for c in cuts)], [*cuts, got.greatest], strict=True))
+
+
 class _Folder(BatchFolder):
     """What lies below a stream's folder: log, warnings, unknown (by batch) and files (by the last batch that is folded in)."""
 
@@ -57,6 +72,21 @@ class _Folder(BatchFolder):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*places)
 
+    def cut(self, name: str, batch: int, table: DataFrame, ids: DataFrame) -> DataFrame:
+        """The rows of table with one of a batch's distinct ids: kept in memory, or, if there are too many to be broadcast at once, stored below name, range by range."""
+        ranges = id_ranges(ids)
+        if len(ranges) < 2:
+            return files_of(table, ids, MOST_BROADCAST).persist()
+        for i, (low, high) in enumerate(ranges):
+            found = files_of(table, ids.filter(F.col("id").between(low, high)), MOST_BROADCAST)
+            found.write.mode("append" if i else "overwrite").parquet(self.place(name, batch))
+        return self.spark.read.schema(table.schema).parquet(self.place(name, batch))
+
+    def is_long(self, batch: int, files: DataFrame, schema, rows: int) -> bool:
+        """Whether the log up to a batch is to be folded into the table, which has a number of rows."""
+        _, upto = self.files_before(batch, files)
+        return batch - upto >= MOST_UNFOLDED or self.logged(schema, upto, batch + 1).count() >= FOLD_SHARE * rows
+
     def fold(self, batch: int, files: DataFrame, schema, run: int) -> None:
         """Writes the files table with the log up to a batch. The table before it stays, for a batch that runs again; older ones go."""
         old, upto = self.files_before(batch, files)
@@ -72,27 +102,32 @@ def log_results(results: DataFrame, files: DataFrame, folder: str, run: int, *,
     Below folder, by batch: log (results that count), warnings, and unknown (results of files that are not in the table).
     With refuse, a batch with unknown results fails before it writes anything. files should be laid out by id.
     """
+    sizes: list[int] = []  # the number of rows of files, once it is wanted; no batch changes it
     spark, kept = results.sparkSession, _Folder(results.sparkSession, folder)
     spark.createDataFrame([], results.schema).write.mode("overwrite").parquet(kept.place("log", -1))
 
     def keep(batch: DataFrame, n: int) -> None:
         first = first_result(batch).persist()
         now, upto = kept.files_before(n, files)
-        cut = files_of(now, first.select("id")).persist()
+        cut = kept.cut("cut", n, now, first.select("id"))
+        before = kept.cut("before", n, kept.logged(results.schema, upto, n).select("id"), first.select("id"))
         try:
             if refuse:
                 refuse_unknown(first, cut)
             unknown_results(first, cut).write.mode("overwrite").parquet(kept.place("unknown", n))
-            before = files_of(kept.logged(results.schema, upto, n).select("id"), first.select("id"))
             new = first.join(before, "id", "left_anti").join(cut.filter("to_be_read").select("id"), "id", "left_semi")
             new.select(*results.columns).write.mode("overwrite").parquet(kept.place("log", n))
             logged = spark.read.schema(results.schema).parquet(kept.place("log", n))
             checksum_mismatches(cut, logged, run).write.mode("overwrite").parquet(kept.place("warnings", n))
             if (n + 1) % fold_every == 0:
-                kept.fold(n, files, results.schema, run)
+                sizes[:] = sizes or [files.count()]
+                if kept.is_long(n, files, results.schema, sizes[0]):
+                    kept.fold(n, files, results.schema, run)
         finally:
-            first.unpersist()
-            cut.unpersist()
+            for held in (first, cut, before):
+                held.unpersist()
+            for name in ("cut", "before"):
+                kept.remove(name, n)
 
     return results.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(**trigger or {"processingTime": "30 seconds"}).start()
 

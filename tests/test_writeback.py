@@ -164,3 +164,46 @@ def test_files_are_dealt_by_size(spark, tmp_path):
     share = sum(sizes) / 8
     assert all(x <= share + 36_000 for x in others) and len(others) >= 4
     assert dealt_by_size(rows.limit(0), 8).count() == 0
+
+
+def test_large_batches_are_cut_by_ranges_and_foldings_are_few(spark, tmp_path, monkeypatch):
+    """No batch moves the files table, and what foldings write doesn't grow with the number of batches."""
+    from tallyward.streaming import writeback as streamed
+
+    monkeypatch.setattr(streamed, "MOST_BROADCAST", 150)
+    monkeypatch.setattr(streamed, "FOLD_SHARE", 0.5)
+    folds, shuffled = [], []
+    fold, cut = streamed._Folder.fold, streamed.files_of
+    monkeypatch.setattr(streamed._Folder, "fold", lambda self, n, *more: (folds.append(n), fold(self, n, *more)))
+
+    def files_of_watched(files, ids, most):
+        shuffled.append(ids.count() > most)
+        return cut(files, ids, most)
+
+    monkeypatch.setattr(streamed, "files_of", files_of_watched)
+    files = spark.range(4000).selectExpr("id", "id % 3 > 0 AS to_be_read", "id % 2 = 0 AS to_be_compared", "'a' AS checksum", "1L AS last_read", "concat('/', id) AS path", "timestamp_ntz'2020-01-01' AS modification_time", "1L AS file_size")
+    laid_out_by_id(files, 5).write.parquet(f"file://{tmp_path}/files")
+    stored = spark.read.schema(files.schema).parquet(f"file://{tmp_path}/files")
+    results = spark.range(4000).selectExpr("(id * 7) % 4000 AS id", "id % 10 AS pack_id", "id AS pos", "if(id % 11 = 0, 'x', 'a') AS checksum")
+    results = results.union(results.filter("id % 5 = 0").selectExpr("id", "pack_id + 10", "pos", "'late'"))
+    for i in range(10):
+        results.filter(f"pack_id % 10 = {i}").coalesce(1).write.parquet(f"file://{tmp_path}/in/part={i}")
+    stream = spark.readStream.schema(results.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    after, warnings, _ = stream_write_back(spark, stored, stream, 7, f"file://{tmp_path}/work", fold_every=1)
+    first = writeback.first_result(results)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(after) == key(writeback.write_back(files, first, 7))
+    assert key(warnings) == key(writeback.checksum_mismatches(files, first, 7))
+    assert len(shuffled) > 20 and not any(shuffled)
+    assert len(folds) == 1  # 2,667 results count, the table has 4,000 rows
+    assert not list((tmp_path / "work").glob("cut/*")) + list((tmp_path / "work").glob("before/*"))
+
+
+def test_id_ranges(spark):
+    from tallyward.streaming.writeback import id_ranges
+
+    ids = spark.range(1000).selectExpr("id * id AS id")
+    got = id_ranges(ids, 70)
+    counts = [ids.filter(F.col("id").between(*r)).count() for r in got]
+    assert sum(counts) == 1000 and max(counts) <= 70 and all(a[1] + 1 == b[0] for a, b in zip(got, got[1:], strict=False))
+    assert id_ranges(ids, 1000) == [(0, 998001)] and id_ranges(ids.limit(0), 5) == []
