@@ -4,7 +4,8 @@
 2. Neighbouring frequent words are counted by a hash of the pair, which gives a second bitmap, and triples of marked pairs
    likewise. A suffix starts at every word that begins a marked pair and goes on for at most LONGEST words of its piece
    while every three in a row are marked: nothing else can lie in a frequent phrase, and most suffixes end behind their
-   pair. Equal suffixes of a task become one row with a count.
+   pair. Equal suffixes of a task become one row with a count. As every task meets the same frequent pairs, there is one long task
+   for each core, which forgets rare words to keep on summing up, not one for each split.
 3. Suffixes are routed by ranges of their leading words, so that every task has about RANGE_ROWS of them, however
    often a word or a phrase occurs. Each task sorts pointers to its suffixes by multikey three-way quicksort: partitions of
    equal words give the counts, those under the limit are abandoned. Only phrases that a range's first or last suffix starts with can be cut by
@@ -33,6 +34,8 @@ BITS = 1 << 26
 COUNTED = 3
 #: Distinct words, runs and suffixes that a task keeps before it hands on their counts.
 KEPT_WORDS, KEPT_ROWS = 500_000, 1_500_000
+#: Words of text that a task reads at most where each core has but one task.
+TASK_WORDS = 50_000_000
 #: Suffixes that a task sorts.
 RANGE_ROWS = 200_000
 #: Languages up to which their totals are broadcast.
@@ -113,8 +116,15 @@ def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str]]:
             yield lang, "\n".join(t for t, x in zip(texts, langs, strict=True) if x == lang)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return small_batches(docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
+def _texts(docs: DataFrame, tasks: int = 0) -> DataFrame:
+    """lang, text, in that many tasks at most (0: one for each split)."""
+    out = small_batches(docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
+    return out.coalesce(tasks) if tasks else out
+
+
+def few_tasks(docs: DataFrame, words: int = 0) -> int:
+    """Tasks in which to sum up what is frequent in so many words: one for each core, as every task hands on its own sum of the same few things, but more where one would have TASK_WORDS."""
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-words // TASK_WORDS))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -159,6 +169,16 @@ class _Seen:
             self.hashes, self.often = np.concatenate([self.hashes, new]), np.concatenate([self.often, marked(self.frequent, new)])
         return ids
 
+    def shed(self) -> np.ndarray:
+        """Forgets the words that are not frequent. Returns the new numbers of the others by their old ones."""
+        keep = self.often.copy()
+        keep[: _END + 1] = True
+        texts, self.words = self.words.texts(), Words()
+        for i in np.flatnonzero(keep):
+            self.words[texts[i]]
+        self.hashes, self.often = self.hashes[keep], self.often[keep]
+        return np.cumsum(keep) - 1
+
     def runs(self, ids: np.ndarray, maps: list[np.ndarray], open_end: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(starts, hashes) of the runs of two words and more that are marked, as are all their parts: a length for each bitmap, and with open_end one more, whose parts alone are marked."""
         words = self.hashes[ids]
@@ -174,8 +194,11 @@ class _Seen:
             yield start, longer
 
 
-def run_counts(docs: DataFrame, maps: list[np.ndarray]) -> DataFrame:
-    """h (hash of a run of words and its language), c: how often it occurs. maps: bitmaps of the frequent words, pairs and so on; runs are a word longer than those of the last one, and their parts are marked."""
+def run_counts(docs: DataFrame, maps: list[np.ndarray], tasks: int = 0) -> DataFrame:
+    """h (hash of a run of words and its language), c: how often it occurs. maps: bitmaps of the frequent words, pairs and so on; runs are a word longer than those of the last one, and their parts are marked.
+
+    Runs of three and more are counted in `tasks` tasks (0: few_tasks); most pairs are rare and occur in one task, however many there are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(maps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +215,9 @@ def run_counts(docs: DataFrame, maps: list[np.ndarray]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000].view(np.int64)), pa.array(counts[i : i + 100_000])], ["h", "c"])
 
         for lang, text in by_language(batches):
-            if lang not in seen or len(seen[lang].words) > KEPT_WORDS:
+            if sum(len(x.words) for x in seen.values()) > KEPT_WORDS:
+                seen.clear()
+            if lang not in seen:
                 seen[lang] = _Seen(lang, shared.value[0])
             own = seen[lang]
             *_, (_, hashes) = own.runs(own.codes(text), shared.value[1:], open_end=True)
@@ -204,7 +229,7 @@ def run_counts(docs: DataFrame, maps: list[np.ndarray]) -> DataFrame:
         if held:
             yield from out(*merged())
 
-    return _texts(docs).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return _texts(docs, (tasks or few_tasks(docs)) if len(maps) > 1 else 0).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def same_rows(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,8 +244,8 @@ def same_rows(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 _W = tuple(f"w{i}" for i in range(1, LONGEST + 1))
 
 
-def suffixes(docs: DataFrame, maps: list[np.ndarray]) -> DataFrame:
-    """lang, w1 to w5 (null behind the end), c: the suffixes of two words and more whose runs are marked in maps (of frequent words, pairs and so on), equal ones of a task together."""
+def suffixes(docs: DataFrame, maps: list[np.ndarray], tasks: int = 0) -> DataFrame:
+    """lang, w1 to w5 (null behind the end), c: the suffixes of two words and more whose runs are marked in maps (of frequent words, pairs and so on), equal ones of a task together. tasks: as in run_counts."""
     shared = docs.sparkSession.sparkContext.broadcast(maps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,19 +253,21 @@ def suffixes(docs: DataFrame, maps: list[np.ndarray]) -> DataFrame:
         seen: dict[str, _Seen] = {}
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
+        def merged(lang: str) -> tuple[np.ndarray, np.ndarray]:
+            return same_rows(np.concatenate([r for r, _ in held[lang]]), np.concatenate([c for _, c in held[lang]]))
+
+        def full(part: int = 1) -> bool:
+            return sum(len(r) for x in held.values() for r, _ in x) > KEPT_ROWS // part or sum(len(x.words) for x in seen.values()) > KEPT_WORDS // part
+
         def out(lang: str) -> Iterator[pa.RecordBatch]:
-            parts = held.pop(lang, [])
-            if not parts:
-                return
-            rows, counts = same_rows(np.concatenate([r for r, _ in parts]), np.concatenate([c for _, c in parts]))
+            rows, counts = merged(lang)
             texts = np.array([None, None, *(w.decode() for w in seen[lang].words.texts(_END + 1))], object)
             for i in range(0, len(rows), 50_000):
                 now = rows[i : i + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(now), pa.string()), *(pa.array(texts[now[:, j]], pa.string()) for j in range(LONGEST)), pa.array(counts[i : i + 50_000])], ["lang", *_W, "c"])
 
         for lang, text in by_language(batches):
-            if lang not in seen or len(seen[lang].words) > KEPT_WORDS:
-                yield from out(lang)
+            if lang not in seen:
                 seen[lang] = _Seen(lang, shared.value[0])
             own = seen[lang]
             ids = own.codes(text)
@@ -256,13 +283,19 @@ def suffixes(docs: DataFrame, maps: list[np.ndarray]) -> DataFrame:
                 going &= ok[n - 1][start + j - n]
                 rows[going, j] = ids[start[going] + j]
             held.setdefault(lang, []).append(same_rows(rows, np.ones(len(rows), np.int64)))
-            if sum(len(r) for x in held.values() for r, _ in x) > KEPT_ROWS:
-                for x in list(held):
-                    yield from out(x)
-        for x in list(held):
+            if full():
+                for x, at in seen.items():
+                    rows, counts = merged(x)
+                    held[x] = [(at.shed()[rows], counts)]  # suffixes hold frequent words alone
+                if full(part=2):
+                    for x in held:
+                        yield from out(x)
+                    held.clear()
+                    seen.clear()
+        for x in held:
             yield from out(x)
 
-    return _texts(docs).mapInArrow(run, ", ".join(["lang string", *(f"{w} string" for w in _W), "c long"]))
+    return _texts(docs, tasks or few_tasks(docs)).mapInArrow(run, ", ".join(["lang string", *(f"{w} string" for w in _W), "c long"]))
 
 
 def quicksort_counts(symbols: np.ndarray, counts: np.ndarray, least: int, edges: list[int]) -> Iterator[tuple[int, int, int]]:
@@ -369,9 +402,10 @@ def collocations(docs: DataFrame, *, least: int = LEAST, per_lang: int = PER_LAN
     words = stored(word_counts(docs), "words")
     often = words.filter(F.col("a") >= least)
     maps = [bitmap_of(often.select(F.xxhash64("lang", "phrase").alias("h")), "h")]
+    tasks = few_tasks(docs, words.agg(F.sum("a")).first()[0] or 0)
     while len(maps) < COUNTED:
-        maps.append(bitmap_of(run_counts(docs, maps).filter(F.col("c") >= least).select("h"), "h"))
-    found = stored(suffixes(docs, maps), "suffixes")
+        maps.append(bitmap_of(run_counts(docs, maps, tasks).filter(F.col("c") >= least).select("h"), "h"))
+    found = stored(suffixes(docs, maps, tasks), "suffixes")
     phrases = stored(phrase_counts(found, least), "phrases")
     drop(found)
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))

@@ -69,6 +69,43 @@ def test_ranges_and_flushes_change_nothing(spark, monkeypatch):
     assert key(phrases.phrase_counts(phrases.stored(phrases.suffixes(df, maps[:3]), "suffixes"), 8)) == want
 
 
+def test_suffixes_do_not_grow_with_partitions_or_rare_words(spark, monkeypatch):
+    cores, least = spark.sparkContext.defaultParallelism, 8
+    docs = [("en", f"one very same line of text, here and there in every part of it; rare{i} x{i}y z{i}") for i in range(40 * cores)]
+    df = spark.createDataFrame(docs, "lang string, text string").repartition(8 * cores)
+    words = phrases.word_counts(df).filter(f"a >= {least}")
+    maps = [phrases.bitmap_of(words.selectExpr("xxhash64(lang, phrase) AS h"), "h")]
+    while len(maps) < phrases.COUNTED:
+        maps.append(phrases.bitmap_of(phrases.run_counts(df, maps).filter(f"c >= {least}").select("h"), "h"))
+    keys = ["lang", *phrases._W]
+    key = lambda x: sorted(map(tuple, x.groupBy(*keys).sum("c").collect()), key=str)
+    found = phrases.stored(phrases.suffixes(df, maps), "suffixes")
+    want, distinct = key(found), found.select(*keys).distinct().count()
+    assert distinct > 10 and sum(x[-1] for x in want) == 12 * len(docs)
+    assert found.count() <= cores * distinct  # not once for each partition
+    monkeypatch.setattr(phrases, "KEPT_WORDS", 60)  # rare words go, suffixes stay
+    monkeypatch.setattr(phrases, "text_steps", lambda batches: ((b.slice(i, 1), [b.column(1)[i].as_py()]) for b in batches for i in range(b.num_rows)))
+    found = phrases.stored(phrases.suffixes(df, maps), "suffixes")
+    assert key(found) == want and found.count() <= cores * distinct
+    monkeypatch.setattr(phrases, "KEPT_WORDS", 9)  # the frequent ones alone are too many
+    assert key(phrases.suffixes(df, maps)) == want
+    assert phrases.few_tasks(df) == phrases.few_tasks(df, phrases.TASK_WORDS) == cores
+    assert phrases.few_tasks(df, 3 * cores * phrases.TASK_WORDS + 1) == 3 * cores + 1
+
+
+def test_words_that_are_shed_get_new_numbers():
+    words = [b"w%d" % i for i in range(9)]
+    bitmap = np.zeros(phrases.BITS // 64, np.uint64)
+    for h in phrases._hashes(words[::2], "en"):
+        bitmap[int(h & np.uint64(phrases.BITS - 1)) >> 6] |= np.uint64(1) << (h & np.uint64(63))
+    own = phrases._Seen("en", bitmap)
+    before = own.codes("w0 w1 w2 w3 w4 w5 w6 w7 w8").tolist()
+    new = own.shed()
+    assert list(own.words) == [b"", b"\n", *words[::2]] and new[0] == 0
+    assert own.codes("w8 w1 w0 w2\nw4").tolist() == [new[before[8]], len(own.words) - 1, new[before[0]], new[before[2]], phrases._END, new[before[4]]]
+    assert len(own.hashes) == len(own.often) == len(own.words) and own.often.tolist() == [False] * 2 + [True] * 5 + [False]
+
+
 def test_runs_are_those_whose_parts_are_marked():
     rng = np.random.default_rng(3)
     maps = [np.zeros(phrases.BITS // 64, np.uint64) for _ in range(3)]
